@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,11 +89,27 @@ def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 32) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)
 
 
-def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) only: other columns, whatever their names, can't clash with an operator's own."""
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(doc_id, text) only: other columns, whatever their names, can't clash with an operator's own. carry: all but the text as one struct, rest."""
+    rest = [F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("rest")] if carry else []
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), *rest)
+
+
+def rows_of(ddl: str, plain: DataFrame) -> T.StructType:
+    """A schema, with the carried struct at its end where there is one."""
+    made = T.StructType.fromDDL(ddl)
+    return made.add("rest", plain.schema["rest"].dataType) if "rest" in plain.columns else made
+
+
+def unpacked(found: DataFrame, docs: DataFrame, text_col: str = "text", text: str = "text") -> DataFrame:
+    """The columns of docs again, in their order, with `text` as their text."""
+    return found.select(*(F.col(text).alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))
 
 
 def prepare(spark: SparkSession) -> None:
     importable(spark)
     small_batches(spark)
+
+
+#: UTF-8 bytes with A-Z folded.
+BYTES_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, UPPER, narrow, prepare, settle
+from tidemark.llm.common import LOWER, UPPER, narrow, prepare, rows_of, settle
 
 #: Words of a shard, steps between samples, MB of benchmark text that a pass sends to the workers.
 SHARD, STEP, BLOCK_MB = 2_000_000, 8, 16
@@ -222,14 +222,15 @@ SCHEMA = "n_words long, n_hit long, words array<struct<a:int,b:int>>, spans arra
 PAIRS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_mb: float = BLOCK_MB, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, text, n_words, n_hit, words and spans (merged removal spans, of words and of code points), items (found, as sorted strings)."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_mb: float = BLOCK_MB, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, text, n_words, n_hit, words and spans (merged removal spans, of words and of code points), items (found, as sorted strings), rest (if carried)."""
     spark = docs.sparkSession
     prepare(spark)
-    plain = narrow(docs, id_col, text_col)
+    plain = narrow(docs, id_col, text_col, carry)
+    more = ["rest"] if carry else []
     kind = plain.schema["doc_id"].dataType.simpleString()
     none = "cast(array() as array<struct<a:int,b:int>>)"
-    state = plain.selectExpr("doc_id", "text", f"{none} words", "cast(array() as array<string>) items")
+    state = plain.selectExpr("doc_id", "text", f"{none} words", "cast(array() as array<string>) items", *more)
     block, size = [], 0
 
     def passed(state: DataFrame, block: list) -> DataFrame:
@@ -248,7 +249,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
                     found = [sorted({*o, *i}) for o, i in zip(old_items, items[at : at + size], strict=True)]
                     chars = [char_spans(batch.column("text")[k].as_py(), s) if s else [] for k, s in enumerate(own)]
                     cast = lambda x: pa.array([[{"a": a, "b": b} for a, b in s] for s in x], PAIRS)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([len(t) for t in texts[at : at + size]], pa.int64()), pa.array([sum(b - a for a, b in s) for s in own], pa.int64()), cast(own), cast(chars), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "n_hit", "words", "spans", "items"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([len(t) for t in texts[at : at + size]], pa.int64()), pa.array([sum(b - a for a, b in s) for s in own], pa.int64()), cast(own), cast(chars), pa.array(found, pa.list_(pa.string())), *(batch.column(k) for k in more)], names=["doc_id", "text", "n_words", "n_hit", "words", "spans", "items", *more])
                     at += size
 
             for batch in batches:
@@ -262,7 +263,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
             if waiting:
                 yield from flush()
 
-        return state.select("doc_id", "text", "words", "items").mapInArrow(run, f"doc_id {kind}, text string, {SCHEMA}")
+        return state.select("doc_id", "text", "words", "items", *more).mapInArrow(run, rows_of(f"doc_id {kind}, text string, {SCHEMA}", plain))
 
     for row in benchmark.select(benchmark[item_col].alias("i"), benchmark[item_text_col].cast("string").alias("t")).toLocalIterator():
         if size > block_mb * (1 << 20):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare
+from tidemark.llm.common import narrow, prepare, rows_of
 
 #: Language families of common ISO 639-1 codes.
 FAMILIES = {
@@ -137,14 +137,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(shares(np.array(x)), labels) if x else None
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score, one row per row of docs; keep: after all columns of docs instead of the id alone."""
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score, one row per row of docs; carry: text and rest too."""
     spark = docs.sparkSession
     prepare(spark)
     sent = spark.sparkContext.broadcast(model)
-    rows = docs if keep else docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    text_at = text_col if keep else "text"
-    left = [c for c in rows.columns if keep or c != "text"]
+    plain = narrow(docs, id_col, text_col, carry)
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    also = ["text", "rest"] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                texts = batch.column(text_at).to_pylist()
+                texts = batch.column("text").to_pylist()
                 names, score = ["und"] * len(texts), np.zeros(len(texts))
                 own = [k for k, t in enumerate(texts) if t and letter.search(t)] if model else []
                 if own:
@@ -161,10 +161,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     for k, name in zip(own, found, strict=True):
                         names[k] = name
                     score[own] = sure
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in left), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*left, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64()), *(batch.column(c) for c in also)], names=["doc_id", "lang_pred", "score", *also])
 
-    schema = rows.select(*left).schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return plain.mapInArrow(run, rows_of(f"doc_id {kind}, lang_pred string, score double" + (", text string" if carry else ""), plain))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

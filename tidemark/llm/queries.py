@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, language_id, line_dedup, token_counts, url_filters, warc
+from tidemark.llm import bpe, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, pii, token_counts, url_filters, warc
 from tidemark.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.query(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.query(spark, table(spark, sf_dir, "documents"))
 
@@ -40,13 +44,21 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.query(spark, table(spark, sf_dir, "pages"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.query(spark, table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.query(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_bpe, op4_language_id, op5_line_dedup, op6_warc, op7_url_filters, op10_token_counts)
+    f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_jaccard_join, op4_language_id, op5_line_dedup, op6_warc, op7_url_filters, op8_fingerprints, op9_pii, op10_token_counts)
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them.
-ORACLE: dict[str, str] = {"op1_decontaminate": decontaminate.SQL, "op5_line_dedup": line_dedup.SQL, "op6_warc": warc.SQL, "op7_url_filters": url_filters.SQL}
+ORACLE: dict[str, str] = {"op1_decontaminate": decontaminate.SQL, "op3_jaccard_join": jaccard_join.SQL, "op5_line_dedup": line_dedup.SQL, "op6_warc": warc.SQL, "op7_url_filters": url_filters.SQL}
