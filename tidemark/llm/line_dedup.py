@@ -20,26 +20,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, UPPER, narrow, prepare, remove, settle
+from tidemark.llm.common import BYTES_LOWER, narrow, prepare, remove, rows_of, settle
 
 #: Bounds: all twice-seen filters together; confirmed keys to broadcast, ENTRY bytes each as a worker's dictionary holds them; bits of a task's once-seen filter (its share of hashes is set by the shuffle partitions).
 TWICE_MB, CONFIRMED_MB, ENTRY, ONCE_BITS, PROBES = 64, 64, 200, 25, 4
-SPACE = " \t\n\x0b\x0c\r"
-FOLD = str.maketrans(UPPER, LOWER)
+SPACE = b" \t\n\x0b\x0c\r"
 
 
-def key_of(line: str) -> str:
-    """The line without ASCII white space at its ends, with A-Z folded."""
-    return line.strip(SPACE).translate(FOLD)
+def long_enough(key: bytes, least: int) -> bool:
+    """At least so many code points; UTF-8 has a byte or more for each."""
+    return len(key) >= least and (len(key) >= 4 * least or key.isascii() or len(key.decode()) >= least)
 
 
-def keys_of(text: str | None, least: int) -> list[str]:
-    """The key of each line; an empty string for those too short to count."""
-    return [k if len(k) >= least else "" for k in map(str.strip, (text or "").translate(FOLD).split("\n"), [SPACE] * ((text or "").count("\n") + 1))]
+def keys_of(raw: bytes, least: int) -> list[bytes]:
+    """The key of each line (no ASCII white space at its ends, A-Z folded); empty for those too short to count."""
+    return [k if long_enough(k, least) else b"" for k in [x.strip(SPACE) for x in raw.translate(BYTES_LOWER).split(b"\n")]]
 
 
-def hashes(keys: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(k.encode()) for k in keys), np.uint64, len(keys))
+def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
 def probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -70,7 +73,7 @@ def twice_filters(plain: DataFrame, least: int, segments: int) -> dict[int, tupl
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = hashes([k for t in batch.column("text").to_pylist() for k in {*keys_of(t, least)} if k])
+            found = hashes([k for t in raw_texts(batch) for k in {*keys_of(t, least)} if k])
             unique, n = np.unique(found, return_counts=True)
             unique = np.concatenate([unique, unique[n > 1]])  # two of a key are as good as more
             to = (unique % np.uint64(segments)).astype(np.int32)
@@ -105,7 +108,7 @@ def twice_filters(plain: DataFrame, least: int, segments: int) -> dict[int, tupl
     return {r.segment: (r.bits, bytes(r.data)) for r in dealt.mapInArrow(build, "segment int, bits int, data binary").toLocalIterator()}
 
 
-def suspected(keys: list[str], filters: dict[int, Bloom], segments: int) -> np.ndarray:
+def suspected(keys: list[bytes], filters: dict[int, Bloom], segments: int) -> np.ndarray:
     h = hashes(keys)
     to, out = (h % np.uint64(segments)).astype(np.int64), np.zeros(len(h), bool)
     for segment in np.unique(to).tolist():
@@ -115,11 +118,11 @@ def suspected(keys: list[str], filters: dict[int, Bloom], segments: int) -> np.n
     return out
 
 
-def line_dedup(docs: DataFrame, least: int = 20, documents: int = 3, outputs: tuple[str, ...] = ("n_lines", "n_dropped", "kept"), segments: int | None = None, confirmed_mb: float = CONFIRMED_MB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept: lines whose key has `least` code points or more and stands in `documents` rows or more go, except from the rows with the largest id that holds it."""
+def line_dedup(docs: DataFrame, least: int = 20, documents: int = 3, outputs: tuple[str, ...] = ("n_lines", "n_dropped", "kept"), segments: int | None = None, confirmed_mb: float = CONFIRMED_MB, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept (and rest, if carried): lines whose key has `least` code points or more and stands in `documents` rows or more go, except from the rows with the largest id that holds it."""
     spark = docs.sparkSession
     prepare(spark)
-    plain = narrow(docs, id_col, text_col)
+    plain = narrow(docs, id_col, text_col, carry)
     kind = plain.schema["doc_id"].dataType.simpleString()
     segments = segments or max(1, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     twice = spark.sparkContext.broadcast(twice_filters(plain, least, segments))
@@ -128,35 +131,40 @@ def line_dedup(docs: DataFrame, least: int = 20, documents: int = 3, outputs: tu
         filters = {k: Bloom(bits, np.frombuffer(data, np.uint8)) for k, (bits, data) in twice.value.items()}
         for batch in batches:
             rows, keys = [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
+            for k, text in enumerate(raw_texts(batch)):
                 own = [x for x in {*keys_of(text, least)} if x]
                 keys += own
                 rows += [k] * len(own)
             found = np.flatnonzero(suspected(keys, filters, segments))
-            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in found], pa.string()), batch.column("doc_id").take(pa.array(np.array(rows, np.int64)[found]))], names=["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in found], pa.binary()), batch.column("doc_id").take(pa.array(np.array(rows, np.int64)[found]))], names=["key", "doc_id"])
 
-    def digest(key: str) -> bytes:
-        return xxhash.xxh3_128_digest(key.encode())
+    digest = xxhash.xxh3_128_digest
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in batch.column("key").to_pylist()], pa.binary()), batch.column("keeper")], names=["digest", "keeper"])
+            yield pa.RecordBatch.from_arrays([pa.array([*map(digest, batch.column("key").to_pylist())], pa.binary()), batch.column("keeper")], names=["digest", "keeper"])
 
-    pairs = plain.mapInArrow(suspects, f"key string, doc_id {kind}")
+    pairs = plain.select("doc_id", "text").mapInArrow(suspects, f"key binary, doc_id {kind}")
     grouped = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= documents)
     confirmed, path = settle(spark, grouped.mapInArrow(digests, f"digest binary, keeper {kind}"), "line-keys")
 
-    def rewrite(text: str | None, drops) -> tuple[int, list[str]]:
-        lines = (text or "").split("\n")
-        return len(lines), [line for line, key in zip(lines, keys_of(text, least), strict=True) if not (key and drops(key))]
-
-    def rows(batch: pa.RecordBatch, kept: list[tuple[int, list[str]]]) -> pa.RecordBatch:
-        made = {"n_lines": pa.array([n for n, _ in kept], pa.int64()), "n_dropped": pa.array([n - len(k) for n, k in kept], pa.int64())}
-        if "kept" in outputs:
-            made["kept"] = pa.array(["\n".join(k) for _, k in kept], pa.string())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(made[k] for k in outputs)], names=["doc_id", *outputs])
-
-    schema = f"doc_id {kind}, " + ", ".join(f"{k} {'string' if k == 'kept' else 'long'}" for k in outputs)
+    def rows(batch: pa.RecordBatch, texts: list[bytes], keys: list[list[bytes]], drops: list) -> pa.RecordBatch:
+        """drops: for each row, the keys that lose their lines."""
+        n, gone, kept = [], [], []
+        for text, own, drop in zip(texts, keys, drops, strict=True):
+            n.append(len(own))
+            if not drop:
+                gone.append(0)
+                kept.append(text)
+                continue
+            left = [line for line, key in zip(text.split(b"\n"), own, strict=True) if key not in drop]
+            gone.append(len(own) - len(left))
+            kept.append(b"\n".join(left))
+        made = {"n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+        more = ["rest"] if carry else []
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(made[k] for k in outputs), *(batch.column(k) for k in more)], names=["doc_id", *outputs, *more])
+
+    schema = rows_of(f"doc_id {kind}, " + ", ".join(f"{k} {'string' if k == 'kept' else 'long'}" for k in outputs), plain)
     if confirmed.count() * ENTRY <= confirmed_mb * (1 << 20):
         keeper = spark.sparkContext.broadcast({bytes(r.digest): r.keeper for r in confirmed.toLocalIterator()})
         remove(spark, path)
@@ -165,29 +173,31 @@ def line_dedup(docs: DataFrame, least: int = 20, documents: int = 3, outputs: tu
             filters = {k: Bloom(bits, np.frombuffer(data, np.uint8)) for k, (bits, data) in twice.value.items()}
             table = keeper.value
             for batch in batches:
-                texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-                keys = list({k for t in texts for k in keys_of(t, least) if k})
-                known = {keys[k] for k in np.flatnonzero(suspected(keys, filters, segments))}
+                texts, ids = raw_texts(batch), batch.column("doc_id").to_pylist()
+                keys = [keys_of(t, least) for t in texts]
+                own = [*{k for x in keys for k in x if k}]
+                known = [own[k] for k in np.flatnonzero(suspected(own, filters, segments))]
                 goes = {k: table[d] for k in known if (d := digest(k)) in table}
-                yield rows(batch, [rewrite(t, lambda k, i=i: k in goes and goes[k] != i) for t, i in zip(texts, ids, strict=True)])
+                yield rows(batch, texts, keys, [{k for k in x if k in goes and goes[k] != i} for x, i in zip(keys, ids, strict=True)])
 
         return plain.mapInArrow(apply, schema)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in suspects(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in batch.column("key").to_pylist()], pa.binary()), batch.column("doc_id")], names=["digest", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array([*map(digest, batch.column("key").to_pylist())], pa.binary()), batch.column("doc_id")], names=["digest", "doc_id"])
 
     # a key that a third of all rows hold is split by a salt: its one decision is copied to each part
     salts = 32
-    spots = plain.mapInArrow(places, f"digest binary, doc_id {kind}").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    spots = plain.select("doc_id", "text").mapInArrow(places, f"digest binary, doc_id {kind}").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     decided = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     drops = spots.join(decided, ["digest", "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id").agg(F.collect_set("digest").alias("drops")).withColumnRenamed("doc_id", "drop_id")
-    joined = plain.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select("doc_id", "text", "drops")
+    joined = plain.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select(*plain.columns, "drops")
 
     def apply_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            goes = [{*x} if x else () for x in batch.column("drops").to_pylist()]
-            yield rows(batch, [rewrite(t, lambda k, g=g: bool(g) and digest(k) in g) for t, g in zip(batch.column("text").to_pylist(), goes, strict=True)])
+            texts, goes = raw_texts(batch), [{*x} if x else () for x in batch.column("drops").to_pylist()]
+            keys = [keys_of(t, least) for t in texts]
+            yield rows(batch, texts, keys, [{k for k in x if k and digest(k) in g} if g else () for x, g in zip(keys, goes, strict=True)])
 
     return joined.mapInArrow(apply_joined, schema)
 
