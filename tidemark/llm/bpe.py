@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -76,7 +76,7 @@ class Vocabulary:
         self.shorter = [next((by_text[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in by_text), -1) for t in texts]
         self.automaton = ahocorasick.Automaton()
         for k, t in enumerate(texts):
-            self.automaton.add_word(t.decode("latin-1"), k)
+            self.automaton.add_word(t.decode("latin-1"), (len(t) - 1, k))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -118,11 +118,8 @@ class Vocabulary:
     def longest(self, data: bytes) -> list[int]:
         """The longest token that starts at each byte."""
         best = [-1] * len(data)
-        sizes = self.sizes
-        for end, token in self.automaton.iter(data.decode("latin-1")):
-            start = end + 1 - sizes[token]
-            if best[start] < 0 or sizes[best[start]] < sizes[token]:
-                best[start] = token
+        for end, (back, token) in self.automaton.iter(data.decode("latin-1")):
+            best[end - back] = token  # matches come in order of their ends, so a start's last is its longest
         return best
 
     def piece(self, data: bytes) -> list[int]:
@@ -185,8 +182,39 @@ class Vocabulary:
         return b"".join(out)
 
 
-class Units(dict):
-    """Memo: white space with what follows it, to its ids as text and as packed int32.
+class Memo(dict):
+    """Two generations: when the young one is full it becomes the old one, and what is asked for again moves back."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def __missing__(self, key: str) -> tuple[str, bytes]:
+        made = self.old.get(key) or self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[key] = made
+        return made
+
+
+class Pieces(Memo):
+    """A pre-token to its ids as text and as packed int32."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+        self.names = [str(i) for i in vocabulary.outer]
+        self.packs = [struct.pack("=i", i) for i in vocabulary.outer]
+
+    def make(self, piece: str) -> tuple[str, bytes]:
+        tokens = self.vocabulary.piece(piece.encode())
+        return ",".join([self.names[t] for t in tokens]), b"".join([self.packs[t] for t in tokens])
+
+
+class Units(Memo):
+    """White space with what follows it, to its ids likewise.
 
     A unit is cut at ASCII white space only, before it. No pre-token crosses such a cut and none looks past it, unless white space beyond
     ASCII stands at the cut; texts with that are one unit.
@@ -196,26 +224,14 @@ class Units(dict):
         import regex
 
         super().__init__()
-        self.vocabulary, self.split = vocabulary, regex.compile(PATTERN)
-        self.pieces: dict[str, list[int]] = {}
-
-    def __missing__(self, unit: str) -> tuple[str, bytes]:
-        v = self.vocabulary
-        ids: list[int] = []
-        for p in self.split.findall(unit):
-            if (got := self.pieces.get(p)) is None:
-                got = [v.outer[t] for t in v.piece(p.encode())]
-                if len(p) <= MEMO_CHARS:
-                    if len(self.pieces) >= MEMO:
-                        self.pieces.clear()
-                    self.pieces[p] = got
-            ids += got
-        made = ",".join(map(str, ids)), array("i", ids).tobytes()
-        if len(unit) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[unit] = made
-        return made
+        self.pieces, self.split = Pieces(vocabulary), regex.compile(PATTERN)
+
+    def make(self, unit: str) -> tuple[str, bytes]:
+        found = self.split.findall(unit)
+        if len(found) == 1:
+            return self.pieces[unit]
+        got = [self.pieces[p] for p in found]
+        return ",".join([x[0] for x in got]), b"".join([x[1] for x in got])
 
 
 UNIT, WIDE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+"), re.compile(f"[{WIDE_SPACE}]")
@@ -240,9 +256,9 @@ def encode(text: str, v: Vocabulary, units: Units) -> tuple[str, np.ndarray]:
             packed.append(np.int32(v.added[part]).tobytes())
         elif part:
             found = [part] if not part.isascii() and WIDE.search(part) else UNIT.findall(part)
-            got = [units[u] for u in found]
-            names += [x[0] for x in got]
-            packed += [x[1] for x in got]
+            got = [*zip(*map(units.__getitem__, found), strict=True)]
+            names += got[0]
+            packed += got[1]
     return ",".join(names), np.frombuffer(b"".join(packed), np.int32)
 
 
