@@ -125,4 +125,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     misses.mapInArrow(run, schema).write.mode("append").parquet(cache)
     known = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     keyed = plain.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest(F.col("text"), collapse).alias("digest"))
-    return keyed.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # a text that a third of all rows have is split by a salt: its one count is copied to each part
+    salts = 8
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return keyed.join(known, ["digest", "salt"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
