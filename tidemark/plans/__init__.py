@@ -1 +1 @@
-
+"""Metrics, policy, guarded SQL, currency lineage and combination."""

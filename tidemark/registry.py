@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.session import table
 
@@ -13,11 +12,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+class Tables:
+    """The tables of one folder, by attribute, and SQL over those that a query names."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+    def sql(self, text: str, *names: str, **args: object) -> DataFrame:
+        """Named tables become parameters of the statement; nothing is registered in the caller's session."""
+        return self.spark.sql(text, args=args or None, **{n: getattr(self, n) for n in names})
+
+
 def query(sql: str | None = None):
-    """Register the decorated (spark, sf_dir) function under its name, with its oracle."""
+    """Register the decorated function of Tables under its name, with its oracle."""
 
-    def register(f):
-        QUERIES[f.__name__] = f
+    def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql is not None:
             ORACLE[f.__name__] = sql
         return f
@@ -25,9 +38,4 @@ def query(sql: str | None = None):
     return register
 
 
-@query("""SELECT r_name AS region, count(*) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-          JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus <> 'F' GROUP BY 1""")
-def m01_open_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda n: table(spark, sf_dir, n)
-    joined = t("orders").filter("o_orderstatus <> 'F'").join(t("customer"), F.expr("o_custkey = c_custkey")).join(t("nation"), F.expr("c_nationkey = n_nationkey")).join(t("region"), F.expr("n_regionkey = r_regionkey"))
-    return joined.groupBy(F.col("r_name").alias("region")).agg(F.count(F.lit(1)).alias("value"))
+from tidemark.operators import dataflow_queries, graph_queries, metric_queries, sql_queries  # noqa: E402, F401  they register themselves
