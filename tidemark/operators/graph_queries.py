@@ -1 +1,103 @@
-"""To come."""
+"""Graph, retrieval and history operators on the benchmark tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.operators import graph
+from tidemark.registry import Tables, query
+
+_COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+@query(f"SELECT q AS question, item, score FROM (SELECT b.vec_id AS q, a.vec_id AS item, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND b.vec_id < 5) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, item) <= 10")
+def g01_cosine_topk(t: Tables) -> DataFrame:
+    """Five stated questions against all vectors."""
+    items = t.embeddings.select(F.col("vec_id").alias("item"), "embedding")
+    asked = t.embeddings.filter("vec_id < 5").select(F.col("vec_id").alias("question"), "embedding")
+    return graph.vector_top(items, asked, 10, "item", "question").select("question", "item", "score")
+
+
+_TERMS = ["the", "license", "und", "estion", "token"]
+_BM25 = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS ws FROM documents), t AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM w), f AS (SELECT doc_id, len(ws) AS l, u.term, count(*) AS tf FROM w, unnest(ws) u(term) WHERE u.term IN ('the', 'license', 'und', 'estion', 'token') GROUP BY 1, 2, 3),
+d AS (SELECT term, count(*) AS df FROM f GROUP BY 1), s AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) AS score FROM f JOIN d USING (term), t GROUP BY 1)"""
+
+
+@query(f"{_BM25} SELECT doc_id, score FROM s")
+def g02_bm25_topk(t: Tables) -> DataFrame:
+    return graph.bm25(t.documents, _TERMS, "doc_id", "text")
+
+
+@query(f"""{_BM25}, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM s QUALIFY r <= 50), b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 50)
+           SELECT doc_id, round(sum(1.0 / (60 + r)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""")
+def g03_rrf(t: Tables) -> DataFrame:
+    words = graph.ranked(graph.bm25(t.documents, _TERMS, "doc_id", "text"), "doc_id", 50)
+    size = graph.ranked(t.documents.select("doc_id", F.col("n_chars").alias("score")), "doc_id", 50)
+    return graph.fuse([words, size], "doc_id")
+
+
+@query("""WITH d AS (SELECT DISTINCT event_type AS metric, 's' || user_id % 3 AS source, 'c' || user_id % 7 AS col FROM events), k AS (SELECT metric, source, CASE WHEN col IN ('c1', 'c2') THEN 'g1' WHEN col IN ('c4', 'c5', 'c6') THEN 'g2' END AS grp FROM d)
+          SELECT DISTINCT a.metric AS metric_a, b.metric AS metric_b, a.grp AS grp FROM k a JOIN k b ON a.grp = b.grp AND a.source <> b.source AND a.metric < b.metric""")
+def g04_joinable(t: Tables) -> DataFrame:
+    dims = t.events.select(F.col("event_type").alias("metric"), F.concat(F.lit("s"), F.col("user_id") % 3).alias("source"), F.concat(F.lit("c"), F.col("user_id") % 7).alias("column")).distinct()
+    return graph.joinable(dims, {"g1": ["c1", "c2"], "g2": ["c4", "c5", "c6"]})
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+          p(start, spot, hops, path) AS (SELECT 's1', 's1', CAST(0 AS BIGINT), ['s1'] UNION ALL SELECT start, u.b, hops + 1, list_append(path, u.b) FROM p JOIN u ON p.spot = u.a WHERE hops < 6 AND NOT list_contains(path, u.b))
+          SELECT start, spot AS goal, hops, array_to_string(path, '>') AS path FROM p WHERE spot IN ('s2', 's3', 's4', 'n7') QUALIFY row_number() OVER (PARTITION BY start, spot ORDER BY hops, path) = 1""")
+def g05_shortest_path(t: Tables) -> DataFrame:
+    edges = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst")).union(t.supplier.select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey")))
+    uid = lambda *names: t.spark.createDataFrame([(n,) for n in names], "uid string")
+    return graph.shortest_paths(edges, uid("s1"), uid("s2", "s3", "s4", "n7"), 6).withColumn("path", F.array_join("path", ">"))
+
+
+@query("""WITH e AS (SELECT 'customer' || c_custkey AS src, 'IN' AS type, 'nation' || c_nationkey AS dst FROM customer UNION SELECT 'nation' || n_nationkey, 'OF', 'region' || n_regionkey FROM nation UNION SELECT 'nation' || s_nationkey, 'SELLS', 'supplier' || s_suppkey FROM supplier),
+          a AS (SELECT * FROM e WHERE type = 'IN' AND src IN ('customer1', 'customer2', 'customer3'))
+          SELECT src, type, dst FROM a UNION SELECT e.* FROM e WHERE type IN ('OF', 'SELLS') AND src IN (SELECT dst FROM a)""")
+def g06_lineage_union(t: Tables) -> DataFrame:
+    edge = lambda df, a, ak, type_, b, bk: df.select(F.concat(F.lit(a), F.col(ak)).alias("src"), F.lit(type_).alias("type"), F.concat(F.lit(b), F.col(bk)).alias("dst"))
+    edges = edge(t.customer, "customer", "c_custkey", "IN", "nation", "c_nationkey").union(edge(t.nation, "nation", "n_nationkey", "OF", "region", "n_regionkey")).union(edge(t.supplier, "nation", "s_nationkey", "SELLS", "supplier", "s_suppkey"))
+    start = t.spark.createDataFrame([("customer1",), ("customer2",), ("customer3",)], "uid string")
+    return graph.lineage(edges, [["IN", "OF"], ["IN", "SELLS"]], start)
+
+
+@query("""WITH r AS (SELECT lower(regexp_replace(trim(event_type || '  ' || CAST(floor(value / 20) AS INTEGER)), '\\s+', ' ', 'g')) AS qkey, user_id AS sub, CAST(event_id % 3 AS VARCHAR) AS plan, event_id AS id FROM events),
+          m AS (SELECT sub, qkey FROM (SELECT sub, qkey, row_number() OVER (PARTITION BY sub ORDER BY max(id) DESC, qkey) AS k FROM r GROUP BY 1, 2) WHERE k <= 4), w AS (SELECT r.* FROM r JOIN m USING (sub, qkey)),
+          a AS (SELECT qkey, count(DISTINCT sub) AS callers, count(*) AS n, max(id) AS last FROM w GROUP BY 1 HAVING count(DISTINCT sub) >= 3), p AS (SELECT qkey, plan, count(DISTINCT sub) AS backers, max(id) AS at_id FROM w GROUP BY 1, 2)
+          SELECT a.qkey, callers, n, last, arg_max(plan, (backers, at_id)) AS plan FROM a JOIN p ON a.qkey = p.qkey GROUP BY ALL ORDER BY callers DESC, last DESC, a.qkey LIMIT 20""".replace("\\\\s", "\\s"))
+def g07_distill(t: Tables) -> DataFrame:
+    log = t.events.select(F.concat("event_type", F.lit("  "), F.floor(F.col("value") / 20).cast("int").cast("string")).alias("question"), F.col("user_id").alias("sub"), (F.col("event_id") % 3).cast("string").alias("plan"), F.col("event_id").alias("id"))
+    return graph.distil(log, 4, 3, 20)
+
+
+@query("""WITH v AS (SELECT 'n' || n_nationkey AS uid FROM nation WHERE n_regionkey IN (1, 2)), u AS (SELECT 'q' || c_custkey % 100 AS by_, 'n' || c_nationkey AS thing FROM customer WHERE c_custkey < 150)
+          SELECT uid FROM v UNION ALL SELECT by_ FROM u LEFT JOIN v ON thing = uid GROUP BY by_ HAVING count(*) = count(uid)""")
+def g08_gate_all_used(t: Tables) -> DataFrame:
+    kind = lambda df, id_, k, scope: df.select(id_.alias("uid"), F.lit(k).alias("kind"), F.array(scope).alias("scopes"), F.lit("").alias("text")).distinct()
+    few = t.customer.filter("c_custkey < 150")
+    asked = F.concat(F.lit("q"), F.col("c_custkey") % 100)
+    nodes = kind(t.nation, F.concat(F.lit("n"), "n_nationkey"), "Metric", F.concat(F.lit("r"), "n_regionkey")).union(kind(few, asked, "Question", F.lit("*")))
+    edges = few.select(asked.alias("src"), F.lit("USED").alias("type"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
+    return graph.gate(nodes, edges, ["r1", "r2"]).select("uid")
+
+
+@query("SELECT 'n' || n_nationkey AS node, CAST(2 AS BIGINT) AS depth FROM nation WHERE n_regionkey IN (0, 1) UNION ALL SELECT 'r' || r_regionkey, 1 FROM region WHERE r_regionkey IN (0, 1) UNION ALL SELECT 'root', 0")
+def g09_hierarchy(t: Tables) -> DataFrame:
+    top = t.region.filter("r_regionkey < 2").select(F.lit("root").alias("src"), F.concat(F.lit("r"), "r_regionkey").alias("dst"))
+    return graph.descend(top.union(t.nation.select(F.concat(F.lit("r"), "n_regionkey"), F.concat(F.lit("n"), "n_nationkey"))), "root", 2)
+
+
+@query("SELECT 'node' AS what, 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'node', 'region', count(*) FROM region UNION ALL SELECT 'edge', 'OF', count(*) FROM nation")
+def g10_counts(t: Tables) -> DataFrame:
+    kind = lambda df, id_, k: df.select(F.concat(F.lit(k), id_).alias("uid"), F.lit(k).alias("kind"), F.array(F.lit("*")).alias("scopes"), F.lit("").alias("text"))
+    nodes, edges = graph.build([kind(t.nation, "n_nationkey", "nation"), kind(t.region, "r_regionkey", "region")], [t.nation.select(F.concat(F.lit("nation"), "n_nationkey").alias("src"), F.lit("OF").alias("type"), F.concat(F.lit("region"), "n_regionkey").alias("dst"))])
+    return graph.counts(nodes, edges)
+
+
+@query("SELECT CASE WHEN n_nationkey < 3 THEN 'nation' ELSE 'gone' END || n_nationkey AS src FROM nation WHERE n_nationkey >= 3")
+def g11_dangling(t: Tables) -> DataFrame:
+    nodes = t.nation.filter("n_nationkey < 3").select(F.concat(F.lit("nation"), "n_nationkey").alias("uid"))
+    edges = t.nation.select(F.concat(F.when(F.col("n_nationkey") < 3, "nation").otherwise("gone"), "n_nationkey").alias("src"), F.lit("OF").alias("type"), F.concat(F.when(F.col("n_nationkey") < 3, "nation").otherwise("gone"), "n_nationkey").alias("dst"))
+    return graph.dangling(nodes, edges).select("src")
