@@ -100,7 +100,7 @@ def combine_frames(spark: SparkSession, sql: str, handles: Mapping[str, Handle],
     except Exception as e:  # noqa: BLE001  analysis errors come over the gateway
         raise Refused("invalid_sql", str(e).strip().splitlines()[0][:300]) from None
     for alias, h in handles.items():
-        session_view(session, alias, h.frame)
+        guard.session_view(session, alias, h.frame)
     made = session.sql(text)
     made = made.toDF(*column_names(made.columns)).limit(limit + 1)
     amounts = frozenset(c for c, i in zip(made.columns, infos, strict=True) if i.amount)
@@ -109,12 +109,6 @@ def combine_frames(spark: SparkSession, sql: str, handles: Mapping[str, Handle],
     return Handle(made, amounts, own[0] if len(own) == 1 else None, cut, cut, tuple(handles), tuple(sorted({x for h in handles.values() for x in h.lineage})), sql)
 
 
-def session_view(session: SparkSession, alias: str, df: DataFrame) -> None:
-    """Make a frame of another session visible in this one under a name; the plan is shared, nothing is computed."""
-    datasets = getattr(session.sparkContext._jvm.org.apache.spark.sql.classic, "Dataset$")
-    getattr(datasets, "MODULE$").ofRows(session._jsparkSession, df._jdf.queryExecution().logical()).createOrReplaceTempView(alias)
-
-
 class Store:
     """Handles by owner: read by their owner only, expiring, the owner's oldest going first."""
 

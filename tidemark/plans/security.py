@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.guard import session_view
+
 # Row dimension of each table (its column has the same name), None for access by dataset alone.
 ROW_SCOPES: dict[str, dict[str, str | None]] = {
     "refmaster": {"legal_entities": None, "securities": "asset_class", "products": None, "accounts": None, "corporate_actions": None, "dq_rules": None, "exceptions": "asset_class", "change_requests": None, "data_dictionary": None},
@@ -72,7 +74,8 @@ def secure(df: DataFrame, claims: Claims, source: str, table: str, dimension: st
 def secured_views(spark: SparkSession, claims: Claims, source: str, read: Callable[[str], DataFrame | None]) -> SparkSession:
     """A new session that holds this caller's secured views of one source and nothing else."""
     session = spark.newSession()
+    session.conf.set("spark.sql.runSQLOnFiles", "false")
     for table, dimension in ROW_SCOPES[source].items():
         if claims.can(source, table) and (df := read(table)) is not None:
-            secure(df, claims, source, table, dimension, MASKED.get((source, table))).createOrReplaceTempView(table)
+            session_view(session, table, secure(df, claims, source, table, dimension, MASKED.get((source, table))))
     return session

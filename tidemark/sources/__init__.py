@@ -1 +1 @@
-
+"""Scans, endpoints, catalogs and append logs."""
