@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 # Kinds of nodes, hits kept of each kind, fusion constant, path length, and the order in which a full pack loses items.
 KINDS = ["Source", "Table", "Column", "Field", "Endpoint", "Metric", "Dimension", "Concept", "BusinessTerm", "Question", "Execution", "Role"]
 TOP = {"Metric": 5, "BusinessTerm": 3, "Concept": 2, "Column": 5, "Question": 3}
@@ -45,21 +47,22 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, start: DataFrame, goal: DataFrame, hops: int = MAX_HOPS, through: DataFrame | None = None) -> DataFrame:
     """(start, goal, hops, path): the shortest undirected path of each pair, of equals the smallest path; every node between within `through`.
 
-    A frontier join a hop: each start keeps one row a node reached, so the frontier is bounded by pairs of start and node. A node that was
+    A frontier join a hop, its plan cut each time: each start keeps one row a node reached, so the frontier is bounded by pairs of start and node. A node that was
     reached earlier is not entered again. Stops when nothing new is reached or every goal is.
     """
     hops = min(hops, MAX_HOPS)
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct()
-    now = start.select(F.col("uid").alias("start"), F.col("uid").alias("at"), F.array("uid").alias("path"))
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct())
+    now = cut(start.select(F.col("uid").alias("start"), F.col("uid").alias("at"), F.array("uid").alias("path")))
     reached, out = now.select("start", "at"), None
     for k in range(1, hops + 1):
         enter = now if through is None or k == 1 else now.join(through.select(F.col("uid").alias("at")), "at", "left_semi")
         new = enter.join(both, enter.at == both.src).select("start", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
-        now = new.groupBy("start", "at").agg(F.min("path").alias("path")).join(reached, ["start", "at"], "left_anti")
-        now = now.checkpoint() if k % 4 == 0 and now.sparkSession.sparkContext.getCheckpointDir() else now
-        reached = reached.union(now.select("start", "at"))
+        now = cut(new.groupBy("start", "at").agg(F.min("path").alias("path")).join(reached, ["start", "at"], "left_anti"))
         found = now.join(goal.select(F.col("uid").alias("at")), "at", "left_semi").select("start", F.col("at").alias("goal"), F.lit(k).cast("long").alias("hops"), "path")
         out = found if out is None else out.union(found)
+        if now.isEmpty():
+            break
+        reached = reached.union(now.select("start", "at"))
     return out
 
 
