@@ -219,3 +219,22 @@ def test_shape_edges(spark):
     assert shape.story_holds(a, ("k", "v", "k"), ("k", "j"), 3) and not shape.story_holds(a, count=2)
     assert shape.nearest_rank_of([3, 1, 2], 0.5) == 2 and shape.nearest_rank_of([], 0.5) is None
     assert shape.pivot(a, "k", "k", "v").columns == ["k", "j", "k"]
+
+
+def test_history_layer(spark):
+    log = spark.createDataFrame([(k, f"u{k % 2}", k % 3 != 0, "ok") for k in range(12)], "id int, sub string, verified boolean, status string")
+    rows, counts = graph.read_log(log, 3, 100)
+    assert rows.count() == 6 and tuple(counts.first()) == (4, 2)
+    asked = spark.createDataFrame([("q", 3, 5, 9), ("q", 4, 2, 7), ("p", 1, 9, 1)], "qkey string, callers long, n long, last long")
+    assert [tuple(r) for r in graph.fold_variants(asked, "qkey", 2).collect()] == [("q", 4, 7, 9)]
+    nodes = spark.createDataFrame([("m1", "Metric", "build"), ("old", "Question", "history")], "uid string, kind string, origin string")
+    edges = spark.createDataFrame([("r1", "CAN_READ", "m1", "build")], "src string, type string, dst string, origin string").limit(0)
+    new = spark.createDataFrame([("q1", "Question")], "uid string, kind string")
+    used = spark.createDataFrame([("q1", "USED", "m1")], "src string, type string, dst string")
+    once = graph.rebuild_history(nodes, edges, new, used)
+    twice = graph.rebuild_history(*once, new, used)
+    assert {r.uid for r in twice[0].collect()} == {"m1", "q1"} and twice[1].count() == 1
+    with pytest.raises(ValueError):
+        graph.rebuild_history(nodes, edges, new, used.replace("m1", "gone"))
+    can = spark.createDataFrame([("r2", "CAN_READ", "m1"), ("r1", "CAN_READ", "m1")], "src string, type string, dst string")
+    assert graph.roles_of(nodes, can).first().roles == ["r1", "r2"]

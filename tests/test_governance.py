@@ -202,3 +202,19 @@ def test_query_pages_and_combine(engine):
     assert code(engine.combine, HEAD, "select sum(value) as total from a", {"a": both["handle"]}) == "mixed_currency"
     assert code(engine.query, EMEA, "cashrecon", "select * from parquet.`/etc/passwd`") == "sql_not_allowed"
     assert code(engine.query, EMEA, "cashrecon", "select 1 / (age_days - age_days) from breaks") == "query_failed"
+    assert engine.store.metric_backed(HEAD.sub, total["handle"]) and not engine.store.metric_backed(EMEA.sub, q["handle"])
+
+
+def test_yaml_definitions(tmp_path):
+    from tidemark.plans.catalog import load_metrics
+
+    text = "id: m\nsource: cashrecon\ntype: count\nfrom: breaks\ndimensions: {region: region}\nfilters: {age: {expr: age_days, type: int}}\nfine_grain: [region]\n"
+    (tmp_path / "m.yaml").write_text(text)
+    m = load_metrics(str(tmp_path))["m"]
+    assert (m.frm, m.filters["age"], m.fine_grain) == ("breaks", ("age_days", "int"), ("region",))
+    (tmp_path / "n.yaml").write_text(text)
+    with pytest.raises(ValueError):
+        load_metrics(str(tmp_path))
+    (tmp_path / "n.yaml").write_text(text.replace("id: m", "id: n") + "sql: drop\n")
+    with pytest.raises(ValueError):
+        load_metrics(str(tmp_path))

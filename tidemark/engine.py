@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,9 +54,8 @@ class Engine:
         return self._kept(claims, handle, min(limit or 100, MAX_ROWS))
 
     def _kept(self, claims: Claims, handle: Handle, cap: int) -> dict:
-        fields = {k: getattr(handle, k) for k in Handle.__dataclass_fields__}
         over = handle.frame.cache().count() > cap
-        name = self.store.put(claims.sub, Handle(**(fields | {"frame": handle.frame.limit(cap), "truncated": handle.truncated or over})))
+        name = self.store.put(claims.sub, replace(handle, frame=handle.frame.limit(cap), truncated=handle.truncated or over))
         return self.store.summary(claims.sub, name)
 
     def query(self, claims: Claims, source: str, sql: str) -> dict:

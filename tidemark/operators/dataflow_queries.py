@@ -48,7 +48,7 @@ def d03_position_recon(t: Tables) -> DataFrame:
     return found.withColumn("diff_qty", F.col("diff_qty").cast("double")).withColumn("diff_mv", F.col("diff_mv").cast("double"))
 
 
-@query("""WITH d AS (SELECT CAST(ts AS DATE) AS business_date, event_type, count_if(value > 90) AS unmatched FROM events GROUP BY 1, 2), r AS (SELECT business_date, row_number() OVER (ORDER BY business_date DESC) AS k FROM (SELECT DISTINCT business_date FROM d))
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS business_date, event_type, CAST(count_if(value > 90) AS BIGINT) AS unmatched FROM events GROUP BY 1, 2), r AS (SELECT business_date, row_number() OVER (ORDER BY business_date DESC) AS k FROM (SELECT DISTINCT business_date FROM d))
           SELECT business_date, event_type, unmatched, CASE WHEN k = 1 THEN 'in_progress' WHEN k <= 4 AND unmatched > 0 THEN 'open' ELSE 'signed_off' END AS status FROM d JOIN r USING (business_date)""")
 def d04_run_status(t: Tables) -> DataFrame:
     runs = t.events.groupBy(F.to_date("ts").alias("business_date"), "event_type").agg(F.count_if(F.col("value") > 90).alias("unmatched"))
@@ -108,14 +108,14 @@ def d11_price_suspects(t: Tables) -> DataFrame:
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("deviation_pct"), 3).alias("top"))
 
 
-@query("""WITH c AS (SELECT CAST(ts AS DATE) AS day, count(*) AS acquired, count_if(event_type <> 'error') AS validated, count_if(value > 90) AS suspect, count_if(event_type = 'purchase') AS distributed FROM events GROUP BY 1)
+@query("""WITH c AS (SELECT CAST(ts AS DATE) AS day, count(*) AS acquired, CAST(count_if(event_type <> 'error') AS BIGINT) AS validated, CAST(count_if(value > 90) AS BIGINT) AS suspect, CAST(count_if(event_type = 'purchase') AS BIGINT) AS distributed FROM events GROUP BY 1)
           SELECT day, stage, n, n / nullif(acquired, 0) AS share FROM (SELECT day, acquired, unnest(['acquired', 'validated', 'suspect', 'distributed']) AS stage, unnest([acquired, validated, suspect, distributed]) AS n FROM c)""")
 def d12_funnel_unpivot(t: Tables) -> DataFrame:
     made = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("acquired"), F.count_if(F.col("event_type") != "error").alias("validated"), F.count_if(F.col("value") > 90).alias("suspect"), F.count_if(F.col("event_type") == "purchase").alias("distributed"))
     return recon.funnel(made, "day", ["acquired", "validated", "suspect", "distributed"])
 
 
-@query("""SELECT event_type, count_if(d < 7) AS now, count_if(d >= 7) AS before, (count_if(d < 7) - count_if(d >= 7)) / nullif(count_if(d >= 7), 0) AS change FROM (SELECT event_type, date_diff('day', CAST(ts AS DATE), DATE '2024-01-28') AS d FROM events) WHERE d BETWEEN 0 AND 13 GROUP BY 1""")
+@query("""SELECT event_type, CAST(count_if(d < 7) AS BIGINT) AS now, CAST(count_if(d >= 7) AS BIGINT) AS before, (count_if(d < 7) - count_if(d >= 7)) / nullif(count_if(d >= 7), 0) AS change FROM (SELECT event_type, date_diff('day', CAST(ts AS DATE), DATE '2024-01-28') AS d FROM events) WHERE d BETWEEN 0 AND 13 GROUP BY 1""")
 def d13_week_over_week(t: Tables) -> DataFrame:
     return recon.change_over(t.events, "ts", date(2024, 1, 28), 7, ["event_type"])
 

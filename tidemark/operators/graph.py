@@ -201,3 +201,34 @@ def distil(log: DataFrame, per_caller: int, min_callers: int, most: int, questio
     plans = within.groupBy("qkey", "plan").agg(F.count_distinct("sub").alias("backers"), F.max("id").alias("at"))
     best = plans.groupBy("qkey").agg(F.max_by("plan", F.struct("backers", "at")).alias("plan"))
     return asked.join(best, "qkey").orderBy(F.col("callers").desc(), F.col("last").desc(), "qkey").limit(most)
+
+
+def fold_variants(asked: DataFrame, key: str, min_callers: int, most: int = 300) -> DataFrame:
+    """Spellings of one question: callers are the largest of any spelling, never their sum; runs add up."""
+    folded = asked.groupBy(key).agg(F.max("callers").alias("callers"), F.sum("n").alias("n"), F.max("last").alias("last"))
+    return folded.filter(F.col("callers") >= min_callers).orderBy(F.col("callers").desc(), F.col("last").desc(), key).limit(most)
+
+
+def read_log(log: DataFrame, per_caller: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(eligible rows, one row of counts): confirmed successful rows, the latest `per_caller` questions of a caller, `most` + 1 rows to tell a cut."""
+    ok = F.coalesce(F.col("verified") & (F.col("status") == "ok"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("sub").orderBy(F.col("id").desc()))
+    ranked_ = log.filter(ok).withColumn("_k", rank)
+    counts_ = log.agg(F.count_if(~ok).alias("excluded")).crossJoin(ranked_.agg(F.count_if(F.col("_k") > per_caller).alias("over")))  # one row each
+    return ranked_.filter(F.col("_k") <= per_caller).drop("_k").orderBy(F.col("id").desc()).limit(most + 1), counts_
+
+
+def rebuild_history(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, origin: str = "origin") -> tuple[DataFrame, DataFrame]:
+    """The graph with its history layer replaced: running it twice changes nothing more; an edge without its ends is refused."""
+    keep = lambda df: df.filter(F.coalesce(F.col(origin), F.lit("")) != "history")
+    mark = lambda df: df.withColumn(origin, F.lit("history"))
+    all_nodes, all_edges = keep(nodes).unionByName(mark(new_nodes), allowMissingColumns=True), keep(edges).unionByName(mark(new_edges), allowMissingColumns=True)
+    if not dangling(all_nodes, all_edges.select("src", "type", "dst")).isEmpty():
+        raise ValueError("history names nodes that the graph doesn't have")
+    return all_nodes, all_edges
+
+
+def roles_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each metric with the roles that can read it."""
+    can = edges.filter("type = 'CAN_READ'").select(F.col("src").alias("role"), F.col("dst").alias("uid"))
+    return nodes.filter("kind = 'Metric'").join(can, "uid", "left").groupBy("uid").agg(F.array_sort(F.collect_set("role")).alias("roles"))

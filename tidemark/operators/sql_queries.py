@@ -192,14 +192,14 @@ def q28_group_by_all(t: Tables) -> DataFrame:
     return t.sql("select o_orderstatus, o_orderpriority, count(*) as n from {orders} group by all", "orders")
 
 
-@query("""SELECT s_nationkey, round(median(s_acctbal), 4) AS a, round(stddev_samp(s_acctbal), 4) AS b, round(stddev_pop(s_acctbal), 4) AS c, round(var_samp(s_acctbal), 2) AS d, round(var_pop(s_acctbal), 2) AS e, count_if(s_acctbal > 0) AS f, min(s_acctbal) AS g, max(s_acctbal) AS h, any_value(s_nationkey) AS i FROM supplier GROUP BY 1""")
+@query("""SELECT s_nationkey, round(median(s_acctbal), 4) AS a, round(stddev_samp(s_acctbal), 4) AS b, round(stddev_pop(s_acctbal), 4) AS c, round(var_samp(s_acctbal), 2) AS d, round(var_pop(s_acctbal), 2) AS e, CAST(count_if(s_acctbal > 0) AS BIGINT) AS f, min(s_acctbal) AS g, max(s_acctbal) AS h, any_value(s_nationkey) AS i FROM supplier GROUP BY 1""")
 def q29_stat_aggs(t: Tables) -> DataFrame:
     b = F.col("s_acctbal")
     made = {"a": F.round(F.median(b), 4), "b": F.round(F.stddev_samp(b), 4), "c": F.round(F.stddev_pop(b), 4), "d": F.round(F.var_samp(b), 2), "e": F.round(F.var_pop(b), 2), "f": F.count_if(b > 0), "g": F.min(b), "h": F.max(b), "i": F.any_value("s_nationkey")}
     return t.supplier.groupBy("s_nationkey").agg(*(c.alias(k) for k, c in made.items()))
 
 
-@query("SELECT event_id, json_extract_string(json_object('user', user_id, 'tags', json_array(event_type, 'x')), '$.tags[0]') AS tag, json_array_length(json_array(1, 2, user_id)) AS n FROM events")
+@query("SELECT event_id, json_extract_string(json_object('user', user_id, 'tags', json_array(event_type, 'x')), '$.tags[0]') AS tag, CAST(json_array_length(json_array(1, 2, user_id)) AS BIGINT) AS n FROM events")
 def q30_json_extract(t: Tables) -> DataFrame:
     made = F.to_json(F.struct(F.col("user_id").alias("user"), F.array("event_type", F.lit("x")).alias("tags")))
     return t.events.select("event_id", F.get_json_object(made, "$.tags[0]").alias("tag"), F.json_array_length(F.to_json(F.array(F.lit(1), F.lit(2), "user_id"))).cast("long").alias("n"))
@@ -222,8 +222,9 @@ def q33_distinct(t: Tables) -> DataFrame:
 
 @query("""SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS days, year(ts) AS y, month(ts) AS m, day(ts) AS d, quarter(ts) AS q, CAST(CAST(ts AS DATE) + INTERVAL 3 DAY AS DATE) AS later FROM events""")
 def q36_dates(t: Tables) -> DataFrame:
-    ts = F.col("ts").cast("timestamp")
-    made = {"epoch": F.unix_timestamp(ts), "days": F.datediff(F.to_date(ts), F.lit("2024-01-01").cast("date")).cast("long"), "y": F.year(ts).cast("long"), "m": F.month(ts).cast("long"), "d": F.day(ts).cast("long"), "q": F.quarter(ts).cast("long"), "later": F.date_add(F.to_date(ts), 3)}
+    ts = F.col("ts")
+    seconds = F.unix_date(F.to_date(ts)).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)  # whatever the session's time zone
+    made = {"epoch": seconds, "days": F.datediff(F.to_date(ts), F.lit("2024-01-01").cast("date")).cast("long"), "y": F.year(ts).cast("long"), "m": F.month(ts).cast("long"), "d": F.day(ts).cast("long"), "q": F.quarter(ts).cast("long"), "later": F.date_add(F.to_date(ts), 3)}
     return t.events.select("event_id", *(c.alias(k) for k, c in made.items()))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from tidemark.plans.metrics import Metric, register
 
 
@@ -42,3 +44,23 @@ METRICS = register([
     _m("dq_exceptions_total", "refmaster", "count", "exceptions", "domain asset_class status rule_id record_ref", fine="record_ref"),
     _m("pending_corporate_actions", "refmaster", "count", "corporate_actions", "security_id issuer_entity_id action_type effective_date", "security_id issuer_entity_id action_type effective_date:date", base_filter="status = 'pending'", time_column="ex_date", named={"action_type": "event_type", "effective_date": "ex_date"}, fine="security_id issuer_entity_id effective_date"),
 ])
+
+
+def load_metrics(folder: str) -> dict[str, Metric]:
+    """Definitions from YAML files, one or a list each; unknown keys and repeated ids are refused."""
+    import yaml
+
+    known = {f for f in Metric.__dataclass_fields__} - {"filters"}
+    made = []
+    for path in sorted(Path(folder).glob("*.y*ml")):
+        found = yaml.safe_load(path.read_text())
+        for d in found if isinstance(found, list) else [found]:
+            if extra := {*d} - known - {"filters", "from"}:
+                raise ValueError(f"{path.name}: unknown keys {sorted(extra)}")
+            d = dict(d)
+            d["frm"] = d.pop("from", d.get("frm", ""))
+            filters = {n: (f["expr"], f.get("type", "str")) for n, f in d.pop("filters", {}).items()}
+            lists = {k: tuple(d.pop(k)) for k in ("required", "sensitive", "fine_grain") if k in d}
+            joins = tuple((j["table"], j["on"]) for j in d.pop("joins", []))
+            made.append(Metric(**d, **lists, filters=filters, joins=joins))
+    return register(made)

@@ -9,7 +9,7 @@ import time
 import uuid
 from collections import OrderedDict
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +42,7 @@ def of_metric(frame: DataFrame, unit: str, lineage: tuple[str, ...] = (), trunca
     names = {c.lower(): c for c in frame.columns}
     numeric = {f.name for f in frame.schema if isinstance(f.dataType, T.NumericType)}
     amounts = numeric if CCY in names and not unit else {"value"} & numeric if unit == "amount" else set()
-    return Handle(frame, frozenset(amounts), names.get(CCY), truncated, lineage=lineage)
+    return Handle(frame, frozenset(amounts), names.get(CCY), truncated, lineage=lineage, plan=f"metric:{','.join(lineage)}")
 
 
 def column_names(names: list[str]) -> list[str]:
@@ -123,7 +123,7 @@ class Store:
             for k in mine[: max(0, len(mine) - self.own + 1)]:
                 self.held.pop(k)[1].frame.unpersist()
             name = f"r_{uuid.uuid4().hex[:12]}"
-            self.held[sub, name] = self.clock() + self.ttl_s, Handle(handle.frame.cache(), *(getattr(handle, f) for f in list(Handle.__dataclass_fields__)[1:]))
+            self.held[sub, name] = self.clock() + self.ttl_s, replace(handle, frame=handle.frame.cache())
             return name
 
     def get(self, sub: str, name: str) -> Handle:
@@ -153,7 +153,18 @@ class Store:
         return {"handle": name, "columns": shown, "sample": rows, "truncated": h.truncated, "partial": h.partial}
 
     def combine(self, sub: str, sql: str, handles: Mapping[str, str]) -> str:
-        return self.put(sub, combine_frames(next(iter([self.get(sub, n) for n in handles.values()])).frame.sparkSession, sql, {a: self.get(sub, n) for a, n in handles.items()}))
+        held = {a: self.get(sub, n) for a, n in handles.items()}
+        if not held:
+            raise Refused("invalid_request", f"combine takes 1..{MAX_HANDLES} handles")
+        made = combine_frames(next(iter(held.values())).frame.sparkSession, sql, held)
+        return self.put(sub, replace(made, inputs=tuple(handles.values())))
+
+    def metric_backed(self, sub: str, name: str, depth: int = 8) -> bool:
+        """Is a result a metric's, or made of such alone, through all its inputs?"""
+        h = self.get(sub, name)
+        if not h.inputs:
+            return isinstance(h.plan, str) and h.plan.startswith("metric:")
+        return depth > 0 and all(self.metric_backed(sub, i, depth - 1) for i in h.inputs)
 
     def lineage(self, sub: str, name: str, most: int = 64) -> list[str]:
         return list(itertools.islice(dict.fromkeys(self.get(sub, name).lineage), most))
