@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard self-join with signature trees.
 
-1. Every text becomes a set of hashes of its distinct word shingles; equal sets are one from here on. Shingles that are frequent within
-   tasks are summed over all tasks. They come last, and otherwise hashes, in one order of all shingles.
+1. Every text becomes a set of hashes of its distinct word shingles; equal sets are one from here on. All shingles are counted over all
+   sets, 32 bits each, and a bounded Bloom filter of those in two sets or more goes back. Unshared shingles come first in one order of all
+   shingles, the most frequent last. Where a filter would overflow it keeps only shingles that are more frequent: more candidates, no loss.
 2. Blocks. Two sets that link share a shingle among the first |s| - ceil(0.8 |s|) + 1 of either in that order, and their sizes differ by a
    quarter at most. Sets that share such a shingle in near size classes get a chain of candidate edges (not all pairs): within a task first,
    so that a shingle which a third of all rows have moves once a task and size class, then over all tasks. The components of these edges are
@@ -19,6 +20,7 @@ other. A null id takes part as itself and never is a component's id unless all i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BYTES_LOWER, narrow, prepare, remove, settle
+from tidemark.llm.common import BYTES_LOWER, narrow, prepare, remove, returning, settle
 from tidemark.llm.components import components
+from tidemark.llm.line_dedup import Bloom
 
-#: Words of a shingle; the threshold as numerator and denominator; shingles of a task's chunk and of a block; frequent shingles to order (8 bytes each).
-WORDS, UP, DOWN, CHUNK, BLOCK, FREQUENT = 5, 4, 5, 3_000_000, 4_000_000, 1_000_000
-MEMO = 500_000
+#: Words of a shingle; the threshold as numerator and denominator; shingles of a task's chunk and of a block; bounds of what is broadcast: MB of filters in all, very frequent shingles (16 bytes each).
+WORDS, UP, DOWN, CHUNK, BLOCK, SHARED_MB, FREQUENT = 5, 4, 5, 2_000_000, 4_000_000, 64, 500_000
+MEMO = 150_000
 LEAF = 16
 
 
@@ -112,77 +115,137 @@ def packed(*columns: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(c).tobytes() for c in columns]
 
 
-def survey(plain: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest) of each row, and, with a null digest in packed form, shingles frequent within a task's chunk."""
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    return (h % np.uint64(parts)).astype(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, parts, n = set(), [], 0
 
-        def counts() -> Iterator[pa.RecordBatch]:
-            unique, count = np.unique(np.concatenate(parts), return_counts=True)
-            often = count >= 4
-            keys, number = packed(unique[often], count[often].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([None], ids), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([keys]), pa.array([number])], names=names)
+def short(h: np.ndarray) -> np.ndarray:
+    """32 bits besides the part: two shingles that share them only add a candidate, or pass for frequent."""
+    return (h >> np.uint64(32)).astype(np.uint32)
 
-        names = ["doc_id", "n_shingles", "digest", "keys", "counts"]
-        ids = pa.int64()
-        for batch in batches:
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            found = [digest_of(s) if len(s) else b"" for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(found, pa.binary()), pa.nulls(len(sets), pa.binary()), pa.nulls(len(sets), pa.binary())], names=names)
-            for s, d in zip(sets, found, strict=True):
-                if d and d not in seen:
-                    seen.add(d)
-                    parts.append(s)
-                    n += len(s)
-            if n >= CHUNK:
-                yield from counts()
-                seen, parts, n = set(), [], 0
-        if parts:
-            yield from counts()
 
-    return plain.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys binary, counts binary")
+def split_by(to: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, parts that have rows, cuts)"""
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(parts + 1))
+    return order, np.flatnonzero(np.diff(cuts)), cuts
 
 
-def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, with the logarithm of their counts: the most frequent, FREQUENT at most."""
+@dataclass
+class Common:
+    """What is known of shingles that several sets have: a Bloom filter for each part, and levels of the very frequent.
+
+    whole: the filter of the part holds all of its shared shingles, so that any other shingle is one set's own.
+    """
+
+    parts: int
+    filters: dict[int, tuple[int, bytes]]
+    whole: np.ndarray
+    keys: np.ndarray
+    levels: np.ndarray
+
+    def level(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(level: 0 unshared, 1 shared, more for very frequent; may be in another set)"""
+        to, key = part_of(h, self.parts), short(h)
+        level = np.zeros(len(h), np.uint64)
+        order, full, cuts = split_by(to, self.parts)
+        for p in full.tolist():
+            if p in self.filters:
+                own = order[cuts[p] : cuts[p + 1]]
+                bits, data = self.filters[p]
+                level[own] = Bloom(bits, np.frombuffer(data, np.uint8)).has(mixed(key[own].astype(np.uint64)))
+        if len(self.keys):
+            shared = np.flatnonzero(level)
+            ids = to[shared].astype(np.uint64) << np.uint64(32) | key[shared]
+            at = np.minimum(np.searchsorted(self.keys, ids), len(self.keys) - 1)
+            hit = self.keys[at] == ids
+            level[shared[hit]] = self.levels[at[hit]]
+        return level, (level > 0) | ~self.whole[to]
+
+
+def shared_shingles(plain: DataFrame, parts: int) -> Common:
+    """Counts of all shingles, over all sets: 4 bytes for each shingle of a task's chunk are dealt, packed, and only filters come back."""
+    room, most = max(10, int(np.log2((SHARED_MB << 23) / parts))), max(16, FREQUENT // parts)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, n = set(), [], 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            unique, count = np.unique(np.concatenate(held), return_counts=True)
+            count = np.minimum(count, 65535).astype(np.uint16)
+            order, full, cuts = split_by(part_of(unique, parts), parts)
+            key, count = short(unique[order]), count[order]
+            once = [key[i:j][count[i:j] == 1].tobytes() for i, j in zip(cuts[full], cuts[full + 1], strict=True)]
+            more = [packed(key[i:j][count[i:j] > 1], count[i:j][count[i:j] > 1]) for i, j in zip(cuts[full], cuts[full + 1], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(once, pa.binary()), *(pa.array([m[k] for m in more], pa.binary()) for k in (0, 1))], names=["part", "once", "keys", "counts"])
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, np.int64))], names=["key", "n"])
+            for text in batch.column("text").to_pylist():
+                s = shingles(text)
+                if len(s) and (d := digest_of(s)) not in seen:
+                    seen.add(d)
+                    held.append(s)
+                    n += len(s)
+            if n >= CHUNK:
+                yield from rows()
+                seen, held, n = set(), [], 0
+        if held:
+            yield from rows()
+        _MEMO.clear()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A part at a time: its rows stand together, and it holds one part of all shingles, set by the number of parts."""
+        now, once, keys, counts = None, [], [], []
+
+        def row() -> Iterator[pa.RecordBatch]:
+            more = np.frombuffer(b"".join(keys), np.uint32)
+            unique, at = np.unique(np.concatenate([np.frombuffer(b"".join(once), np.uint32), more]), return_inverse=True)
+            total = np.bincount(at[: len(at) - len(more)], minlength=len(unique)) + np.bincount(at[len(at) - len(more) :], np.frombuffer(b"".join(counts), np.uint16), len(unique))
+            least = 2
+            while (total >= least).sum() * 10 > 1 << room:
+                least *= 2
+            shared = unique[total >= least]
+            b = Bloom(min(room, max(10, int(np.ceil(np.log2(10 * len(shared) + 1))))))
+            b.add(mixed(shared.astype(np.uint64)))
+            often = max(64, int(np.partition(total, -most)[-most])) if len(total) > most else 64
+            ids, levels = np.uint64(now) << np.uint64(32) | unique[total >= often], np.floor(np.log2(total[total >= often])).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([b.bits], pa.int32()), pa.array([least == 2]), *(pa.array([x], pa.binary()) for x in (b.data.tobytes(), *packed(ids.astype(np.uint64), levels)))], names=["part", "bits", "whole", "data", "keys", "levels"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts = packed(batch.column("key").to_numpy(), batch.column("level").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array([keys]), pa.array([counts])], names=["keys", "counts"])
-
-    spark = found.sparkSession
-    summed = found.filter("keys is not null").select("keys", "counts").mapInArrow(unpack, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).select("key", F.floor(F.log2("n")).cast("int").alias("level"))
-    summed, path = settle(spark, summed, "frequent")
-    least, room = 64, FREQUENT
-    for level, n in sorted(((r[0], r[1]) for r in summed.groupBy("level").count().collect()), reverse=True):  # a row a level
-        if n > room:
-            break
-        least, room = level, room - n
-    rows = [(np.frombuffer(r.keys, np.uint64), np.frombuffer(r.counts, np.int32)) for r in summed.filter(F.col("level") >= least).mapInArrow(pack, "keys binary, counts binary").toLocalIterator()]
-    remove(spark, path)
-    if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    keys, levels = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+            for part, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "once", "keys", "counts")), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield from row()
+                    now, once, keys, counts = part, [], [], []
+                for to, blob in zip((once, keys, counts), blobs, strict=True):
+                    to.append(blob)
+        if now is not None:
+            yield from row()
+
+    dealt = plain.select("text").mapInArrow(returning(emit), "part int, once binary, keys binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
+    rows = [*dealt.mapInArrow(returning(count), "part int, bits int, whole boolean, data binary, keys binary, levels binary").toLocalIterator()]
+    whole = np.ones(parts, bool)
+    for r in rows:
+        whole[r.part] = r.whole
+    keys, levels = np.frombuffer(b"".join(r.keys for r in rows), np.uint64), np.frombuffer(b"".join(r.levels for r in rows), np.uint64)
     order = np.argsort(keys)
-    return keys[order], levels[order]
+    return Common(parts, {r.part: (r.bits, bytes(r.data)) for r in rows}, whole, keys[order], levels[order])
 
 
-def candidate_edges(plain: DataFrame, common: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
-    """(a, b): edges whose components hold all links between different sets."""
+def candidate_edges(plain: DataFrame, common: Common, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, digest) of each row; (a, b): edges whose components hold all links between different sets."""
     spark = plain.sparkSession
     sent = spark.sparkContext.broadcast(common)
+    names = ["doc_id", "n_shingles", "digest", "part", "x", "y", "z", "nodes"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, levels = sent.value
+        common = sent.value
         seen, held, n = set(), [], 0
 
+        def edge_rows(part: list[int], blobs: list[list[bytes]]) -> pa.RecordBatch:
+            k = len(part)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(part, pa.int32()), *(pa.array([b[c] for b in blobs], pa.binary()) for c in range(4))], names=names)
+
         def rows() -> Iterator[pa.RecordBatch]:
             key = np.concatenate([h[0] for h in held])
             cls = np.concatenate([np.full(len(h[0]), h[1]) for h in held])
@@ -193,59 +256,82 @@ def candidate_edges(plain: DataFrame, common: tuple[np.ndarray, np.ndarray], par
             lead = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
             a, b = forest(node[~first], lead[~first])
             if len(a):
-                a, b = packed(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([a]), pa.array([b]), pa.array([b""])], names=names)
-            key, cls, node = key[first], cls[first], node[first]
-            to = (key % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(parts + 1))
-            key, cls, node = key[order], cls[order].astype(np.int16), node[order]
-            full = np.flatnonzero(np.diff(cuts))
-            blobs = [packed(key[i:j], cls[i:j], node[i:j]) for i, j in zip(cuts[full], cuts[full + 1], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([b[k] for b in blobs], pa.binary()) for k in (0, 2, 1))], names=names)
-
-        names = ["part", "x", "y", "z"]
+                yield edge_rows([-1], [[*packed(a, b), b"", b""]])
+            key, cls, node = key[first], cls[first].astype(np.int16), node[first]
+            order, full, cuts = split_by(part_of(key, parts), parts)
+            blobs = []
+            for i, j in zip(cuts[full], cuts[full + 1], strict=True):
+                own = order[i:j]
+                nodes, at = np.unique(node[own], return_inverse=True)
+                blobs.append(packed(short(key[own]), at.astype(np.uint32), cls[own], nodes))
+            if len(full):
+                yield edge_rows(full.tolist(), blobs)
+
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                s = shingles(text)
-                if not len(s) or doc is None or (d := digest_of(s)) in seen:
-                    continue
-                seen.add(d)
-                at = np.minimum(np.searchsorted(keys, s), max(0, len(keys) - 1))
-                level = np.where(keys[at] == s, levels[at], 0).astype(np.uint64) if len(keys) else np.zeros(len(s), np.uint64)
-                place = (mixed(s) >> np.uint64(7)) | level << np.uint64(57)  # frequent ones last, hashes otherwise
-                k = prefix_length(len(s))
-                held.append((s[np.argpartition(place, k - 1)[:k]] if k < len(s) else s, int(size_class(np.array(len(s)))), doc))
-                n += k
-            if n >= CHUNK:
-                yield from rows()
+            docs = batch.column("doc_id").to_pylist()
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            digests = [digest_of(s) if len(s) else b"" for s in sets]
+            k = len(docs)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.nulls(k, pa.int32()), *(pa.nulls(k, pa.binary()) for _ in range(4))], names=names)
+            new = []
+            for i, (doc, d) in enumerate(zip(docs, digests, strict=True)):
+                if d and doc is not None and d not in seen:
+                    seen.add(d)
+                    new.append(i)
+            if not new:
+                continue
+            whole = np.concatenate([sets[i] for i in new])
+            level, shared = common.level(whole)
+            place = (mixed(whole) >> np.uint64(7)) | level << np.uint64(57)  # unshared first, the most frequent last, hashes otherwise
+            start = 0
+            for i in new:
+                size = len(sets[i])
+                at = slice(start, start + size)
+                start += size
+                p = prefix_length(size)
+                first = np.argpartition(place[at], p - 1)[:p] if p < size else np.arange(size)
+                first = first[shared[at][first]]  # what no other set has can't lead to one
+                if len(first):
+                    held.append((sets[i][first], int(size_class(np.array(size))), docs[i]))
+                    n += len(first)
+            if n >= CHUNK or len(seen) > 200_000:
+                if held:
+                    yield from rows()
                 seen, held, n = set(), [], 0
         if held:
             yield from rows()
+        _MEMO.clear()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All rows of a part's shingles meet here: bounded by the number of parts, and by one row for each task, shingle and class."""
-        all_ = [[], [], []]
-        for batch in batches:
-            for k, c in enumerate(("x", "y", "z")):
-                all_[k] += batch.column(c).to_pylist()
-        got = [np.frombuffer(b"".join(x), t) for x, t in zip(all_, (np.uint64, np.int64, np.int16), strict=True)]
-        if len(got[0]):
-            a, b = forest(*chained(got[0], got[2], got[1]))
+        """A part at a time: a row for each task's chunk, shingle and size class."""
+        now, key, cls, node = None, [], [], []
+
+        def edges() -> Iterator[pa.RecordBatch]:
+            a, b = forest(*chained(np.concatenate(key), np.concatenate(cls), np.concatenate(node)))
             for k in range(0, len(a), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 100_000]), pa.array(b[k : k + 100_000])], names=["a", "b"])
 
+        for batch in batches:
+            for part, x, y, z, nodes in zip(*(batch.column(c).to_pylist() for c in ("part", "x", "y", "z", "nodes")), strict=True):
+                if part != now:
+                    if key:
+                        yield from edges()
+                    now, key, cls, node = part, [], [], []
+                key.append(np.frombuffer(x, np.uint32))
+                node.append(np.frombuffer(nodes, np.int64)[np.frombuffer(y, np.uint32)])
+                cls.append(np.frombuffer(z, np.int16))
+        if key:
+            yield from edges()
+
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], names=["a", "b"])
 
-    made, path = settle(spark, plain.mapInArrow(emit, "part int, x binary, y binary, z binary"), "prefixes")
-    far = made.filter("part >= 0").repartition(parts, "part").select("x", "y", "z").mapInArrow(join, "a long, b long")
-    near = made.filter("part < 0").select("x", "y").mapInArrow(unpack, "a long, b long")
-    edges, _ = settle(spark, far.union(near).distinct(), "candidates")
-    remove(spark, path)
-    return edges
+    made, _ = settle(spark, plain.mapInArrow(returning(emit), "doc_id long, n_shingles long, digest binary, part int, x binary, y binary, z binary, nodes binary"), "prefixes")
+    far = made.filter("part >= 0").select("part", "x", "y", "z", "nodes").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(returning(join), "a long, b long")
+    near = made.filter("part = -1").select("x", "y").mapInArrow(returning(unpack), "a long, b long")
+    return made.filter("part is null").select("doc_id", "n_shingles", "digest"), far.union(near)
 
 
 class Tree:
@@ -357,7 +443,7 @@ def block_links(plain: DataFrame, info: DataFrame, edges: DataFrame, parts: int)
     wanted = picked.select("block", "carrier", "digest", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     wanted = wanted.select("block", "carrier", "digest", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
     wanted, wanted_path = settle(spark, wanted, "wanted")
-    small = wanted.count() <= 200_000  # 64 bytes a row: at most some 13 MB to broadcast
+    small = wanted.count() <= 100_000  # 64 bytes a row: some 6 MB at most to broadcast
     texts = plain.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("carrier")).select("block", "i", "j", "chunk", "carrier", "digest", "text")
     texts = texts.repartition(parts * 2, "block", "i", "j").sortWithinPartitions("block", "i", "j", "chunk", "carrier")
 
@@ -388,8 +474,9 @@ def block_links(plain: DataFrame, info: DataFrame, edges: DataFrame, parts: int)
                 chunks.append(chunk)
         if now:
             yield from links()
+        _MEMO.clear()
 
-    found, _ = settle(spark, texts.mapInArrow(run, "a long, b long"), "links")
+    found, _ = settle(spark, texts.mapInArrow(returning(run), "a long, b long"), "links")
     carriers, _ = settle(spark, sets.select("digest", "carrier"), "carriers")
     remove(spark, sets_path, sizes_path, wanted_path)
     return found, carriers, cut
@@ -401,9 +488,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prepare(spark)
     plain = narrow(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found, _ = settle(spark, survey(plain), "survey")
-    info = found.filter("keys is null").select("doc_id", "n_shingles", "digest")
-    edges = candidate_edges(plain, frequent(found), parts)
+    info, edges = candidate_edges(plain, shared_shingles(plain, parts), parts)
     links, carriers, cut = block_links(plain, info, edges, parts)
     roots = components(links) if cut else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # a component of sets is known by its smallest carrier; sets without a link are components of their own
