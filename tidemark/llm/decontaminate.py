@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, UPPER, narrow, prepare, rows_of, settle
+from tidemark.llm.common import LOWER, UPPER, narrow, prepare, returning, rows_of, settle
 
 #: Words of a shard, steps between samples, MB of benchmark text that a pass sends to the workers.
-SHARD, STEP, BLOCK_MB = 2_000_000, 8, 16
+SHARD, STEP, BLOCK_MB = 1_000_000, 8, 16
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans(UPPER, LOWER)
 #: Bytes of UTF-8: A-Z folded, word bytes kept, any other a space.
@@ -173,18 +173,24 @@ class Index:
         return at
 
 
-def search_shard(texts: list[list[bytes]], phrases: Phrases) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+def numbered(text: str | None, phrases: Phrases) -> np.ndarray:
+    """The text's words as the vocabulary's numbers, 0 for any other: 4 bytes a word are kept, not the words."""
+    get = phrases.vocabulary.get
+    return np.fromiter((get(w, 0) for w in words_of(text)), np.int32)
+
+
+def search_shard(texts: list[np.ndarray], phrases: Phrases) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
     """For each document its hit words as merged [start, end) word spans, and the items found."""
-    get, parts, of, where = phrases.vocabulary.get, [], [], []
+    parts, of, where = [], [], []
     for k, words in enumerate(texts):
-        ids = np.array([get(w, 0) for w in words] + [0], np.int64)
+        ids = np.append(words, np.int32(0))
         keep = (ids > 0) | np.append(True, ids[:-1] > 0)
         keep[-1] = True
         at = np.flatnonzero(keep)
         parts.append(ids[at])
         of.append(np.full(len(at), k))
         where.append(at)
-    symbols, of, where = np.concatenate(parts), np.concatenate(of), np.concatenate(where)
+    symbols, of, where = np.concatenate(parts).astype(np.int64), np.concatenate(of), np.concatenate(where)
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[set[str]] = [set() for _ in texts]
     if not symbols.any() or not len(phrases.length):
@@ -253,7 +259,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
                     at += size
 
             for batch in batches:
-                own = [words_of(t) for t in batch.column("text").to_pylist()]
+                own = [numbered(t, sent.value) for t in batch.column("text").to_pylist()]
                 waiting.append(batch)
                 texts += own
                 n += sum(map(len, own))
@@ -263,7 +269,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
             if waiting:
                 yield from flush()
 
-        return state.select("doc_id", "text", "words", "items", *more).mapInArrow(run, rows_of(f"doc_id {kind}, text string, {SCHEMA}", plain))
+        return state.select("doc_id", "text", "words", "items", *more).mapInArrow(returning(run), rows_of(f"doc_id {kind}, text string, {SCHEMA}", plain))
 
     for row in benchmark.select(benchmark[item_col].alias("i"), benchmark[item_text_col].cast("string").alias("t")).toLocalIterator():
         if size > block_mb * (1 << 20):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import narrow, prepare, rows_of
+from tidemark.llm.common import narrow, prepare, returning, rows_of
 
 #: Language families of common ISO 639-1 codes.
 FAMILIES = {
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("pick"), pa.array(packed, pa.binary())], names=["lang", "pick", "packed"])
 
     took: dict[str, list] = {}
-    for r in picked.mapInArrow(count, "lang string, pick long, packed binary").toLocalIterator():
+    for r in picked.mapInArrow(returning(count), "lang string, pick long, packed binary").toLocalIterator():
         took.setdefault(r.lang, []).append((r.pick, bytes(r.packed)))
     x, labels = [], []
     for code in sorted(took):
@@ -163,7 +163,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     score[own] = sure
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64()), *(batch.column(c) for c in also)], names=["doc_id", "lang_pred", "score", *also])
 
-    return plain.mapInArrow(run, rows_of(f"doc_id {kind}, lang_pred string, score double" + (", text string" if carry else ""), plain))
+    return plain.mapInArrow(returning(run), rows_of(f"doc_id {kind}, lang_pred string, score double" + (", text string" if carry else ""), plain))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

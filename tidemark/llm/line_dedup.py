@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BYTES_LOWER, narrow, prepare, remove, rows_of, settle
+from tidemark.llm.common import BYTES_LOWER, narrow, prepare, remove, returning, rows_of, settle
 
 #: Bounds: all twice-seen filters together; confirmed keys to broadcast, ENTRY bytes each as a worker's dictionary holds them; bits of a task's once-seen filter (its share of hashes is set by the shuffle partitions).
 TWICE_MB, CONFIRMED_MB, ENTRY, ONCE_BITS, PROBES = 64, 64, 200, 25, 4
@@ -104,8 +104,8 @@ def twice_filters(plain: DataFrame, least: int, segments: int) -> dict[int, tupl
             b.add(unique)
             yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([b.bits], pa.int32()), pa.array([b.data.tobytes()], pa.binary())], names=["segment", "bits", "data"])
 
-    dealt = plain.select("text").mapInArrow(emit, "segment int, packed binary").repartition(segments, "segment")
-    return {r.segment: (r.bits, bytes(r.data)) for r in dealt.mapInArrow(build, "segment int, bits int, data binary").toLocalIterator()}
+    dealt = plain.select("text").mapInArrow(returning(emit), "segment int, packed binary").repartition(segments, "segment")
+    return {r.segment: (r.bits, bytes(r.data)) for r in dealt.mapInArrow(returning(build), "segment int, bits int, data binary").toLocalIterator()}
 
 
 def suspected(keys: list[bytes], filters: dict[int, Bloom], segments: int) -> np.ndarray:
@@ -144,9 +144,9 @@ def line_dedup(docs: DataFrame, least: int = 20, documents: int = 3, outputs: tu
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([*map(digest, batch.column("key").to_pylist())], pa.binary()), batch.column("keeper")], names=["digest", "keeper"])
 
-    pairs = plain.select("doc_id", "text").mapInArrow(suspects, f"key binary, doc_id {kind}")
+    pairs = plain.select("doc_id", "text").mapInArrow(returning(suspects), f"key binary, doc_id {kind}")
     grouped = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= documents)
-    confirmed, path = settle(spark, grouped.mapInArrow(digests, f"digest binary, keeper {kind}"), "line-keys")
+    confirmed, path = settle(spark, grouped.mapInArrow(returning(digests), f"digest binary, keeper {kind}"), "line-keys")
 
     def rows(batch: pa.RecordBatch, texts: list[bytes], keys: list[list[bytes]], drops: list) -> pa.RecordBatch:
         """drops: for each row, the keys that lose their lines."""
@@ -180,7 +180,7 @@ def line_dedup(docs: DataFrame, least: int = 20, documents: int = 3, outputs: tu
                 goes = {k: table[d] for k in known if (d := digest(k)) in table}
                 yield rows(batch, texts, keys, [{k for k in x if k in goes and goes[k] != i} for x, i in zip(keys, ids, strict=True)])
 
-        return plain.mapInArrow(apply, schema)
+        return plain.mapInArrow(returning(apply), schema)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in suspects(batches):
@@ -188,7 +188,7 @@ def line_dedup(docs: DataFrame, least: int = 20, documents: int = 3, outputs: tu
 
     # a key that a third of all rows hold is split by a salt: its one decision is copied to each part
     salts = 32
-    spots = plain.select("doc_id", "text").mapInArrow(places, f"digest binary, doc_id {kind}").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    spots = plain.select("doc_id", "text").mapInArrow(returning(places), f"digest binary, doc_id {kind}").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     decided = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     drops = spots.join(decided, ["digest", "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id").agg(F.collect_set("digest").alias("drops")).withColumnRenamed("doc_id", "drop_id")
     joined = plain.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select(*plain.columns, "drops")
@@ -199,7 +199,7 @@ def line_dedup(docs: DataFrame, least: int = 20, documents: int = 3, outputs: tu
             keys = [keys_of(t, least) for t in texts]
             yield rows(batch, texts, keys, [{k for k in x if k and digest(k) in g} if g else () for x, g in zip(keys, goes, strict=True)])
 
-    return joined.mapInArrow(apply_joined, schema)
+    return joined.mapInArrow(returning(apply_joined), schema)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import narrow, prepare, scratch_path
+from tidemark.llm.common import narrow, prepare, returning, scratch_path
 
 #: Entries of a worker's memo of chunk counts before it starts anew, and the longest chunk that it keeps.
 MEMO, MEMO_BYTES = 500_000, 96
@@ -122,7 +122,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
             n = counter.counts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.string()), batch.column("digest"), pa.array(n, pa.int64())], names=["version", "digest", "n_tokens"])
 
-    misses.mapInArrow(run, schema).write.mode("append").parquet(cache)
+    misses.mapInArrow(returning(run), schema).write.mode("append").parquet(cache)
     known = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     keyed = plain.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest(F.col("text"), collapse).alias("digest"))
     # a text that a third of all rows have is split by a salt: its one count is copied to each part
