@@ -47,7 +47,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and a digest of what the ids decode to."""
-    return bpe.bpe(docs, tokenizer("byte_bpe_50k.json"), ("n_tokens", "ids", "decoded_sha256"))
+    return bpe.bpe(docs, tokenizer("byte_bpe_50k.json"), ("n_tokens", "ids", "decoded_sha256"), memo=250_000, keep_memo=False)
 
 
 STAGES = [("language ID", languages), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminated), ("BPE encoding and decoding", tokens)]

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import narrow, prepare
+from tidemark.llm.common import narrow, prepare, returning
 
 #: The byte-level pre-token pattern (public), and white space beyond ASCII.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -124,9 +124,10 @@ class Vocabulary:
 
     def piece(self, data: bytes) -> list[int]:
         """Internal numbers of one pre-token."""
-        best, n = self.longest(data), len(data)
+        n = len(data)
         if not n:
             return []
+        best = self.longest(data)
         if self.sizes[best[0]] == n and (n == 1 or self._reached(best[0])):
             return [best[0]]
         dead, out, at = bytearray(n + 1), [], 0
@@ -188,11 +189,16 @@ class Memo(dict):
     def __init__(self):
         super().__init__()
         self.old: dict = {}
+        self.limit = MEMO
+
+    def forget(self) -> None:
+        """At a task's end, the old generation: worker processes live on through other operators' tasks."""
+        self.old = {}
 
     def __missing__(self, key: str) -> tuple[str, bytes]:
         made = self.old.get(key) or self.make(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO:
+            if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
             self[key] = made
@@ -227,6 +233,8 @@ class Units(Memo):
         self.pieces, self.split = Pieces(vocabulary), regex.compile(PATTERN)
 
     def make(self, unit: str) -> tuple[str, bytes]:
+        if unit.isascii() and (unit[1:] if unit[0] == " " else unit).isalpha():
+            return self.pieces[unit]  # a word is one pre-token
         found = self.split.findall(unit)
         if len(found) == 1:
             return self.pieces[unit]
@@ -262,9 +270,12 @@ def encode(text: str, v: Vocabulary, units: Units) -> tuple[str, np.ndarray]:
     return ",".join(names), np.frombuffer(b"".join(packed), np.int32)
 
 
-def bpe(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded"), id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO, keep_memo: bool = True) -> DataFrame:
     """One row per row of docs: doc_id and the named outputs (FIELDS).
 
+    memo: entries of each generation of a worker's memos. keep_memo: else the old generation goes at a task's end, for an application in which
+    workers go on to other operators.
+
     tokenizer: path of a byte-level BPE tokenizer JSON that the driver can read; its bytes (a file of a few MB at most, checked) go to the
     workers. A plain map over the scan: no shuffle, and a lost executor's tasks are simply run again.
     """
@@ -280,6 +291,7 @@ def bpe(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("n_tokens",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, units = load(sent.value)
+        units.limit = units.pieces.limit = memo
         for batch in batches:
             made: dict[str, list] = {k: [] for k in outputs}
             for text in batch.column("text").to_pylist():
@@ -296,8 +308,12 @@ def bpe(docs: DataFrame, tokenizer: str, outputs: tuple[str, ...] = ("n_tokens",
                         text_back = back.decode("utf-8", "replace")
                         rows.append(text_back if k == "decoded" else hashlib.sha256(text_back.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(made[k], ARROW[FIELDS[k]]) for k in outputs)], names=["doc_id", *outputs])
+        if not keep_memo:
+            units.forget()
+            units.pieces.forget()
+            vocabulary.pairs.clear()
 
-    return plain.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{k} {FIELDS[k]}" for k in outputs))
+    return plain.mapInArrow(returning(run), f"doc_id {kind}, " + ", ".join(f"{k} {FIELDS[k]}" for k in outputs))
 
 
 def query(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
