@@ -102,3 +102,14 @@ def g11_dangling(t: Tables) -> DataFrame:
     nodes = t.nation.filter("n_nationkey < 3").select(F.concat(F.lit("nation"), "n_nationkey").alias("uid"))
     edges = t.nation.select(F.concat(F.when(F.col("n_nationkey") < 3, "nation").otherwise("gone"), "n_nationkey").alias("src"), F.lit("OF").alias("type"), F.concat(F.when(F.col("n_nationkey") < 3, "nation").otherwise("gone"), "n_nationkey").alias("dst"))
     return graph.dangling(nodes, edges).select("src")
+
+
+@query("""WITH v AS (SELECT 'n' || n_nationkey AS uid FROM nation WHERE n_regionkey IN (1, 2)), u AS (SELECT 'q' || c_custkey // 3 AS by_, 'n' || c_nationkey AS thing FROM customer)
+          SELECT uid FROM v UNION ALL SELECT by_ FROM u LEFT JOIN v ON thing = uid GROUP BY by_ HAVING count(*) = count(uid)""")
+def g12_gate_all_customers(t: Tables) -> DataFrame:
+    """The gate over USED edges of every customer; askers grow with the table."""
+    kind = lambda df, id_, k, scope: df.select(id_.alias("uid"), F.lit(k).alias("kind"), F.array(scope).alias("scopes"), F.lit("").alias("text")).distinct()
+    asked = F.concat(F.lit("q"), F.expr("c_custkey div 3"))
+    nodes = kind(t.nation, F.concat(F.lit("n"), "n_nationkey"), "Metric", F.concat(F.lit("r"), "n_regionkey")).union(kind(t.customer, asked, "Question", F.lit("*")))
+    edges = t.customer.select(asked.alias("src"), F.lit("USED").alias("type"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
+    return graph.gate(nodes, edges, ["r1", "r2"]).select("uid")
