@@ -2,9 +2,11 @@
 
 import os
 
+import numpy as np
 import pytest
 
 from tidemark import registry
+from tidemark.operators import graph
 
 FOLDER = os.environ.get("TIDEMARK_TEST_SF", "/root/testdata/sf0.001")
 tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -18,3 +20,21 @@ def test_gate_judges_every_customer(spark):
         used.setdefault(f"q{r.c_custkey // 3}", []).append(region[r.c_nationkey])
     got = {r.uid for r in registry.QUERIES["g12_gate_all_customers"](spark, FOLDER).collect() if r.uid[0] == "q"}
     assert got and got == {k for k, v in used.items() if {*v} <= {1, 2}}
+
+
+@tables
+def test_every_hundredth_vector_asks(spark):
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()}
+    got = {}
+    for r in registry.QUERIES["g13_cosine_topk_all"](spark, FOLDER).collect():
+        got.setdefault(r.question, set()).add(r.item)
+    cos = lambda a, b: round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 6)
+    assert got == {q: {i for _, i in sorted((-cos(v, vectors[q]), i) for i, v in vectors.items() if i != q)[:10]} for q in vectors if q % 100 == 0}
+
+
+@tables
+def test_questions_go_in_bounded_blocks(spark):
+    every = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    items, asked = every.withColumnRenamed("vec_id", "item"), every.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "question")
+    top = lambda block: sorted(map(tuple, graph.vector_top(items, asked, 3, "item", "question", block=block).collect()))
+    assert asked.count() > 16 and top(16) == top(10_000) and len(top(16)) == 3 * asked.count()

@@ -13,6 +13,8 @@ from tidemark.session import cut
 KINDS = ["Source", "Table", "Column", "Field", "Endpoint", "Metric", "Dimension", "Concept", "BusinessTerm", "Question", "Execution", "Role"]
 TOP = {"Metric": 5, "BusinessTerm": 3, "Concept": 2, "Column": 5, "Question": 3}
 RRF, MAX_HOPS, KEEP_NODES = 60, 12, 150
+#: Questions of a block that is broadcast.
+QUESTIONS = 1024
 
 
 def build(node_parts: list[DataFrame], edge_parts: list[DataFrame], version: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -124,12 +126,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def vector_top(items: DataFrame, questions: DataFrame, n: int, item_id: str, question_id: str, vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """Exact top n items of each stated question. questions: a bounded set, broadcast after its size is checked by the caller."""
-    pairs = items.select(F.col(item_id), F.col(vector).alias("_v")).join(F.broadcast(questions.select(F.col(question_id), F.col(vector).alias("_q"))), F.col(item_id) != F.col(question_id))
-    scored = pairs.select(question_id, item_id, F.round(cosine(F.col("_v"), F.col("_q")), digits).alias("score"))
-    w = Window.partitionBy(question_id).orderBy(F.col("score").desc(), item_id)
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
+def vector_top(items: DataFrame, questions: DataFrame, n: int, item_id: str, question_id: str, vector: str = "embedding", digits: int = 6, block: int = QUESTIONS) -> DataFrame:
+    """Exact top n items of every question. Questions are broadcast in blocks of about half of `block`, dealt by a hash of the id; each block is
+    a pass over the items, its result cut, so that what is held at once is bounded."""
+    asked = questions.select(F.col(question_id), F.col(vector).alias("_q"))
+    count = asked.count()
+    blocks = 1 if count <= block else -(-2 * count // block)
+    out = None
+    for k in range(blocks):
+        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(question_id), F.lit(blocks)) == k)
+        pairs = items.select(F.col(item_id), F.col(vector).alias("_v")).join(F.broadcast(own), F.col(item_id) != F.col(question_id))
+        scored = pairs.select(question_id, item_id, F.round(cosine(F.col("_v"), F.col("_q")), digits).alias("score"))
+        w = Window.partitionBy(question_id).orderBy(F.col("score").desc(), item_id)
+        top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("long"))
+        top = top if blocks == 1 else cut(top)
+        out = top if out is None else out.union(top)
+    return out
 
 
 def words(text: Column) -> Column:

@@ -113,3 +113,11 @@ def g12_gate_all_customers(t: Tables) -> DataFrame:
     nodes = kind(t.nation, F.concat(F.lit("n"), "n_nationkey"), "Metric", F.concat(F.lit("r"), "n_regionkey")).union(kind(t.customer, asked, "Question", F.lit("*")))
     edges = t.customer.select(asked.alias("src"), F.lit("USED").alias("type"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
     return graph.gate(nodes, edges, ["r1", "r2"]).select("uid")
+
+
+@query(f"SELECT q AS question, item, score FROM (SELECT b.vec_id AS q, a.vec_id AS item, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND b.vec_id % 100 = 0) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, item) <= 10")
+def g13_cosine_topk_all(t: Tables) -> DataFrame:
+    """Every vector whose id is divisible by 100 against all vectors."""
+    items = t.embeddings.select(F.col("vec_id").alias("item"), "embedding")
+    asked = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question"), "embedding")
+    return graph.vector_top(items, asked, 10, "item", "question").select("question", "item", "score")
