@@ -4,9 +4,10 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import registry
-from tidemark.operators import graph
+from tidemark.operators import graph, recon
 
 FOLDER = os.environ.get("TIDEMARK_TEST_SF", "/root/testdata/sf0.001")
 tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -38,3 +39,10 @@ def test_questions_go_in_bounded_blocks(spark):
     items, asked = every.withColumnRenamed("vec_id", "item"), every.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "question")
     top = lambda block: sorted(map(tuple, graph.vector_top(items, asked, 3, "item", "question", block=block).collect()))
     assert asked.count() > 16 and top(16) == top(10_000) and len(top(16)) == 3 * asked.count()
+
+
+def test_run_status_keeps_every_day(spark):
+    days = 100_500
+    runs = spark.range(days).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("business_date"), F.lit(1).alias("unmatched"))
+    got = {r.status: r["count"] for r in recon.run_status(runs).groupBy("status").count().collect()}
+    assert got == {"in_progress": 1, "open": 3, "signed_off": days - 4}

@@ -53,7 +53,7 @@ def run_status(runs: DataFrame, day: str = "business_date", unmatched: str = "un
     """The last day is in progress; unmatched items within the days before keep a run open; else it is signed off."""
     ranks = runs.select(day).distinct().withColumn("day_rank", F.row_number().over(Window.orderBy(F.col(day).desc())))  # a row a day
     status = F.when(F.col("day_rank") == 1, "in_progress").when((F.col("day_rank") <= open_days + 1) & (F.col(unmatched) > 0), "open").otherwise("signed_off")
-    return runs.join(F.broadcast(ranks.limit(100_000)), day).withColumn("status", status).drop("day_rank")
+    return runs.join(ranks, day).withColumn("status", status).drop("day_rank")
 
 
 def age_days(opened: Column, closed: Column | None, as_of: date) -> Column:
