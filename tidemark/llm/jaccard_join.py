@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import BYTES_LOWER, narrow, prepare, remove, returning, settle
 from tidemark.llm.components import components
@@ -76,6 +77,11 @@ def digest_of(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def node_of(digest: bytes, at: int) -> int:
+    """A set's number among edges, from eight bytes of its digest, so that a row needs no id to take part; a clash is found in block_links."""
+    return int.from_bytes(digest[at : at + 8], "little", signed=True)
+
+
 def size_class(n: np.ndarray) -> np.ndarray:
     """Classes whose bounds lie a factor of the root of 5/4 apart: sets of classes more than two apart can't link."""
     return np.floor(np.log(np.maximum(n, 1)) / (np.log(DOWN / UP) / 2) + 1e-9).astype(np.int64)
@@ -232,11 +238,11 @@ def shared_shingles(plain: DataFrame, parts: int) -> Common:
     return Common(parts, {r.part: (r.bits, bytes(r.data)) for r in rows}, whole, keys[order], levels[order])
 
 
-def candidate_edges(plain: DataFrame, common: Common, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, digest) of each row; (a, b): edges whose components hold all links between different sets."""
+def candidate_edges(plain: DataFrame, common: Common, parts: int, byte: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, digest, node) of each row; (a, b): edges whose components hold all links between different sets."""
     spark = plain.sparkSession
     sent = spark.sparkContext.broadcast(common)
-    names = ["doc_id", "n_shingles", "digest", "part", "x", "y", "z", "nodes"]
+    names = ["doc_id", "n_shingles", "digest", "node", "part", "x", "y", "z", "nodes"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sent.value
@@ -244,7 +250,7 @@ def candidate_edges(plain: DataFrame, common: Common, parts: int) -> tuple[DataF
 
         def edge_rows(part: list[int], blobs: list[list[bytes]]) -> pa.RecordBatch:
             k = len(part)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(part, pa.int32()), *(pa.array([b[c] for b in blobs], pa.binary()) for c in range(4))], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(part, pa.int32()), *(pa.array([b[c] for b in blobs], pa.binary()) for c in range(4))], names=names)
 
         def rows() -> Iterator[pa.RecordBatch]:
             key = np.concatenate([h[0] for h in held])
@@ -268,14 +274,14 @@ def candidate_edges(plain: DataFrame, common: Common, parts: int) -> tuple[DataF
                 yield edge_rows(full.tolist(), blobs)
 
         for batch in batches:
-            docs = batch.column("doc_id").to_pylist()
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             digests = [digest_of(s) if len(s) else b"" for s in sets]
-            k = len(docs)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.nulls(k, pa.int32()), *(pa.nulls(k, pa.binary()) for _ in range(4))], names=names)
+            numbers = [node_of(d, byte) if d else None for d in digests]
+            k = len(sets)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(numbers, pa.int64()), pa.nulls(k, pa.int32()), *(pa.nulls(k, pa.binary()) for _ in range(4))], names=names)
             new = []
-            for i, (doc, d) in enumerate(zip(docs, digests, strict=True)):
-                if d and doc is not None and d not in seen:
+            for i, d in enumerate(digests):
+                if d and d not in seen:
                     seen.add(d)
                     new.append(i)
             if not new:
@@ -292,7 +298,7 @@ def candidate_edges(plain: DataFrame, common: Common, parts: int) -> tuple[DataF
                 first = np.argpartition(place[at], p - 1)[:p] if p < size else np.arange(size)
                 first = first[shared[at][first]]  # what no other set has can't lead to one
                 if len(first):
-                    held.append((sets[i][first], int(size_class(np.array(size))), docs[i]))
+                    held.append((sets[i][first], int(size_class(np.array(size))), numbers[i]))
                     n += len(first)
             if n >= CHUNK or len(seen) > 200_000:
                 if held:
@@ -328,10 +334,10 @@ def candidate_edges(plain: DataFrame, common: Common, parts: int) -> tuple[DataF
             for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], names=["a", "b"])
 
-    made, _ = settle(spark, plain.mapInArrow(returning(emit), "doc_id long, n_shingles long, digest binary, part int, x binary, y binary, z binary, nodes binary"), "prefixes")
+    made, _ = settle(spark, plain.mapInArrow(returning(emit), "doc_id long, n_shingles long, digest binary, node long, part int, x binary, y binary, z binary, nodes binary"), "prefixes")
     far = made.filter("part >= 0").select("part", "x", "y", "z", "nodes").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(returning(join), "a long, b long")
     near = made.filter("part = -1").select("x", "y").mapInArrow(returning(unpack), "a long, b long")
-    return made.filter("part is null").select("doc_id", "n_shingles", "digest"), far.union(near)
+    return made.filter("part is null").select("doc_id", "n_shingles", "digest", "node"), far.union(near)
 
 
 class Tree:
@@ -429,22 +435,49 @@ def traverse(sets: list[np.ndarray], cut: int | None = None) -> np.ndarray:
     return comp
 
 
-def block_links(plain: DataFrame, info: DataFrame, edges: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, bool]:
-    """(a, b): a spanning forest of the links between different sets, by one carrier id of each set; the carriers; whether blocks were cut."""
+def with_digests(plain: DataFrame, once: bool = False) -> DataFrame:
+    """plain with the digest of each text's set, empty where it has no words; once: repeats of a set within a task are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            digests = [digest_of(s) if len(s) else b"" for s in sets]
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=[*batch.schema.names, "digest"])
+            if once:
+                new = [k for k, d in enumerate(digests) if d not in seen and not seen.add(d)]
+                out = out.take(pa.array(new, pa.int64()))
+                seen = seen if len(seen) < 200_000 else set()
+            yield out
+        _MEMO.clear()
+
+    return plain.mapInArrow(returning(run), T.StructType([*plain.schema.fields, T.StructField("digest", T.BinaryType())]))
+
+
+def block_links(plain: DataFrame, least: DataFrame, edges: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, bool] | None:
+    """(a, b): a spanning forest of the links between different sets, by the node of each set; the carriers; whether blocks were cut.
+    None where two sets have one node."""
     spark = plain.sparkSession
     roots = components(edges)
     blocks = roots.union(roots.select(F.col("root"), F.col("root")).distinct()).toDF("node", "block")
-    sets = blocks.join(info.filter("n_shingles > 0"), F.col("node") == F.col("doc_id")).groupBy("block", "digest").agg(F.min("node").alias("carrier"), F.max("n_shingles").alias("n"))
+    sets = blocks.join(least, "node").select("block", "digest", F.col("node").alias("carrier"), F.col("n_shingles").alias("n"), F.col("least").alias("place"))
     sets, sets_path = settle(spark, sets, "sets")
+    if sets.groupBy("carrier").count().filter("count > 1").limit(1).count():
+        return None
     sizes = sets.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total")).filter("sets > 1").withColumn("chunks", F.ceil(F.col("total") * 2 / BLOCK).cast("int"))
     sizes, sizes_path = settle(spark, sizes.withColumn("chunks", F.when(F.col("total") <= BLOCK, 1).otherwise(F.col("chunks"))), "blocks")
     cut = bool(sizes.filter("chunks > 1").limit(1).count())
     picked = sets.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("carrier"), F.col("chunks")).cast("int"))
-    wanted = picked.select("block", "carrier", "digest", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    wanted = wanted.select("block", "carrier", "digest", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
+    wanted = picked.select("block", "carrier", "place", "digest", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    wanted = wanted.select("block", "carrier", "place", "digest", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
     wanted, wanted_path = settle(spark, wanted, "wanted")
     small = wanted.count() <= 100_000  # 64 bytes a row: some 6 MB at most to broadcast
-    texts = plain.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("carrier")).select("block", "i", "j", "chunk", "carrier", "digest", "text")
+    sent = F.broadcast if small else lambda df: df
+    columns = ["block", "i", "j", "chunk", "carrier", "digest", "text"]
+    texts = plain.join(sent(wanted), F.col("doc_id") == F.col("place")).select(*columns)
+    unnamed = wanted.filter("place is null")
+    if unnamed.limit(1).count():  # sets of rows without an id
+        texts = texts.union(with_digests(plain.filter("doc_id is null"), once=True).select("digest", "text").join(sent(unnamed), "digest").select(*columns))
     texts = texts.repartition(parts * 2, "block", "i", "j").sortWithinPartitions("block", "i", "j", "chunk", "carrier")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,26 +516,33 @@ def block_links(plain: DataFrame, info: DataFrame, edges: DataFrame, parts: int)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (a long), n_shingles, digest of the set, component_id: one row per row of docs."""
+    """doc_id (a long), n_shingles, digest of the set, component_id, group (a number of the component, never null where there are words): one row per row of docs."""
     spark = docs.sparkSession
     prepare(spark)
     plain = narrow(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    info, edges = candidate_edges(plain, shared_shingles(plain, parts), parts)
-    links, carriers, cut = block_links(plain, info, edges, parts)
+    common = shared_shingles(plain, parts)
+    for byte in (0, 8):
+        info, edges = candidate_edges(plain, common, parts, byte)
+        least, _ = settle(spark, info.filter("n_shingles > 0").groupBy("digest", "n_shingles", "node").agg(F.min("doc_id").alias("least")), "least")
+        if (found := block_links(plain, least, edges, parts)) is not None:
+            break
+    else:
+        raise ValueError("digests of different sets share eight bytes in both halves")
+    links, carriers, cut = found
     roots = components(links) if cut else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # a component of sets is known by its smallest carrier; sets without a link are components of their own
     root_of = carriers.join(roots.withColumnRenamed("node", "carrier"), "carrier", "left").select("digest", F.coalesce("root", "carrier").alias("root"))
-    least = info.filter("n_shingles > 0").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("least")).join(root_of, "digest", "left")
-    alone = least.filter("root is null").select("digest", F.col("least").alias("component_id"))
+    least = least.join(root_of, "digest", "left")
+    alone = least.filter("root is null").select("digest", F.col("least").alias("component_id"), F.col("node").alias("group"))
     joined = least.filter("root is not null")
-    joined = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("digest", "component_id")
+    joined = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("digest", "component_id", F.col("root").alias("group"))
     table, _ = settle(spark, alone.union(joined), "components")
     # a set that a third of all rows have is split by a salt: its one row is copied to each part
     salts = 16
     salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = info.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return rows.join(salted, ["digest", "salt"], "left").select("doc_id", "n_shingles", "digest", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(salted, ["digest", "salt"], "left").select("doc_id", "n_shingles", "digest", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group")
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
