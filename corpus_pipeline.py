@@ -18,8 +18,11 @@ LOSERS = 2_000_000
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (no text, no letter) go."""
-    found = language_id.identify(docs, language_id.fit(docs), carry=True)
+    """Documents in which no language can be told (no text, no letter) go. Where no label could be learned, only those without a letter go."""
+    model = language_id.fit(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language_id.identify(docs, model, carry=True)
     return unpacked(found.filter("lang_pred <> 'und'"), docs)
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from test_corpus_operators import SCHEMA, prose
 
 from tidemark.llm import jaccard_join
@@ -22,3 +23,10 @@ def test_jaccard_join_links_through_rows_without_id(spark):
     assert got == {(11, 84, 11), (None, 84, 11), (12, 84, 11), (None, 84, None), (13, 56, 13), (None, 0, None)}
     groups = [r.group for r in jaccard_join.jaccard_join(spark.createDataFrame(made[3:6], SCHEMA)).collect()]
     assert len({*groups}) == 1 and groups[0] is not None
+
+
+def test_pipeline_without_labels_keeps_texts_with_letters(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "12 34", None), (3, None, "en"), (4, "\u0434\u0430", None)], "doc_id long, text string, lang string")
+    kept = pipeline.languages(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4]
