@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup
-from tidemark.llm.common import settle, table, unpacked
+from tidemark.llm.common import narrow, settle, table, unpacked
 from tidemark.llm.queries import tokenizer
 
 #: Ids to broadcast, 8 bytes each; more are joined by a shuffle.
@@ -33,13 +33,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts stays, the one with the smallest id."""
-    found, _ = settle(spark, jaccard_join.query(spark, docs), "groups")
-    losers = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("loser")).distinct()
-    few = losers.count() <= LOSERS
-    kept = docs.join(F.broadcast(losers) if few else losers, docs["doc_id"] == F.col("loser"), "left_anti")
-    again = found.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null")) if again else kept
+    """One document of each group of linked texts stays, the one with the smallest id; of equal ids, or where no row has one, the one with the
+    smallest digest. Documents without words stay."""
+    found, _ = settle(spark, jaccard_join.jaccard_join(docs), "groups")
+    worded = found.filter("n_shingles > 0")
+    unclear = worded.filter("doc_id is null").limit(1).count() or found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    if not unclear:
+        losers = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("loser"))
+        few = losers.count() <= LOSERS
+        return docs.join(F.broadcast(losers) if few else losers, docs["doc_id"] == F.col("loser"), "left_anti")
+    # an id doesn't tell which text is meant: rows are known by id and digest
+    best = worded.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("best"))
+    best = best.select(F.col("best.doc_id").alias("best_id"), F.col("best.digest").alias("best_digest"))
+    rows = jaccard_join.with_digests(narrow(docs, carry=True))
+    same = (F.col("digest") == F.col("best_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("best_id"))
+    kept = rows.filter("length(digest) > 0").join(best, same, "left_semi").dropDuplicates(["doc_id", "digest"])
+    return unpacked(kept.union(rows.filter("length(digest) = 0")), docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

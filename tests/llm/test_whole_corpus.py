@@ -30,3 +30,16 @@ def test_pipeline_without_labels_keeps_texts_with_letters(spark):
     docs = spark.createDataFrame([(1, "plain words", None), (2, "12 34", None), (3, None, "en"), (4, "\u0434\u0430", None)], "doc_id long, text string, lang string")
     kept = pipeline.languages(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4]
+
+
+def test_pipeline_decides_by_id_and_text(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(9)
+    a, b, c, (d, e, f) = prose(r, 60, 5000), prose(r, 60, 5000), prose(r, 60, 5000), chain(r)
+    made = [(7, a), (7, b), (7, b), (3, a), (8, ""), (8, None), (9, c), (None, c), (None, d), (None, e), (None, f)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    kept = pipeline.near_duplicates(spark, docs, "")
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.columns == docs.columns
+    assert sorted((x for x in got if x[0] is not None), key=str) == sorted([(3, a), (7, b), (8, ""), (8, None), (9, c)], key=str)
+    assert len([t for k, t in got if k is None and t in (d, e, f)]) == 1 and len(got) == 6
