@@ -258,9 +258,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees
     scored = F.transform(free, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), trees.column(c["f"]).alias("p")))
     sure = F.filter(scored, lambda c: c["p"] >= F.get(limits, c["k"]))
     found = found.select("doc_id", "text", "base", sure.alias("sure"))
-    beats = lambda o, c: (o["p"] > c["p"]) | ((o["p"] == c["p"]) & ((o["s"] < c["s"]) | ((o["s"] == c["s"]) & (o["k"] < c["k"]))))
-    kept = F.filter("sure", lambda c: ~F.exists("sure", lambda o: over(o, c) & beats(o, c)))
-    return found.select("doc_id", "text", "base", F.sort_array(F.transform(kept, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))).alias("added"))
+    # best first; a span is taken only if it overlaps none that is taken already
+    ranked = F.transform(F.sort_array(F.transform("sure", lambda c: F.struct((-c["p"]).alias("p"), c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
+    kept = F.aggregate(ranked, F.array().cast("array<struct<s:int,k:int,e:int>>"), lambda acc, c: F.when(F.exists(acc, lambda o: over(o, c)), acc).otherwise(F.concat(acc, F.array(c))))
+    return found.select("doc_id", "text", "base", F.sort_array(kept).alias("added"))
 
 
 def redacted(found: DataFrame) -> DataFrame:
