@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,10 +31,12 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as spark.checkpoint.dir names it; a temporary one where it is unset (tests)."""
+    """The folder that the cluster shares, as spark.checkpoint.dir names it; a temporary one where it is unset on a local master (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         if not (named := spark.sparkContext.getCheckpointDir()):
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("on a cluster, name a folder that all executors share in spark.checkpoint.dir")
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidemark-shared-')}")
             named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -62,6 +65,11 @@ def remove(spark: SparkSession, *paths: str) -> None:
         _OPEN[:] = [x for x in _OPEN if x[1] != path]
 
 
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store that holds a path, for files that tasks write and read themselves."""
+    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in list(_OPEN):
@@ -81,6 +89,26 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Keys that more rows share than this, and than a 100,000th of all rows, are looked up by broadcast.
+OFTEN = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, often: int = OFTEN) -> DataFrame:
+    """rows left-joined with table, which has one row a key. rows is settled: it is read more than once.
+
+    Keys of very many rows are counted first. There are fewer than 100,000 of them, or one for every `often` rows if that is less, so their
+    rows of the table are broadcast, and no shuffled key is left with more than its share.
+    """
+    spark = rows.sparkSession
+    bound = max(often, rows.count() // 100_000)
+    hot, path = settle(spark, rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound).select(key, F.lit(True).alias("_hot")), "often")
+    if not hot.limit(1).count():
+        remove(spark, path)
+        return rows.join(table, key, "left")
+    marked = rows.join(F.broadcast(hot), key, "left")
+    few = table.join(F.broadcast(hot.select(key)), key, "left_semi")
+    many = marked.filter("_hot").drop("_hot").join(F.broadcast(few), key, "left")
+    return many.unionByName(marked.filter("_hot is null").drop("_hot").join(table, key, "left"))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 32) -> None:

@@ -1,40 +1,45 @@
 """Exact n-gram Jaccard self-join with signature trees.
 
-1. Every text becomes a set of hashes of its distinct word shingles; equal sets are one from here on. All shingles are counted over all
-   sets, 32 bits each, and a bounded Bloom filter of those in two sets or more goes back. Unshared shingles come first in one order of all
-   shingles, the most frequent last. Where a filter would overflow it keeps only shingles that are more frequent: more candidates, no loss.
-2. Blocks. Two sets that link share a shingle among the first |s| - ceil(0.8 |s|) + 1 of either in that order, and their sizes differ by a
-   quarter at most. Sets that share such a shingle in near size classes get a chain of candidate edges (not all pairs): within a task first,
-   so that a shingle which a third of all rows have moves once a task and size class, then over all tasks. The components of these edges are
-   blocks; no link leaves a block. What order and size classes do is save work; neither can lose a link.
-3. In a block, sets ordered by minima of their hashes are the leaves of a signature tree. A node holds the OR of its sets' bitmaps and the
-   range of their sizes. Two nodes are compared only if some pair below them may overlap enough: by their sizes, and by the bits they
-   share. Nodes that already are wholly in one component are passed over. What is left is compared exactly. A block of more than
-   BLOCK shingles is cut into chunks, and each pair of chunks is a task of its own, so a task's memory is bounded.
-4. The edges of each block's spanning forest, with the members of each equal set, give every document its component.
+1. Every text becomes a set of hashes of its distinct word shingles, 48 bits each; equal sets are one from here on. A task writes its sets to
+   chunk files in the shared folder, so that texts are read once and a lost executor costs no more than its own tasks.
+2. Each chunk asks in how many sets its shingles are: the questions are dealt by shingle, 4 bytes each, counted, and answered with a level a
+   shingle (0: one set's own; else by the logarithm of the count). Nothing is broadcast, and counts are exact up to 48 bits at every size.
+3. Blocks. Two sets that link share a shingle among the first |s| - ceil(0.8 |s|) + 1 of either in any one order of shingles (here rare ones
+   first, by level), and their sizes differ by a quarter at most. Sets that share such a shingle in near size classes get a chain of candidate
+   edges (not all pairs): within a task first, so that a shingle which a third of all rows have moves once a chunk and size class, then over
+   all chunks. The components of these edges are blocks; no link leaves a block.
+4. A block of more than SETS sets or BLOCK shingles is dealt to chunks by hash, twice with different salts, and each chunk is searched by
+   itself; near copies are mostly one component after that. Sets outside their block's largest component are then compared with all others
+   of near size classes, chunk by chunk, so that no pair is left out but those that are known to be in one component.
+5. In a chunk, or a pair of chunks, sets ordered by minima of their hashes are the leaves of a signature tree. A node holds the OR of its
+   sets' bitmaps and the range of their sizes. Two nodes are compared only if some pair below them may overlap enough: by their sizes, and by
+   the bits they share. Nodes that already are wholly in one component are passed over. What is left is compared exactly.
+6. The edges of each search's spanning forest, with the members of each equal set, give every document its component.
 
 Links: 100 * |intersection| >= 80 * |union|. Null texts and texts without words are empty sets, which link with nothing, not even with each
-other. A null id takes part as itself and never is a component's id unless all ids there are null. Repeated rows each give a row.
+other. A null id takes part as itself and never is a component's id unless all ids there are null. Repeated rows each give a row. A very long
+text is one set, in memory once a task. An empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import BYTES_LOWER, narrow, prepare, remove, returning, settle
+from tidemark.llm.common import BYTES_LOWER, lookup, narrow, opened, prepare, remove, returning, scratch_path, settle
 from tidemark.llm.components import components
-from tidemark.llm.line_dedup import Bloom
 
-#: Words of a shingle; the threshold as numerator and denominator; shingles of a task's chunk and of a block; bounds of what is broadcast: MB of filters in all, very frequent shingles (16 bytes each).
-WORDS, UP, DOWN, CHUNK, BLOCK, SHARED_MB, FREQUENT = 5, 4, 5, 2_000_000, 4_000_000, 64, 500_000
+#: Words of a shingle; the threshold as numerator and denominator.
+WORDS, UP, DOWN = 5, 4, 5
+#: Shingles of a chunk file; questions that one counting task holds; sets and shingles of a block's chunk; rows to broadcast (64 bytes each).
+CHUNK, ASKED, SETS, BLOCK, SENT = 2_000_000, 16_000_000, 256, 1_000_000, 100_000
 MEMO = 150_000
 LEAF = 16
 
@@ -78,13 +83,16 @@ def digest_of(s: np.ndarray) -> bytes:
 
 
 def node_of(digest: bytes, at: int) -> int:
-    """A set's number among edges, from eight bytes of its digest, so that a row needs no id to take part; a clash is found in block_links."""
+    """A set's number among edges, from eight bytes of its digest, so that a row needs no id to take part; a clash is found in blocked()."""
     return int.from_bytes(digest[at : at + 8], "little", signed=True)
 
 
+#: Size classes, whose bounds lie a factor of the root of 5/4 apart: sets of classes more than two apart can't link.
+STEP = float(np.log(DOWN / UP) / 2)
+
+
 def size_class(n: np.ndarray) -> np.ndarray:
-    """Classes whose bounds lie a factor of the root of 5/4 apart: sets of classes more than two apart can't link."""
-    return np.floor(np.log(np.maximum(n, 1)) / (np.log(DOWN / UP) / 2) + 1e-9).astype(np.int64)
+    return np.floor(np.log(np.maximum(n, 1)) / STEP + 1e-9).astype(np.int64)
 
 
 def prefix_length(n: int) -> int:
@@ -121,13 +129,13 @@ def packed(*columns: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(c).tobytes() for c in columns]
 
 
-def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return (h % np.uint64(parts)).astype(np.int32)
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    return (key % np.uint64(parts)).astype(np.int32)
 
 
-def short(h: np.ndarray) -> np.ndarray:
+def short(key: np.ndarray) -> np.ndarray:
     """32 bits besides the part: two shingles that share them only add a candidate, or pass for frequent."""
-    return (h >> np.uint64(32)).astype(np.uint32)
+    return (key >> np.uint64(16)).astype(np.uint32)
 
 
 def split_by(to: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,179 +145,174 @@ def split_by(to: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return order, np.flatnonzero(np.diff(cuts)), cuts
 
 
-@dataclass
-class Common:
-    """What is known of shingles that several sets have: a Bloom filter for each part, and levels of the very frequent.
-
-    whole: the filter of the part holds all of its shared shingles, so that any other shingle is one set's own.
-    """
-
-    parts: int
-    filters: dict[int, tuple[int, bytes]]
-    whole: np.ndarray
-    keys: np.ndarray
-    levels: np.ndarray
-
-    def level(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(level: 0 unshared, 1 shared, more for very frequent; may be in another set)"""
-        to, key = part_of(h, self.parts), short(h)
-        level = np.zeros(len(h), np.uint64)
-        order, full, cuts = split_by(to, self.parts)
-        for p in full.tolist():
-            if p in self.filters:
-                own = order[cuts[p] : cuts[p + 1]]
-                bits, data = self.filters[p]
-                level[own] = Bloom(bits, np.frombuffer(data, np.uint8)).has(mixed(key[own].astype(np.uint64)))
-        if len(self.keys):
-            shared = np.flatnonzero(level)
-            ids = to[shared].astype(np.uint64) << np.uint64(32) | key[shared]
-            at = np.minimum(np.searchsorted(self.keys, ids), len(self.keys) - 1)
-            hit = self.keys[at] == ids
-            level[shared[hit]] = self.levels[at[hit]]
-        return level, (level > 0) | ~self.whole[to]
-
-
-def shared_shingles(plain: DataFrame, parts: int) -> Common:
-    """Counts of all shingles, over all sets: 4 bytes for each shingle of a task's chunk are dealt, packed, and only filters come back."""
-    room, most = max(10, int(np.log2((SHARED_MB << 23) / parts))), max(16, FREQUENT // parts)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, n = set(), [], 0
+# ---- chunk files ----
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            unique, count = np.unique(np.concatenate(held), return_counts=True)
-            count = np.minimum(count, 65535).astype(np.uint16)
-            order, full, cuts = split_by(part_of(unique, parts), parts)
-            key, count = short(unique[order]), count[order]
-            once = [key[i:j][count[i:j] == 1].tobytes() for i, j in zip(cuts[full], cuts[full + 1], strict=True)]
-            more = [packed(key[i:j][count[i:j] > 1], count[i:j][count[i:j] > 1]) for i, j in zip(cuts[full], cuts[full + 1], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(once, pa.binary()), *(pa.array([m[k] for m in more], pa.binary()) for k in (0, 1))], names=["part", "once", "keys", "counts"])
 
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                s = shingles(text)
-                if len(s) and (d := digest_of(s)) not in seen:
-                    seen.add(d)
-                    held.append(s)
-                    n += len(s)
-            if n >= CHUNK:
-                yield from rows()
-                seen, held, n = set(), [], 0
-        if held:
-            yield from rows()
-        _MEMO.clear()
+def write_chunk(folder: str, nodes: list[int], sets: list[np.ndarray]) -> str:
+    """Nodes, sizes, and the upper six bytes of each hash."""
+    fs, at = opened(folder)
+    name = f"{uuid.uuid4().hex}.chunk"
+    with fs.open_output_stream(f"{at}/{name}", compression=None) as out:
+        out.write(np.array([len(nodes)], np.int64).tobytes())
+        out.write(np.array(nodes, np.int64).tobytes())
+        out.write(np.array([len(s) for s in sets], np.int64).tobytes())
+        out.write(np.concatenate(sets).astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())
+    return name
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A part at a time: its rows stand together, and it holds one part of all shingles, set by the number of parts."""
-        now, once, keys, counts = None, [], [], []
-
-        def row() -> Iterator[pa.RecordBatch]:
-            more = np.frombuffer(b"".join(keys), np.uint32)
-            unique, at = np.unique(np.concatenate([np.frombuffer(b"".join(once), np.uint32), more]), return_inverse=True)
-            total = np.bincount(at[: len(at) - len(more)], minlength=len(unique)) + np.bincount(at[len(at) - len(more) :], np.frombuffer(b"".join(counts), np.uint16), len(unique))
-            least = 2
-            while (total >= least).sum() * 10 > 1 << room:
-                least *= 2
-            shared = unique[total >= least]
-            b = Bloom(min(room, max(10, int(np.ceil(np.log2(10 * len(shared) + 1))))))
-            b.add(mixed(shared.astype(np.uint64)))
-            often = max(64, int(np.partition(total, -most)[-most])) if len(total) > most else 64
-            ids, levels = np.uint64(now) << np.uint64(32) | unique[total >= often], np.floor(np.log2(total[total >= often])).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([b.bits], pa.int32()), pa.array([least == 2]), *(pa.array([x], pa.binary()) for x in (b.data.tobytes(), *packed(ids.astype(np.uint64), levels)))], names=["part", "bits", "whole", "data", "keys", "levels"])
 
-        for batch in batches:
-            for part, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "once", "keys", "counts")), strict=True):
-                if part != now:
-                    if now is not None:
-                        yield from row()
-                    now, once, keys, counts = part, [], [], []
-                for to, blob in zip((once, keys, counts), blobs, strict=True):
-                    to.append(blob)
-        if now is not None:
-            yield from row()
+def read_chunk(folder: str, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, sizes, keys of 48 bits, set after set)"""
+    fs, at = opened(folder)
+    with fs.open_input_file(f"{at}/{name}") as f:
+        data = f.read()
+    k = int(np.frombuffer(data, np.int64, 1)[0])
+    nodes, sizes = np.frombuffer(data, np.int64, k, 8), np.frombuffer(data, np.int64, k, 8 + 8 * k)
+    wide = np.zeros((int(sizes.sum()), 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8, offset=8 + 16 * k).reshape(-1, 6)
+    return nodes, sizes, wide.view("<u8").ravel().astype(np.uint64)
 
-    dealt = plain.select("text").mapInArrow(returning(emit), "part int, once binary, keys binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
-    rows = [*dealt.mapInArrow(returning(count), "part int, bits int, whole boolean, data binary, keys binary, levels binary").toLocalIterator()]
-    whole = np.ones(parts, bool)
-    for r in rows:
-        whole[r.part] = r.whole
-    keys, levels = np.frombuffer(b"".join(r.keys for r in rows), np.uint64), np.frombuffer(b"".join(r.levels for r in rows), np.uint64)
-    order = np.argsort(keys)
-    return Common(parts, {r.part: (r.bits, bytes(r.data)) for r in rows}, whole, keys[order], levels[order])
 
+def questions(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's different keys in the order in which they are asked (by part, those in one set of the chunk before others): keys, counts,
+    parts that have any, cuts, and for each element of `keys` its place among them."""
+    unique, place, count = np.unique(keys, return_inverse=True, return_counts=True)
+    order = np.lexsort((count > 1, part_of(unique, parts)))
+    at = np.empty(len(unique), np.int64)
+    at[order] = np.arange(len(unique))
+    unique, count = unique[order], count[order]
+    cuts = np.searchsorted(part_of(unique, parts), np.arange(parts + 1))
+    return unique, count, np.flatnonzero(np.diff(cuts)), cuts, at[place]
 
-def candidate_edges(plain: DataFrame, common: Common, parts: int, byte: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, digest, node) of each row; (a, b): edges whose components hold all links between different sets."""
-    spark = plain.sparkSession
-    sent = spark.sparkContext.broadcast(common)
-    names = ["doc_id", "n_shingles", "digest", "node", "part", "x", "y", "z", "nodes"]
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = sent.value
-        seen, held, n = set(), [], 0
+def spelled(plain: DataFrame, folder: str, byte: int) -> DataFrame:
+    """Settled: a row (doc_id, n_shingles, digest, node) for each document; (chunk, n_shingles) for each chunk file."""
+    names = ["doc_id", "n_shingles", "digest", "node", "chunk"]
 
-        def edge_rows(part: list[int], blobs: list[list[bytes]]) -> pa.RecordBatch:
-            k = len(part)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(part, pa.int32()), *(pa.array([b[c] for b in blobs], pa.binary()) for c in range(4))], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, nodes, held, n = set(), [], [], 0
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            key = np.concatenate([h[0] for h in held])
-            cls = np.concatenate([np.full(len(h[0]), h[1]) for h in held])
-            node = np.concatenate([np.full(len(h[0]), h[2]) for h in held])
-            order = np.lexsort((node, cls, key))
-            key, cls, node = key[order], cls[order], node[order]
-            first = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))
-            lead = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-            a, b = forest(node[~first], lead[~first])
-            if len(a):
-                yield edge_rows([-1], [[*packed(a, b), b"", b""]])
-            key, cls, node = key[first], cls[first].astype(np.int16), node[first]
-            order, full, cuts = split_by(part_of(key, parts), parts)
-            blobs = []
-            for i, j in zip(cuts[full], cuts[full + 1], strict=True):
-                own = order[i:j]
-                nodes, at = np.unique(node[own], return_inverse=True)
-                blobs.append(packed(short(key[own]), at.astype(np.uint32), cls[own], nodes))
-            if len(full):
-                yield edge_rows(full.tolist(), blobs)
+        def chunk() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([n], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([write_chunk(folder, nodes, held)])], names=names)
 
         for batch in batches:
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             digests = [digest_of(s) if len(s) else b"" for s in sets]
             numbers = [node_of(d, byte) if d else None for d in digests]
-            k = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(numbers, pa.int64()), pa.nulls(k, pa.int32()), *(pa.nulls(k, pa.binary()) for _ in range(4))], names=names)
-            new = []
-            for i, d in enumerate(digests):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(numbers, pa.int64()), pa.nulls(len(sets), pa.string())], names=names)
+            for s, d, node in zip(sets, digests, numbers, strict=True):
                 if d and d not in seen:
                     seen.add(d)
-                    new.append(i)
-            if not new:
-                continue
-            whole = np.concatenate([sets[i] for i in new])
-            level, shared = common.level(whole)
-            place = (mixed(whole) >> np.uint64(7)) | level << np.uint64(57)  # unshared first, the most frequent last, hashes otherwise
+                    nodes.append(node)
+                    held.append(s)
+                    n += len(s)
+                    if n >= CHUNK:
+                        yield chunk()
+                        seen, nodes, held, n = set(), [], [], 0
+        if held:
+            yield chunk()
+        _MEMO.clear()
+
+    return settle(plain.sparkSession, plain.mapInArrow(returning(run), "doc_id long, n_shingles long, digest binary, node long, chunk string"), "sets")
+
+
+def answered(chunks: DataFrame, folder: str, parts: int) -> DataFrame:
+    """(chunk, part, levels): for each question of a chunk, in its order, how frequent the shingle is over all sets."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("chunk").to_pylist():
+                keys, count, full, cuts, _ = questions(read_chunk(folder, name)[2], parts)
+                key, count = short(keys), np.minimum(count, 65535).astype(np.uint16)
+                own = [(key[i:j], count[i:j]) for i, j in zip(cuts[full], cuts[full + 1], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array([k.tobytes() for k, _ in own], pa.binary()), pa.array([c[c > 1].tobytes() for _, c in own], pa.binary())], names=["chunk", "part", "keys", "counts"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A part at a time: it holds a share of all shingles that is set by the number of parts."""
+        now, names, keys, counts = None, [], [], []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            sizes = np.array([len(k) // 4 for k in keys])
+            unique, place = np.unique(np.frombuffer(b"".join(keys), np.uint32), return_inverse=True)
+            total = np.bincount(place, minlength=len(unique))
             start = 0
-            for i in new:
-                size = len(sets[i])
-                at = slice(start, start + size)
+            for size, c in zip(sizes, counts, strict=True):
+                more = np.frombuffer(c, np.uint16)
+                np.add.at(total, place[start + size - len(more) : start + size], more.astype(np.int64) - 1)
                 start += size
-                p = prefix_length(size)
-                first = np.argpartition(place[at], p - 1)[:p] if p < size else np.arange(size)
-                first = first[shared[at][first]]  # what no other set has can't lead to one
-                if len(first):
-                    held.append((sets[i][first], int(size_class(np.array(size))), numbers[i]))
-                    n += len(first)
-            if n >= CHUNK or len(seen) > 200_000:
-                if held:
-                    yield from rows()
-                seen, held, n = set(), [], 0
-        if held:
+            level = np.where(total < 2, 0, 1 + np.floor(4 * np.log2(np.maximum(total, 1)))).astype(np.uint8)[place]
+            ends = np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([now] * len(names), pa.int32()), pa.array([level[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)], pa.binary())], names=["chunk", "part", "levels"])
+
+        for batch in batches:
+            for name, part, k, c in zip(*(batch.column(x).to_pylist() for x in ("chunk", "part", "keys", "counts")), strict=True):
+                if part != now:
+                    if names:
+                        yield from rows()
+                    now, names, keys, counts = part, [], [], []
+                names.append(name)
+                keys.append(k)
+                counts.append(c)
+        if names:
             yield from rows()
-        _MEMO.clear()
+
+    asked = chunks.select("chunk").mapInArrow(returning(ask), "chunk string, part int, keys binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
+    return asked.mapInArrow(returning(answer), "chunk string, part int, levels binary")
+
+
+def candidate_edges(chunks: DataFrame, folder: str, parts: int) -> DataFrame:
+    """(a, b): edges between nodes whose components hold all links between different sets."""
+    spark = chunks.sparkSession
+    names = ["part", "x", "y", "z", "nodes"]
+
+    def edge_rows(part: list[int], blobs: list[list[bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array([b[c] for b in blobs], pa.binary()) for c in range(4))], names=names)
+
+    def prefixes(name: str, levels: list[bytes]) -> Iterator[pa.RecordBatch]:
+        node_of_set, sizes, whole = read_chunk(folder, name)
+        level = np.frombuffer(b"".join(levels), np.uint8)[questions(whole, parts)[4]]
+        place = (mixed(whole) >> np.uint64(8)) | level.astype(np.uint64) << np.uint64(56)  # rare ones first, hashes otherwise
+        keys, of, start = [], [], 0
+        for k, size in enumerate(sizes.tolist()):
+            at, p = slice(start, start + size), prefix_length(size)
+            start += size
+            first = np.argpartition(place[at], p - 1)[:p] if p < size else np.arange(size)
+            first = first[level[at][first] > 0]  # what no other set has can't lead to one
+            keys.append(whole[at][first])
+            of.append(np.full(len(first), k))
+        key, of = np.concatenate(keys), np.concatenate(of)
+        if not len(key):
+            return
+        cls, node = size_class(sizes)[of], node_of_set[of]
+        order = np.lexsort((node, cls, key))
+        key, cls, node = key[order], cls[order], node[order]
+        first = np.append(True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))
+        lead = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+        a, b = forest(node[~first], lead[~first])
+        if len(a):
+            yield edge_rows([-1], [[*packed(a, b), b"", b""]])
+        key, cls, node = key[first], cls[first].astype(np.int16), node[first]
+        order, full, cuts = split_by(part_of(key, parts), parts)
+        blobs = []
+        for i, j in zip(cuts[full], cuts[full + 1], strict=True):
+            own = order[i:j]
+            nodes, at = np.unique(node[own], return_inverse=True)
+            blobs.append(packed(short(key[own]), at.astype(np.uint32), cls[own], nodes))
+        yield edge_rows(full.tolist(), blobs)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, levels = None, []
+        for batch in batches:
+            for name, level in zip(batch.column("chunk").to_pylist(), batch.column("levels").to_pylist(), strict=True):
+                if name != now:
+                    if now is not None:
+                        yield from prefixes(now, levels)
+                    now, levels = name, []
+                levels.append(level)
+        if now is not None:
+            yield from prefixes(now, levels)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A part at a time: a row for each task's chunk, shingle and size class."""
+        """A part at a time: a row for each chunk, shingle and size class."""
         now, key, cls, node = None, [], [], []
 
         def edges() -> Iterator[pa.RecordBatch]:
@@ -318,7 +321,7 @@ def candidate_edges(plain: DataFrame, common: Common, parts: int, byte: int = 0)
                 yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 100_000]), pa.array(b[k : k + 100_000])], names=["a", "b"])
 
         for batch in batches:
-            for part, x, y, z, nodes in zip(*(batch.column(c).to_pylist() for c in ("part", "x", "y", "z", "nodes")), strict=True):
+            for part, x, y, z, nodes in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if part != now:
                     if key:
                         yield from edges()
@@ -334,10 +337,16 @@ def candidate_edges(plain: DataFrame, common: Common, parts: int, byte: int = 0)
             for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], names=["a", "b"])
 
-    made, _ = settle(spark, plain.mapInArrow(returning(emit), "doc_id long, n_shingles long, digest binary, node long, part int, x binary, y binary, z binary, nodes binary"), "prefixes")
-    far = made.filter("part >= 0").select("part", "x", "y", "z", "nodes").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(returning(join), "a long, b long")
+    told = answered(chunks, folder, parts).repartition(parts, "chunk").sortWithinPartitions("chunk", "part").select("chunk", "levels")
+    made, made_path = settle(spark, told.mapInArrow(returning(emit), "part int, x binary, y binary, z binary, nodes binary"), "prefixes")
+    far = made.filter("part >= 0").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(returning(join), "a long, b long")
     near = made.filter("part = -1").select("x", "y").mapInArrow(returning(unpack), "a long, b long")
-    return made.filter("part is null").select("doc_id", "n_shingles", "digest", "node"), far.union(near)
+    edges, _ = settle(spark, far.union(near), "candidates")
+    remove(spark, made_path)
+    return edges
+
+
+# ---- signature trees ----
 
 
 class Tree:
@@ -380,19 +389,42 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * inter >= 80 * (len(a) + len(b) - inter)
 
 
-def traverse(sets: list[np.ndarray], cut: int | None = None) -> np.ndarray:
-    """A component number for each set. cut: only pairs of one set before it and one from it on are compared."""
-    n = len(sets)
-    comp = np.arange(n)
+class Components:
+    """Sets joined one by one, by halved paths; a component is known by its smallest member."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
 
-    def union(i: int, j: int) -> None:
-        a, b = comp[i], comp[j]
-        comp[comp == max(a, b)] = min(a, b)
+    def of(self, k: int) -> int:
+        up = self.up
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return int(k)
 
+    def join(self, i: int, j: int) -> None:
+        a, b = self.of(i), self.of(j)
+        self.up[max(a, b)] = min(a, b)
+
+    def all(self, some: np.ndarray | None = None) -> np.ndarray:
+        at = self.up if some is None else self.up[some]
+        while (self.up[at] != at).any():
+            at = self.up[at]
+        return at
+
+
+def traverse(sets: list[np.ndarray], cut: int | None = None, known: list | None = None) -> np.ndarray:
+    """A component number for each set. cut: only pairs of one set before it and one from it on are compared. known: sets with equal values
+    are in one component already."""
+    n = len(sets)
+    comp = Components(n)
+    first: dict = {}
+    for k, value in enumerate(known or []):
+        comp.join(k, first.setdefault(value, k))
     if n == 2:
-        if linked(sets[0], sets[1]):
-            union(0, 1)
-        return comp
+        if comp.of(1) and linked(sets[0], sets[1]):
+            comp.join(0, 1)
+        return comp.all()
     bits = int(np.clip(np.ceil(np.log2(4 * np.median([len(s) for s in sets]) + 1)), 8, 13))
     minima = np.array([(int(s[0]), int(mixed(s).min())) for s in sets], np.uint64)
     groups = [np.arange(n)] if cut is None else [np.arange(cut), np.arange(cut, n)]
@@ -409,19 +441,19 @@ def traverse(sets: list[np.ndarray], cut: int | None = None) -> np.ndarray:
         ma, mb = x.maps[si], y.maps[sj]
         both = np.bitwise_count(ma[:, None, :] & mb[None, :, :]).sum(axis=2, dtype=np.int64)
         most = np.minimum(na - (np.bitwise_count(ma).sum(axis=1, dtype=np.int64)[:, None] - both), nb - (np.bitwise_count(mb).sum(axis=1, dtype=np.int64)[None, :] - both))
-        ok = (DOWN * np.minimum(na, nb) >= UP * np.maximum(na, nb)) & ((UP + DOWN) * most >= UP * (na + nb))
+        ok = (DOWN * np.minimum(na, nb) >= UP * np.maximum(na, nb)) & ((UP + DOWN) * most >= UP * (na + nb)) & (comp.all(a)[:, None] != comp.all(b)[None, :])
         if same and i == j:
             ok &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
         for p, q in zip(*np.nonzero(ok), strict=True):
-            if comp[a[p]] != comp[b[q]] and linked(sets[a[p]], sets[b[q]]):
-                union(a[p], b[q])
+            if comp.of(a[p]) != comp.of(b[q]) and linked(sets[a[p]], sets[b[q]]):
+                comp.join(a[p], b[q])
 
     todo = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
     while todo:
         lx, i, ly, j = todo.pop()
         own = same and lx == ly and i == j
         if not own:
-            ca, cb = comp[gx[x.span(lx, i)]], comp[gy[y.span(ly, j)]]
+            ca, cb = comp.all(gx[x.span(lx, i)]), comp.all(gy[y.span(ly, j)])
             if ca[0] == cb[0] and (ca == ca[0]).all() and (cb == cb[0]).all() or not may_link(x, i, y, j, (lx, ly)):
                 continue
         if lx == 0 and ly == 0:
@@ -432,7 +464,10 @@ def traverse(sets: list[np.ndarray], cut: int | None = None) -> np.ndarray:
         new = [(*p, *q) for p in below_x for q in below_y if not own or p[1] <= q[1]]
         new.sort(key=lambda t: t[1] == t[3] and t[0] == t[2])  # popped from the end: a node's own halves first, so that what is near links early
         todo += new
-    return comp
+    return comp.all()
+
+
+# ---- blocks ----
 
 
 def with_digests(plain: DataFrame, once: bool = False) -> DataFrame:
@@ -454,65 +489,110 @@ def with_digests(plain: DataFrame, once: bool = False) -> DataFrame:
     return plain.mapInArrow(returning(run), T.StructType([*plain.schema.fields, T.StructField("digest", T.BinaryType())]))
 
 
-def block_links(plain: DataFrame, least: DataFrame, edges: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, bool] | None:
-    """(a, b): a spanning forest of the links between different sets, by the node of each set; the carriers; whether blocks were cut.
-    None where two sets have one node."""
+def blocked(plain: DataFrame, least: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, list[str]] | None:
+    """Settled: (digest, block, carrier, n) of each set in a block; (block, carrier, n, hashes) of the same sets. None where two sets have one node."""
     spark = plain.sparkSession
     roots = components(edges)
     blocks = roots.union(roots.select(F.col("root"), F.col("root")).distinct()).toDF("node", "block")
-    sets = blocks.join(least, "node").select("block", "digest", F.col("node").alias("carrier"), F.col("n_shingles").alias("n"), F.col("least").alias("place"))
-    sets, sets_path = settle(spark, sets, "sets")
+    sets, sets_path = settle(spark, blocks.join(least, "node").select("block", "digest", F.col("node").alias("carrier"), F.col("n_shingles").alias("n"), F.col("least").alias("place")), "sets")
     if sets.groupBy("carrier").count().filter("count > 1").limit(1).count():
         return None
-    sizes = sets.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total")).filter("sets > 1").withColumn("chunks", F.ceil(F.col("total") * 2 / BLOCK).cast("int"))
-    sizes, sizes_path = settle(spark, sizes.withColumn("chunks", F.when(F.col("total") <= BLOCK, 1).otherwise(F.col("chunks"))), "blocks")
-    cut = bool(sizes.filter("chunks > 1").limit(1).count())
-    picked = sets.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("carrier"), F.col("chunks")).cast("int"))
-    wanted = picked.select("block", "carrier", "place", "digest", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    wanted = wanted.select("block", "carrier", "place", "digest", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
-    wanted, wanted_path = settle(spark, wanted, "wanted")
-    small = wanted.count() <= 100_000  # 64 bytes a row: some 6 MB at most to broadcast
-    sent = F.broadcast if small else lambda df: df
-    columns = ["block", "i", "j", "chunk", "carrier", "digest", "text"]
-    texts = plain.join(sent(wanted), F.col("doc_id") == F.col("place")).select(*columns)
-    unnamed = wanted.filter("place is null")
+    sent = F.broadcast if sets.count() <= SENT else lambda df: df
+    columns = ["block", "carrier", "digest", "text"]
+    texts = plain.join(sent(sets.filter("place is not null")), F.col("doc_id") == F.col("place")).select(*columns)
+    unnamed = sets.filter("place is null")
     if unnamed.limit(1).count():  # sets of rows without an id
         texts = texts.union(with_digests(plain.filter("doc_id is null"), once=True).select("digest", "text").join(sent(unnamed), "digest").select(*columns))
-    texts = texts.repartition(parts * 2, "block", "i", "j").sortWithinPartitions("block", "i", "j", "chunk", "carrier")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets, chunks = None, [], [], []
+        for batch in batches:
+            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            own = [k for k, (s, d) in enumerate(zip(found, batch.column("digest").to_pylist(), strict=True)) if digest_of(s) == d]  # else another row of the same id
+            rows = batch.select(["block", "carrier"]).take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([len(found[k]) for k in own], pa.int64()), pa.array([found[k].tobytes() for k in own], pa.binary())], names=["block", "carrier", "n", "hashes"])
+        _MEMO.clear()
+
+    held, held_path = settle(spark, texts.mapInArrow(returning(run), "block long, carrier long, n long, hashes binary"), "hashes")
+    return sets, held, [sets_path, held_path]
+
+
+def searched(tasks: DataFrame, parts: int) -> DataFrame:
+    """Settled (a, b): the links of a spanning forest of each task. tasks: u, v (the two chunks), side (0 or 1), carrier, known, hashes; a task
+    of one chunk compares all its sets, another only sets of different chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets, sides, known = None, [], [], [], []
 
         def links() -> Iterator[pa.RecordBatch]:
-            if len(sets) < 2 or (now[1] != now[2] and (chunks[0] != now[1] or chunks[-1] != now[2])):
+            whole = now[0] == now[1]
+            if len(sets) < 2 or not whole and sides[0] == sides[-1]:
                 return
-            comp = traverse(sets, chunks.index(now[2]) if now[1] != now[2] else None)
-            ids = np.array(nodes)
-            own = np.flatnonzero(comp != np.arange(len(comp)))
+            comp = traverse(sets, None if whole else sides.index(1), known)
+            ids, own = np.array(nodes), np.flatnonzero(comp != np.arange(len(comp)))
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pa.array(ids[comp[own]], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for block, i, j, chunk, carrier, digest, text in zip(*(batch.column(c).to_pylist() for c in ("block", "i", "j", "chunk", "carrier", "digest", "text")), strict=True):
-                s = shingles(text)
-                if digest_of(s) != digest:  # another row of the same id
-                    continue
-                if (block, i, j) != now:
-                    yield from links()
-                    now, nodes, sets, chunks = (block, i, j), [], [], []
-                if nodes and nodes[-1] == carrier and len(sets[-1]) == len(s) and (sets[-1] == s).all():
+            for u, v, side, carrier, root, hashes in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "side", "carrier", "known", "hashes")), strict=True):
+                if (u, v) != now:
+                    if now:
+                        yield from links()
+                    now, nodes, sets, sides, known = (u, v), [], [], [], []
+                if nodes and nodes[-1] == carrier and sides[-1] == side:  # a repeated row
                     continue
                 nodes.append(carrier)
-                sets.append(s)
-                chunks.append(chunk)
+                sets.append(np.frombuffer(hashes, np.uint64))
+                sides.append(side)
+                known.append(root)
         if now:
             yield from links()
-        _MEMO.clear()
 
-    found, _ = settle(spark, texts.mapInArrow(returning(run), "a long, b long"), "links")
-    carriers, _ = settle(spark, sets.select("digest", "carrier"), "carriers")
-    remove(spark, sets_path, sizes_path, wanted_path)
-    return found, carriers, cut
+    dealt = tasks.select("u", "v", "side", "carrier", "known", "hashes").repartition(parts, "u", "v").sortWithinPartitions("u", "v", "side", "carrier")
+    return settle(tasks.sparkSession, dealt.mapInArrow(returning(run), "a long, b long"), "links")
+
+
+def cuts_of(sets: DataFrame, *by: str) -> DataFrame:
+    """(by..., chunks): how many chunks a group's sets fill."""
+    return sets.groupBy(*by).agg(F.greatest(F.ceil(F.count(F.lit(1)) / SETS), F.ceil(F.sum("n") / BLOCK), F.lit(1)).cast("int").alias("chunks"))
+
+
+def block_links(sets: DataFrame, held: DataFrame, parts: int) -> tuple[DataFrame, list[str]]:
+    """(node, root) of the links between the sets of each block, and the settled tables it reads."""
+    spark = held.sparkSession
+    chunks, path = settle(spark, cuts_of(sets, "block"), "chunks")
+    paths = [path]
+    at = lambda salt, n: F.pmod(F.xxhash64("carrier", F.lit(salt)), n).cast("string")
+    own = lambda rows, unit: rows.withColumns({"u": unit, "v": unit, "side": F.lit(0)})
+    chunked = held.join(chunks, "block")
+    first, path = searched(own(chunked, F.concat_ws(":", "block", at(1, F.col("chunks")))).withColumn("known", F.col("carrier")), parts)
+    paths.append(path)
+    if not chunks.filter("chunks > 1").limit(1).count():
+        return first.toDF("node", "root"), paths
+    large = chunked.filter("chunks > 1")
+    second, path = searched(own(large, F.concat_ws(":", "block", at(2, F.col("chunks")))).withColumn("known", F.col("carrier")), parts)
+    paths.append(path)
+    # what isn't in its block's largest component is compared with everything else there of near size
+    roots, path = settle(spark, components(first.union(second)), "roots")
+    paths.append(path)
+    members = sets.join(chunks.filter("chunks > 1"), "block").join(roots, F.col("carrier") == F.col("node"), "left").select("block", "carrier", "n", F.coalesce("root", "carrier").alias("known"))
+    main = members.groupBy("block", "known").count().groupBy("block").agg(F.max_by("known", F.struct("count", "known")).alias("main"))
+    members = members.join(main, "block").select("block", "carrier", "n", "known", (F.col("known") != F.col("main")).cast("int").alias("apart"), size_class_of(F.col("n")).alias("cls"))
+    units = cuts_of(members, "block", "apart", "cls")
+    named = F.concat_ws(":", "block", "apart", "cls", at(3, F.col("chunks"))).alias("unit")
+    members, path = settle(spark, members.join(units, ["block", "apart", "cls"]).select("block", "carrier", "known", "apart", "cls", named), "members")
+    paths.append(path)
+    units = members.select("block", "apart", "cls", "unit").distinct()
+    a, b = units.filter("apart = 1").select("block", F.col("cls").alias("cls_u"), F.col("unit").alias("u")), units.select("block", "apart", F.col("cls").alias("cls_v"), F.col("unit").alias("v"))
+    meet = a.join(b, "block").filter("abs(cls_u - cls_v) <= 2 and (apart = 0 or u <= v)").select("u", "v")
+    sides = meet.select("u", "v", F.lit(0).alias("side"), F.col("u").alias("unit")).union(meet.filter("u <> v").select("u", "v", F.lit(1), F.col("v")))
+    tasks = sides.join(members, "unit").select("u", "v", "side", "carrier", "known").join(held.select("carrier", "hashes"), "carrier")
+    third, path = searched(tasks, parts)
+    paths.append(path)
+    return components(first.union(second).union(third)), paths
+
+
+def size_class_of(n: Column) -> Column:
+    return F.floor(F.ln(F.greatest(n, F.lit(1))) / STEP + 1e-9).cast("int")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -521,28 +601,33 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prepare(spark)
     plain = narrow(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    common = shared_shingles(plain, parts)
     for byte in (0, 8):
-        info, edges = candidate_edges(plain, common, parts, byte)
-        least, _ = settle(spark, info.filter("n_shingles > 0").groupBy("digest", "n_shingles", "node").agg(F.min("doc_id").alias("least")), "least")
-        if (found := block_links(plain, least, edges, parts)) is not None:
+        folder = scratch_path(spark, "chunks")
+        fs, at = opened(folder)
+        fs.create_dir(at, recursive=True)
+        made, made_path = spelled(plain, folder, byte)
+        info, chunks = made.filter("chunk is null").select("doc_id", "n_shingles", "digest", "node"), made.filter("chunk is not null").select("chunk", "n_shingles")
+        total = chunks.agg(F.sum("n_shingles")).first()[0] or 0
+        edges = candidate_edges(chunks, folder, max(parts, -(-total // ASKED)))
+        remove(spark, folder)
+        least, least_path = settle(spark, info.filter("n_shingles > 0").groupBy("digest", "n_shingles", "node").agg(F.min("doc_id").alias("least")), "least")
+        if (found := blocked(plain, least, edges)) is not None:
             break
+        remove(spark, made_path, least_path)
     else:
         raise ValueError("digests of different sets share eight bytes in both halves")
-    links, carriers, cut = found
-    roots = components(links) if cut else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    sets, held, paths = found
+    roots, more = block_links(sets, held, parts * 2)
     # a component of sets is known by its smallest carrier; sets without a link are components of their own
-    root_of = carriers.join(roots.withColumnRenamed("node", "carrier"), "carrier", "left").select("digest", F.coalesce("root", "carrier").alias("root"))
+    root_of = sets.join(roots.withColumnRenamed("node", "carrier"), "carrier", "left").select("digest", F.coalesce("root", "carrier").alias("root"))
     least = least.join(root_of, "digest", "left")
     alone = least.filter("root is null").select("digest", F.col("least").alias("component_id"), F.col("node").alias("group"))
     joined = least.filter("root is not null")
     joined = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("digest", "component_id", F.col("root").alias("group"))
     table, _ = settle(spark, alone.union(joined), "components")
-    # a set that a third of all rows have is split by a salt: its one row is copied to each part
-    salts = 16
-    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = info.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return rows.join(salted, ["digest", "salt"], "left").select("doc_id", "n_shingles", "digest", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group")
+    remove(spark, *paths, *more, least_path)
+    found = lookup(info, table, "digest")
+    return found.select("doc_id", "n_shingles", "digest", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group")
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, scratch_path
+from tidemark.llm.common import opened, prepare, scratch_path
 
 #: Bytes of an archive before the next begins, and of a block that one row of the reader's task list covers.
 ARCHIVE_MB, BLOCK_MB = 64, 4
@@ -31,10 +31,6 @@ MAGIC = b"\x1f\x8b\x08"
 SCHEMA = "page_id string, record_type string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 
 
-def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def record(page_id: str, uri: str, payload: bytes | None, size: int, digest: str, refers: str | None) -> bytes:
     """One member. Line ends and letters beyond ASCII in head values are escaped."""
     safe = lambda x: x.encode("unicode_escape").decode()
