@@ -1,4 +1,4 @@
-"""Scalar functions, DDL catalogs, logs, admission, and the operators that no registered query covers."""
+"""Scalar functions, catalogs, logs, admission, and the operators that no registered query covers."""
 
 import datetime as dt
 import hashlib
@@ -14,7 +14,7 @@ from tidemark.functions import text as X
 from tidemark.operators import graph, recon, shape
 from tidemark.plans.security import PERSONAS
 from tidemark.sources import catalog, endpoints, logs
-from tidemark.streaming.admission import Limiter, retried, within
+from tidemark.streaming.admission import Admission, retried, within
 
 
 def one(spark, column, **values):
@@ -62,30 +62,46 @@ def test_questions(spark, raw, want):
     assert (got.text, got.reason) == want
 
 
-DDL = """
-CREATE SCHEMA private;
-CREATE TABLE legal (id text PRIMARY KEY, lei char(20) NOT NULL, country char(2)); -- comment, with (parens
-CREATE TABLE private.accounts (account_id text PRIMARY KEY, entity_id text NOT NULL REFERENCES legal(id), nostro text, bal numeric(20,2), tags text[], opened timestamptz);
-CREATE TABLE runs (day date NOT NULL, kind text, n int, share double precision, PRIMARY KEY (day, kind), CHECK (n > 0));
-CREATE VIEW accounts WITH (security_barrier) AS SELECT account_id, entity_id, CASE WHEN has('x') THEN nostro ELSE '****' || right(nostro, 4) END AS nostro FROM private.accounts;
-"""
-
-
-def test_ddl(spark, tmp_path):
-    specs = catalog.read_ddl(DDL)
-    assert {*specs} == {"legal", "runs", "accounts"}
-    assert specs["runs"].primary_key == ("day", "kind") and specs["accounts"].masked == {"nostro"} and specs["accounts"].references == (("entity_id", "legal", "id"),)
-    assert specs["runs"].schema.simpleString() == "struct<day:date,kind:string,n:int,share:double>"
-    seen = catalog.describe("cashrecon", {"breaks": specs["runs"], "cash_accounts": specs["accounts"]}, PERSONAS["cash_ops_emea"])
-    assert [c["masked"] for c in seen[1]["columns"]] == [False, False, True] and not catalog.describe("cashrecon", specs, PERSONAS["steward"])
-    data = catalog.TableData(["kind", "day", "share", "n"])
-    data.add("a", dt.date(2026, 1, 1), 0.5, 3)
+def declarations():
+    """Accounts and runs; Spark reads the type names, so a session must exist."""
+    accounts = catalog.declared("account_id string not null, entity_id string, nostro string, bal decimal(20,2), tags array<string>, opened timestamp", "account_id", {"entity_id": "legal.id"}, "nostro")
+    return accounts, catalog.declared("day date not null, kind string, n int, share double", "day kind")
+
+
+def test_catalog(spark, tmp_path):
+    accounts, runs = declarations()
+    assert catalog.key_of(runs) == ["day", "kind"] and catalog.references_of(accounts) == {"entity_id": "legal.id"}
+    with pytest.raises(ValueError):
+        catalog.declared("a int", key="b")
+    schemas = {"breaks": runs, "cash_accounts": accounts, "elsewhere": runs}
+    seen = catalog.describe("cashrecon", schemas, PERSONAS["cash_ops_emea"])
+    assert [c["masked"] for c in seen[1]["columns"]][:3] == [False, False, True] and seen[1]["columns"][3]["type"] == "decimal(20,2)"
+    assert not any(c["masked"] for t in catalog.describe("cashrecon", schemas, PERSONAS["head_data"]) for c in t["columns"])
+    assert not catalog.describe("cashrecon", schemas, PERSONAS["steward"])
+    row = {"kind": "a", "day": dt.date(2026, 1, 1), "share": 0.5, "n": 3}
+    made = catalog.rows_of(spark, runs, [row])
     with pytest.raises(ValueError):
-        data.add(1)
-    assert catalog.write_tables(spark, str(tmp_path), specs, {"runs": data}) == {"runs": 1}
-    assert spark.read.parquet(f"{tmp_path}/runs").first().n == 3
-    catalog.swap_version(spark.range(3), f"{tmp_path}/g", 1)
-    assert catalog.swap_version(spark.range(2), f"{tmp_path}/g", 2).count() == 2
+        catalog.rows_of(spark, runs, [{"n": 1}])
+    assert catalog.write_tables(str(tmp_path), {"runs": runs}, {"runs": made.select("share", "n", "kind", "day")}) == {"runs": 1}
+    back = spark.read.parquet(f"{tmp_path}/runs")
+    assert back.first().n == 3 and catalog.key_of(back.schema) == ["day", "kind"]  # keys travel with the table
+    for bad in (made.union(made), made.drop("n"), made.withColumn("kind", F.lit(None).cast("string"))):
+        with pytest.raises(ValueError):
+            catalog.write_tables(str(tmp_path), {"runs": runs}, {"runs": bad})
+    nodes, edges = catalog.graph_parts("cashrecon", {"legal": catalog.declared("id string", "id"), "cash_accounts": accounts}, spark)
+    assert nodes.count() == 1 + 2 + 7 and graph.dangling(nodes, edges).isEmpty()
+
+
+def test_versions(spark, tmp_path):
+    at = f"{tmp_path}/g"
+    with pytest.raises(FileNotFoundError):
+        catalog.current_version(spark, at)
+    catalog.swap_version(spark.range(3), at, 1)
+    assert catalog.swap_version(spark.range(2), at, 2).count() == 2
+    spark.range(9).write.parquet(f"{at}/version=3")
+    (tmp_path / "g/version=3/_SUCCESS").unlink()  # a write that was cut off
+    assert catalog.current_version(spark, at).count() == 2
+    assert catalog.swap_version(spark.range(5), at, 4).count() == 5 and catalog.versions(spark, at) == [2, 4]
 
 
 def test_logs(spark, tmp_path):
@@ -117,20 +133,31 @@ def test_logs(spark, tmp_path):
 
 def test_admission(spark):
     now = [0.0]
-    limit = Limiter(2, 1, 0, rate_per_min=60, burst=2, clock=lambda: now[0])
-    with limit.permit("a"):
+    limit = Admission(2, 1, 0, per_minute=60, burst=2, clock=lambda: now[0])
+    with limit.admitted("a"):
         with pytest.raises(Refused):
-            limit.permit("a").__enter__()
-        with limit.permit("b"), pytest.raises(Refused) as e:
-            limit.permit("c").__enter__()
+            limit.admitted("a").__enter__()
+        with limit.admitted("b"), pytest.raises(Refused) as e:
+            limit.admitted("c").__enter__()
         assert e.value.code == "busy"
-    with limit.permit("a"):
+    with limit.admitted("a"):
         pass
     with pytest.raises(Refused):
-        limit.permit("a").__enter__()
+        limit.admitted("a").__enter__()
     now[0] += 1
-    with limit.permit("a"):
+    with limit.admitted("a"):
         pass
+    queue, order = Admission(1, 1, 1), []
+    with queue.admitted("a"):
+        waits = threading.Thread(target=lambda: queue.admitted("b").__enter__() or order.append("b"))
+        waits.start()
+        while not queue.queued:
+            pass
+        with pytest.raises(Refused) as e:
+            queue.admitted("c").__enter__()
+        assert e.value.code == "busy" and not order
+    waits.join(10)
+    assert order == ["b"] and not queue.queued
     tries = []
     assert retried(lambda: tries.append(1) or len(tries) if len(tries) > 1 else (_ for _ in ()).throw(OSError("busy")) if tries.append(1) is None else 0, lambda e: True, sleep=lambda s: None)
     with pytest.raises(ValueError):

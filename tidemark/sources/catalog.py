@@ -1,124 +1,131 @@
-"""Table catalogs: schemas from DDL text, described to a caller; graph and table writes that swap whole versions."""
+"""Table catalogs as Spark schemas: keys, references and masks are metadata of the fields, so that they travel with every DataFrame.
+
+A table is declared by hand with Spark's own type names. Writes check rows against the declaration; graphs are written whole, version beside
+version, and a version counts from the moment it is complete.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.security import MASKED, Claims
-
-
-@dataclass(frozen=True)
-class TableSpec:
-    columns: tuple[tuple[str, str], ...]
-    primary_key: tuple[str, ...] = ()
-    references: tuple[tuple[str, str, str], ...] = ()  # column, table, its column
-    masked: frozenset[str] = frozenset()
-
-    @property
-    def schema(self) -> T.StructType:
-        return T.StructType([T.StructField(n, spark_type(t)) for n, t in self.columns])
-
-
-def spark_type(name: str) -> T.DataType:
-    """A Postgres column type as Spark's."""
-    bare = re.sub(r"\s+", "", name.lower())
-    if bare.endswith("[]"):
-        return T.ArrayType(spark_type(bare[:-2]))
-    if m := re.fullmatch(r"(?:numeric|decimal)\((\d+)(?:,(\d+))?\)", bare):
-        return T.DecimalType(int(m[1]), int(m[2] or 0))
-    plain = {"int": T.IntegerType(), "integer": T.IntegerType(), "bigint": T.LongType(), "smallint": T.ShortType(), "doubleprecision": T.DoubleType(), "real": T.FloatType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamptz": T.TimestampType(), "timestamp": T.TimestampNTZType(), "numeric": T.DecimalType(38, 10), "bytea": T.BinaryType()}
-    return plain.get(bare, T.StringType())
-
-
-def _pieces(body: str) -> list[str]:
-    """Cut at commas outside parentheses."""
-    out, depth, start = [], 0, 0
-    for k, c in enumerate(body):
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            out.append(body[start:k].strip())
-            start = k + 1
-    return [*out, body[start:].strip()]
-
-
-def _body(text: str, at: int) -> str:
-    depth = 0
-    for k in range(at, len(text)):
-        depth += (text[k] == "(") - (text[k] == ")")
-        if not depth:
-            return text[at + 1 : k]
-    raise ValueError("unbalanced parentheses")
-
-
-def read_ddl(text: str) -> dict[str, TableSpec]:
-    """Tables of CREATE TABLE statements; a view over a table of another schema takes its place, other expressions than columns masked."""
-    text = re.sub(r"--[^\n]*", "", text)
-    tables: dict[tuple[str, str], TableSpec] = {}
-    for m in re.finditer(r"(?i)create\s+table\s+(?:if\s+not\s+exists\s+)?(?:(\w+)\.)?(\w+)\s*(?=\()", text):
-        columns, key, refs = [], (), []
-        for piece in _pieces(_body(text, m.end())):
-            if p := re.match(r"(?i)primary\s+key\s*\(([^)]*)\)", piece):
-                key = tuple(x.strip() for x in p[1].split(","))
-            elif not re.match(r"(?i)(?:constraint|unique|check|foreign|exclude)\b", piece) and (c := re.match(r"(?i)(\w+)\s+((?:double\s+precision|\w+)(?:\s*\([^)]*\))?(?:\[\])?)", piece)):
-                columns.append((c[1], re.sub(r"\s+", "", c[2]).lower()))
-                if re.search(r"(?i)primary\s+key", piece):
-                    key = (c[1],)
-                if r := re.search(r"(?i)references\s+(?:\w+\.)?(\w+)\s*\((\w+)\)", piece):
-                    refs.append((c[1], r[1], r[2]))
-        tables[(m[1] or "public").lower(), m[2]] = TableSpec(tuple(columns), key, tuple(refs))
-    out = {name: spec for (schema, name), spec in tables.items() if schema == "public"}
-    for m in re.finditer(r"(?is)create\s+(?:or\s+replace\s+)?view\s+(\w+)\s.*?\bselect\s+(.*?)\s+from\s+(\w+)\.(\w+)", text):
-        if (base := tables.get((m[3].lower(), m[4]))) is not None:
-            kinds, columns, masked = dict(base.columns), [], set()
-            for piece in _pieces(m[2]):
-                name = re.search(r"(\w+)\s*$", piece)[1]
-                columns.append((name, kinds.get(name, "text")))
-                if piece.strip() != name:
-                    masked.add(name)
-            out[m[1]] = TableSpec(tuple(columns), base.primary_key, base.references, frozenset(masked))
-    return out
-
-
-def describe(source: str, specs: Mapping[str, TableSpec], claims: Claims) -> list[dict]:
-    """What the caller can see of a source: tables, columns, keys, and which columns are masked for them."""
-    hidden = lambda t, s: set() if "pii:read" in claims.scopes else {*s.masked, *MASKED.get((source, t), {})}
-    return [{"table": t, "columns": [{"name": n, "type": k, "masked": n in hidden(t, s)} for n, k in s.columns], "primary_key": list(s.primary_key)} for t, s in sorted(specs.items()) if claims.can(source, t)]
-
-
-@dataclass
-class TableData:
-    """Generated rows of one table; every row has all columns."""
-
-    columns: list[str]
-    rows: list[tuple] = field(default_factory=list)
-
-    def add(self, *values: object) -> None:
-        if len(values) != len(self.columns):
-            raise ValueError(f"a row of {len(values)} values for {len(self.columns)} columns")
-        self.rows.append(values)
-
-
-def write_tables(spark: SparkSession, folder: str, specs: Mapping[str, TableSpec], data: Mapping[str, TableData]) -> dict[str, int]:
-    """Bulk load: each table written whole under its declared types."""
-    for name, d in data.items():
-        order = [d.columns.index(c) for c, _ in specs[name].columns]
-        spark.createDataFrame([tuple(r[k] for k in order) for r in d.rows], specs[name].schema).write.mode("overwrite").parquet(f"{folder}/{name}")
-    return {name: len(d.rows) for name, d in data.items()}
-
-
-def swap_version(df: DataFrame, folder: str, version: int) -> DataFrame:
-    """Load a new version beside the old ones; readers take the highest complete one, so a failed load changes nothing."""
+from tidemark.plans.security import MASKED, PII, Claims
+
+#: Older versions of a graph that stay beside the current one.
+KEPT = 1
+
+
+def declared(columns: str, key: str = "", references: Mapping[str, str] | None = None, masked: str = "") -> T.StructType:
+    """columns: Spark DDL, as `id string not null, day date`. key and masked: names with spaces between. references: column to `table.column`. A session must exist."""
+    plain = T.StructType.fromDDL(columns)
+    keys, targets, hidden = key.split(), dict(references or {}), masked.split()
+    if missing := {*keys, *targets, *hidden} - {*plain.names}:
+        raise ValueError(f"the table has no columns {sorted(missing)}")
+
+    def marked(f: T.StructField) -> T.StructField:
+        marks = {"key": keys.index(f.name)} if f.name in keys else {}
+        marks |= {"references": targets[f.name]} if f.name in targets else {}
+        marks |= {"masked": True} if f.name in hidden else {}
+        return T.StructField(f.name, f.dataType, f.nullable, marks)
+
+    return T.StructType([marked(f) for f in plain])
+
+
+def key_of(schema: T.StructType) -> list[str]:
+    return [f.name for f in sorted((f for f in schema if "key" in f.metadata), key=lambda f: f.metadata["key"])]
+
+
+def references_of(schema: T.StructType) -> dict[str, str]:
+    return {f.name: f.metadata["references"] for f in schema if "references" in f.metadata}
+
+
+def describe(source: str, schemas: Mapping[str, T.StructType], claims: Claims) -> list[dict]:
+    """A row a table that the caller can read, with its columns as this caller sees them."""
+    seen = []
+    for name in sorted(t for t in schemas if claims.can(source, t)):
+        always = MASKED.get((source, name), {})
+        columns = [{"name": f.name, "type": f.dataType.simpleString(), "masked": PII not in claims.scopes and (f.metadata.get("masked", False) or f.name in always)} for f in schemas[name]]
+        seen.append({"table": name, "columns": columns, "primary_key": key_of(schemas[name]), "references": references_of(schemas[name])})
+    return seen
+
+
+def graph_parts(source: str, schemas: Mapping[str, T.StructType], spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """A source's tables and columns as nodes (uid, kind, scopes, text) and edges (src, type, dst) of the context graph."""
+    nodes, edges = [(f"source:{source}", "Source", [source], source)], []
+    for name, schema in schemas.items():
+        table, scopes = f"table:{source}.{name}", [source, f"{source}.{name}"]
+        nodes.append((table, "Table", scopes, name))
+        edges.append((f"source:{source}", "HAS_TABLE", table))
+        for f in schema:
+            column = f"column:{source}.{name}.{f.name}"
+            nodes.append((column, "Column", scopes, f.name))
+            edges.append((table, "HAS_COLUMN", column))
+            if "references" in f.metadata:
+                edges.append((column, "REFERENCES", f"column:{source}.{f.metadata['references']}"))
+    return spark.createDataFrame(nodes, "uid string, kind string, scopes array<string>, text string"), spark.createDataFrame(edges, "src string, type string, dst string")
+
+
+def write_tables(folder: str, schemas: Mapping[str, T.StructType], tables: Mapping[str, DataFrame]) -> dict[str, int]:
+    """Bulk load: each table whole, its columns by name and under their declared types; a repeated or null key is refused before the write."""
+    written = {}
+    for name, df in tables.items():
+        schema = schemas[name]
+        if {*df.columns} != {*schema.names}:
+            raise ValueError(f"{name}: columns {sorted(df.columns)} for {sorted(schema.names)}")
+        typed = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema))
+        if key := key_of(schema):
+            clash = typed.groupBy(*key).count().filter(F.greatest(*(F.col(k).isNull().cast("int") for k in key), F.lit(0)).cast("boolean") | (F.col("count") > 1))
+            if not clash.isEmpty():
+                raise ValueError(f"{name}: a key {key} is null or repeated")
+        typed.write.mode("overwrite").parquet(f"{folder}/{name}")
+        written[name] = df.sparkSession.read.parquet(f"{folder}/{name}").count()
+    return written
+
+
+def rows_of(spark: SparkSession, schema: T.StructType, rows: Iterable[Mapping[str, object]]) -> DataFrame:
+    """Generated rows, each a mapping of all columns."""
+    made = []
+    for r in rows:
+        if {*r} != {*schema.names}:
+            raise ValueError(f"a row has {sorted(r)}, the table {sorted(schema.names)}")
+        made.append(tuple(r[n] for n in schema.names))
+    return spark.createDataFrame(made, schema)
+
+
+# ---- versions ----
+
+
+def _store(spark: SparkSession, folder: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Complete versions, oldest first: those whose write has left its success mark."""
+    fs, at = _store(spark, folder)
+    if not fs.exists(at):
+        return []
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("version=") and fs.exists(path(f"{folder}/{n}/_SUCCESS")))
+
+
+def swap_version(df: DataFrame, folder: str, version: int, kept: int = KEPT) -> DataFrame:
+    """Write a version beside the others; it is current once complete, so a failed write changes nothing. Older ones than `kept` before it go."""
+    spark = df.sparkSession
     df.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{folder}/version={version}")
-    return current_version(df.sparkSession, folder)
+    fs, _ = _store(spark, folder)
+    for old in versions(spark, folder)[: -1 - kept]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/version={old}"), True)
+    return current_version(spark, folder)
 
 
 def current_version(spark: SparkSession, folder: str) -> DataFrame:
-    df = spark.read.option("basePath", folder).parquet(f"{folder}/version=*")
-    last = df.agg(F.max("version")).first()[0]
-    return df.filter(F.col("version") == last)
+    """The highest complete version."""
+    found = versions(spark, folder)
+    if not found:
+        raise FileNotFoundError(f"no complete version in {folder}")
+    return spark.read.parquet(f"{folder}/version={found[-1]}")
