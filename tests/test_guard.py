@@ -4,7 +4,7 @@ import pytest
 
 from tidemark.errors import Refused
 from tidemark.plans import guard
-from tidemark.plans.combine import Handle, Store, column_names, combine_frames, inferred_types, jsonable, load
+from tidemark.plans.combine import MAX_ROWS, Handle, Store, column_names, combine_frames, inferred_types, jsonable, load
 
 TABLES = {"t", "u"}
 
@@ -128,3 +128,35 @@ def test_store(spark, frames):
         store.get("y", c)
     cut = combine_frames(spark, "select region from t", {"t": Handle(frames["t"], truncated=True)})
     assert cut.partial and cut.truncated
+
+
+def test_combined_rows_beyond_the_cap_are_told(spark):
+    big = Handle(spark.range(30_000).toDF("id"))
+    store = Store()
+    whole = combine_frames(spark, "select id from a", {"a": big})
+    assert whole.frame.count() == 30_000
+    kept = store.combine("x", "select id * 2 as twice from a where id < 9", {"a": store.put("x", big, 30_000)})
+    assert not store.get("x", kept).truncated and store.get("x", kept).frame.count() == 9
+    many = store.combine("x", "select id from a", {"a": store.put("x", big, 30_000)})
+    assert store.get("x", many).truncated and store.get("x", many).frame.count() == MAX_ROWS
+    pages = [r[0] for k in range(0, 1000, 200) for r in store.page("x", many, k)["rows"]]
+    assert pages == [r[0] for k in range(0, 1000, 200) for r in store.page("x", many, k)["rows"]] and len({*pages}) == 1000
+
+
+def test_store_holds_bytes_and_odd_columns(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("sha2(cast(id as string), 512) as s")
+    store = Store(own_bytes=400_000)
+    a, b = store.put("x", Handle(rows)), store.put("x", Handle(rows))
+    c = store.put("x", Handle(rows))
+    held = [n for n in (a, b, c) if ("x", n) in store.held]
+    assert held and held[-1] == c and a not in held
+    with pytest.raises(Refused) as e:
+        Store(own_bytes=100).put("x", Handle(rows))
+    assert e.value.code == "too_large"
+    odd = store.put("x", Handle(spark.sql("select 1 as a, null as A, interval 1 day as b, 'x' as `c d`")))
+    assert store.page("x", odd)["rows"] == [[1, None, "INTERVAL '1' DAY", "x"]] and store.page("x", odd)["columns"] == ["a", "a_2", "b", "c d"]
+
+
+def test_relations_of_a_statement(spark):
+    named = lambda sql: guard.relations(spark, sql, {"t", "u", "v"})
+    assert named("with x as (select * from T) select (select max(id) from u) from x") == {"t", "u"} and named("select 1") == set()

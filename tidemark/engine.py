@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping
-from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from tidemark.plans.combine import Handle, Store, jsonable, of_metric
 from tidemark.plans.metrics import MAX_ROWS, Metric, compile_metric
 from tidemark.plans.policy import Policy
 from tidemark.plans.security import MASKED, ROW_SCOPES, Claims, secure, secured_views
+from tidemark.session import cut as settled
 from tidemark.streaming.admission import within
 
 SQL_ROWS, SQL_BYTES, SQL_SECONDS = 500, 1_000_000, 30
@@ -51,21 +51,19 @@ class Engine:
     def run_metric(self, claims: Claims, metric_id: str, *args: object, limit: int | None = None, **asked: object) -> dict:
         """Stores the result and returns its summary."""
         handle = self.metric(claims, metric_id, *args, limit=limit, **asked)
-        return self._kept(claims, handle, min(limit or 100, MAX_ROWS))
-
-    def _kept(self, claims: Claims, handle: Handle, cap: int) -> dict:
-        over = handle.frame.cache().count() > cap
-        name = self.store.put(claims.sub, replace(handle, frame=handle.frame.limit(cap), truncated=handle.truncated or over))
+        name = self.store.put(claims.sub, handle, min(limit or 100, MAX_ROWS))
         return self.store.summary(claims.sub, name)
 
+
     def query(self, claims: Claims, source: str, sql: str) -> dict:
-        """Free SQL on one source: guarded, over the caller's secured views alone, within rows, bytes and time.
+        """Free SQL on one source: guarded, over the caller's secured views of the tables that it names, within rows, bytes and time.
 
-        Secured inputs are checkpointed where a folder for that is set, so that a caller's predicate runs only on rows that the caller has.
+        A row-scoped table of which the caller has a part is settled first, that part alone, so that no expression of the caller meets other rows.
         """
         self.policy.check_query(claims, source)
-        session = secured_views(self.spark, claims, source, lambda t: self._settled(self.read(source, t), claims, source, t))
-        text = guard.check(session, sql, {t for t in ROW_SCOPES[source] if claims.can(source, t)})
+        allowed = {t for t in ROW_SCOPES[source] if claims.can(source, t)}
+        text, named = guard.check(self.spark, sql, allowed), guard.relations(self.spark, sql, allowed)
+        session = secured_views(self.spark, claims, source, lambda t: self._settled(self.read(source, t), claims, source, t) if t in named else None)
 
         def fetch() -> tuple[DataFrame, list, bool]:
             df = session.sql(text).limit(SQL_ROWS + 1)
@@ -80,23 +78,23 @@ class Engine:
             return df, rows, False
 
         try:
-            df, rows, cut = within(session, SQL_SECONDS, fetch)
+            df, rows, cut = within(session, SQL_SECONDS, fetch, claims.sub)
         except Refused:
             raise
         except Exception as e:  # noqa: BLE001  the engine's own errors, without its internals
             raise Refused("query_failed", str(e).strip().splitlines()[0][:200]) from None
         made = self.spark.createDataFrame(rows, T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]))
-        name = self.store.put(claims.sub, Handle(made, truncated=cut, lineage=(source,), plan=text))
+        name = self.store.put(claims.sub, Handle(made, truncated=cut, lineage=(source,), plan=text), SQL_ROWS)
         return self.store.summary(claims.sub, name)
 
     def _settled(self, df: DataFrame | None, claims: Claims, source: str, table: str) -> DataFrame | None:
-        if df is None or not self.spark.sparkContext.getCheckpointDir():
-            return df
         dimension = ROW_SCOPES[source][table]
-        return secure(df, claims, source, table, dimension).checkpoint() if dimension and "*" not in claims.allowed(dimension) else df
+        if df is None or dimension is None or "*" in claims.allowed(dimension):
+            return df
+        return settled(secure(df, claims, source, table, dimension))
 
     def combine(self, claims: Claims, sql: str, handles: Mapping[str, str]) -> dict:
-        name = within(self.spark, SQL_SECONDS, lambda: self.store.combine(claims.sub, sql, handles))
+        name = within(self.spark, SQL_SECONDS, lambda: self.store.combine(claims.sub, sql, handles), claims.sub)
         return self.store.summary(claims.sub, name)
 
     def get_rows(self, claims: Claims, handle: str, offset: int = 0, limit: int = 200) -> dict:

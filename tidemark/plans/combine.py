@@ -18,9 +18,12 @@ from pyspark.sql import types as T
 from tidemark.errors import Refused
 from tidemark.plans import guard
 from tidemark.plans.lineage import check_currency
+from tidemark.session import remove, shared_dir, size_of
 
 MAX_HANDLES, MAX_ROWS, PAGE, TTL_S, OWN_HANDLES, SAMPLE, CELL, MAX_COLUMNS = 8, 10_000, 200, 900, 50, 5, 200, 50
-CCY = "ccy"
+#: Stored bytes of one owner's handles together.
+OWN_BYTES = 64 << 20
+CCY, ORDINAL = "ccy", "_ordinal"
 
 
 @dataclass(frozen=True)
@@ -84,8 +87,8 @@ def load(spark: SparkSession, columns: list[str], rows: list[list]) -> DataFrame
     return spark.createDataFrame([tuple(None if v is None else c(v) for c, v in zip(cast, r, strict=True)) for r in rows], schema)
 
 
-def combine_frames(spark: SparkSession, sql: str, handles: Mapping[str, Handle], limit: int = MAX_ROWS) -> Handle:
-    """One SELECT over the named handles, in a session that knows nothing else; lazy, limit + 1 rows at most."""
+def combine_frames(spark: SparkSession, sql: str, handles: Mapping[str, Handle]) -> Handle:
+    """One SELECT over the named handles, in a session that knows nothing else; lazy and whole. A store keeps MAX_ROWS of it, and says so."""
     if not 1 <= len(handles) <= MAX_HANDLES or any(not re.fullmatch(r"[a-z_][a-z0-9_]{0,30}", a) for a in handles):
         raise Refused("invalid_request", f"combine takes 1..{MAX_HANDLES} handles under plain lower-case names")
     text = guard.check(spark, sql, {*handles}, guard.COMBINE, guard.COMBINE_NODES, recursive=False)
@@ -102,54 +105,92 @@ def combine_frames(spark: SparkSession, sql: str, handles: Mapping[str, Handle],
     for alias, h in handles.items():
         guard.session_view(session, alias, h.frame)
     made = session.sql(text)
-    made = made.toDF(*column_names(made.columns)).limit(limit + 1)
+    made = made.toDF(*column_names(made.columns))
     amounts = frozenset(c for c, i in zip(made.columns, infos, strict=True) if i.amount)
     own = [c for c, i in zip(made.columns, infos, strict=True) if i.ccy]
     cut = any(h.truncated or h.partial for h in handles.values())
     return Handle(made, amounts, own[0] if len(own) == 1 else None, cut, cut, tuple(handles), tuple(sorted({x for h in handles.values() for x in h.lineage})), sql)
 
 
-class Store:
-    """Handles by owner: read by their owner only, expiring, the owner's oldest going first."""
+def storable(frame: DataFrame) -> DataFrame:
+    """Under names that differ, with what Parquet has no type for as text."""
+    named = frame.toDF(*column_names(frame.columns)) if len({c.lower() for c in frame.columns}) < len(frame.columns) else frame
+    odd = (T.NullType, T.DayTimeIntervalType, T.YearMonthIntervalType, T.CalendarIntervalType)
+    return named.select(*(F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, odd) else F.col(f"`{f.name}`") for f in named.schema))
+
+
+@dataclass
+class Kept:
+    """A stored handle: its rows lie in the shared folder under ordinals, so that pages stay as they are whatever executors are lost."""
 
-    def __init__(self, ttl_s: float = TTL_S, own: int = OWN_HANDLES, clock=time.monotonic):
-        self.ttl_s, self.own, self.clock, self.lock = ttl_s, own, clock, threading.Lock()
-        self.held: OrderedDict[tuple[str, str], tuple[float, Handle]] = OrderedDict()
+    until: float
+    handle: Handle
+    path: str
+    size: int
 
-    def put(self, sub: str, handle: Handle) -> str:
+
+class Store:
+    """Handles by owner: read by their owner only, expiring, the owner's oldest going first when they are too many or too large."""
+
+    def __init__(self, ttl_s: float = TTL_S, own: int = OWN_HANDLES, own_bytes: int = OWN_BYTES, clock=time.monotonic):
+        self.ttl_s, self.own, self.own_bytes, self.clock, self.lock = ttl_s, own, own_bytes, clock, threading.RLock()
+        self.held: OrderedDict[tuple[str, str], Kept] = OrderedDict()
+
+    def put(self, sub: str, handle: Handle, cap: int = MAX_ROWS) -> str:
+        """Keeps `cap` rows; more are told by the handle's truncated flag."""
+        spark = handle.frame.sparkSession
+        name = f"r_{uuid.uuid4().hex[:12]}"
+        path = f"{shared_dir(spark)}/tidemark-handles/{uuid.uuid4().hex}"
+        # a limit's rows are one partition, so the ids count from 0
+        storable(handle.frame).limit(cap + 1).coalesce(1).withColumn(ORDINAL, F.monotonically_increasing_id()).write.parquet(path)
+        rows = spark.read.parquet(path)
+        over, size = rows.filter(F.col(ORDINAL) >= cap).limit(1).count() > 0, size_of(spark, path)
+        if size > self.own_bytes:
+            remove(spark, path)
+            raise Refused("too_large", f"the result takes {size} bytes, of {self.own_bytes}")
+        kept = Kept(0.0, replace(handle, frame=rows.filter(F.col(ORDINAL) < cap), truncated=handle.truncated or over), path, size)
         with self.lock:
             self._expire()
             mine = [k for k in self.held if k[0] == sub]
-            for k in mine[: max(0, len(mine) - self.own + 1)]:
-                self.held.pop(k)[1].frame.unpersist()
-            name = f"r_{uuid.uuid4().hex[:12]}"
-            self.held[sub, name] = self.clock() + self.ttl_s, replace(handle, frame=handle.frame.cache())
-            return name
+            while mine and (len(mine) >= self.own or sum(self.held[k].size for k in mine) + size > self.own_bytes):
+                self._drop(mine.pop(0))
+            kept.until = self.clock() + self.ttl_s
+            self.held[sub, name] = kept
+        return name
 
-    def get(self, sub: str, name: str) -> Handle:
+    def _drop(self, key: tuple[str, str]) -> None:
+        kept = self.held.pop(key)
+        remove(kept.handle.frame.sparkSession, kept.path)
+
+    def _expire(self) -> None:
+        for k in [k for k, kept in self.held.items() if kept.until <= self.clock()]:
+            self._drop(k)
+
+    def _stored(self, sub: str, name: str) -> Handle:
         with self.lock:
             self._expire()
             if (sub, name) not in self.held:
                 raise Refused("unknown_handle", f"no result {str(name)[:40]!r}")
             self.held.move_to_end((sub, name))
-            return self.held[sub, name][1]
+            return self.held[sub, name].handle
 
-    def _expire(self) -> None:
-        for k in [k for k, (until, _) in self.held.items() if until <= self.clock()]:
-            self.held.pop(k)[1].frame.unpersist()
+    def get(self, sub: str, name: str) -> Handle:
+        h = self._stored(sub, name)
+        return replace(h, frame=h.frame.drop(ORDINAL))
 
     def page(self, sub: str, name: str, offset: int = 0, limit: int = PAGE) -> dict:
         if not (isinstance(offset, int) and offset >= 0 and isinstance(limit, int) and 1 <= limit <= PAGE):
             raise Refused("invalid_request", f"offset is 0 or more, limit 1..{PAGE}")
-        h = self.get(sub, name)
-        rows = h.frame.offset(offset).limit(limit).collect()
-        return {"columns": h.frame.columns, "rows": [list(r) for r in rows], "offset": offset}
+        rows = self._stored(sub, name).frame
+        found = rows.filter(F.col(ORDINAL).between(offset, offset + limit - 1)).orderBy(ORDINAL).drop(ORDINAL)
+        return {"columns": found.columns, "rows": [list(r) for r in found.collect()], "offset": offset}
 
     def summary(self, sub: str, name: str) -> dict:
         h = self.get(sub, name)
         shown = h.frame.columns[:MAX_COLUMNS]
         cut = lambda v: v[:CELL] if isinstance(v, str) else v
-        rows = [[cut(v) for v in r] for r in h.frame.select(*shown).limit(SAMPLE).collect()]
+        first = self._stored(sub, name).frame.filter(F.col(ORDINAL) < SAMPLE).orderBy(ORDINAL)
+        rows = [[cut(v) for v in r] for r in first.select(*(f"`{c}`" for c in shown)).collect()]
         return {"handle": name, "columns": shown, "sample": rows, "truncated": h.truncated, "partial": h.partial}
 
     def combine(self, sub: str, sql: str, handles: Mapping[str, str]) -> str:

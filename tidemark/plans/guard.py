@@ -91,6 +91,12 @@ def check(spark: SparkSession, text: object, tables: set[str], functions: set[st
     return text.strip().removesuffix(";")
 
 
+def relations(spark: SparkSession, text: str, tables: set[str]) -> set[str]:
+    """Which of the tables a checked statement names, wherever in it."""
+    named = {parts_of(n["multipartIdentifier"])[0].lower() for n in nodes(parse(spark, text)) if n["class"].endswith(".UnresolvedRelation")}
+    return {t for t in tables if t.lower() in named}
+
+
 def tree(flat: list) -> dict:
     """The nested form of a tree that toJSON lists in pre-order."""
     rest = iter(flat)

@@ -24,10 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares, as spark.checkpoint.dir names it; a temporary one where it is unset on a local master (tests)."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("on a cluster, name a folder that all executors share in spark.checkpoint.dir")
+        named = f"file://{tempfile.mkdtemp(prefix='tidemark-checkpoint-')}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut a growing plan: write to the shared checkpoint folder that the cluster names (a temporary one where none is named, in tests)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='tidemark-checkpoint-')}")
+    """Cut a growing plan: write to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes that a path holds."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
