@@ -65,6 +65,12 @@ def remove(spark: SparkSession, *paths: str) -> None:
         _OPEN[:] = [x for x in _OPEN if x[1] != path]
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a settled table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
     """The store that holds a path, for files that tasks write and read themselves."""
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")

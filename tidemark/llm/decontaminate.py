@@ -8,24 +8,33 @@ isn't empty yet. Occurrences are located by walking to sampled suffix positions
 Spans of occurrences merge into removal spans.
 
 A phrase is a window of `window` consecutive item words; an item with fewer, but not none, is one phrase. Null or empty texts have no
-words. Item ids count once, however often they repeat. Benchmarks larger than BLOCK_MB are searched block by block, each block's spans and
-items added to those of the blocks before; nothing else depends on the benchmark's size. A map over the scan: no shuffle.
+words. Item ids count once, however often they repeat; items without an id hit words, but aren't listed. Repeated documents each give a row.
+A very long text is a shard by itself. Other columns, whatever their names, don't meddle; an empty table gives none.
+
+The benchmark goes to the workers in blocks of flat arrays, measured in bytes as built (BLOCK_MB each). One block is one map over the scan,
+with no shuffle. Of more blocks each is a pass that writes the hits alone (digest of the text, spans, items), which then are joined to the
+documents by that digest; texts are never written again.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import LOWER, UPPER, narrow, prepare, returning, rows_of, settle
+from tidemark.llm.common import LOWER, UPPER, narrow, prepare, remove, returning, rows_of, settle, size_of
 
-#: Words of a shard, steps between samples, MB of benchmark text that a pass sends to the workers.
-SHARD, STEP, BLOCK_MB = 1_000_000, 8, 16
+#: Words of a shard, steps between samples, MB of a worker that a block of phrases takes, MB of hits that are broadcast.
+SHARD, STEP, BLOCK_MB, HITS_MB = 1_000_000, 8, 32, 64
+#: What a word takes in a worker's vocabulary besides its bytes, and a window in the arrays.
+ENTRY, WINDOW_BYTES = 150, 16
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans(UPPER, LOWER)
 #: Bytes of UTF-8: A-Z folded, word bytes kept, any other a space.
@@ -37,20 +46,49 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """The windows of a block of items, by length, and the items of each window."""
-
-    def __init__(self, items: list[tuple[object, str | None]], window: int):
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[k : k + window]), set()).add("null" if item is None else str(item))
-        self.items = [*found.values()]
-        self.length = np.array([len(p) for p in found], np.int64)
-        self.symbols = np.zeros((len(found), window), np.int64)  # aligned at the end, for searching backwards
-        for k, p in enumerate(found):
-            self.symbols[k, window - len(p) :] = p
+    """The windows of a block of items as places in one array of word numbers, each window once, with the items that have it.
+
+    start, length: where a phrase stands in `words`. owner[first[p] : first[p + 1]]: the items of phrase p, as places in `names`.
+    """
+
+    def __init__(self, window: int):
+        self.window, self.vocabulary, self.names, self.size = window, {}, [], 0
+        self.parts: list[np.ndarray] = []
+
+    def add(self, item: object, text: str | None) -> None:
+        found, known = words_of(text), len(self.vocabulary)
+        ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.int32)
+        if len(ids):
+            self.names.append(None if item is None else str(item))
+            self.parts.append(ids)
+            self.size += 4 * len(ids) + WINDOW_BYTES * max(1, len(ids) - self.window + 1)
+            self.size += sum(ENTRY + len(w) for w in {*found} if self.vocabulary[w] > known)
+
+    def close(self) -> Phrases:
+        """Fix the arrays; nothing is added after."""
+        sizes = np.array([len(p) for p in self.parts], np.int64)
+        self.words = np.concatenate([*self.parts, np.zeros(0, np.int32)]).astype(np.int32)
+        begins, self.parts = np.cumsum(sizes) - sizes, []
+        windows = np.maximum(1, sizes - self.window + 1)
+        owner = np.repeat(np.arange(len(sizes)), windows).astype(np.int32)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        start, length = begins[owner] + within, np.minimum(sizes, self.window)[owner]
+        # equal windows stand together: rows of words, zeros after the end of short ones
+        rows = np.zeros((len(owner), self.window), np.int32)
+        for k in range(self.window):
+            own = length > k
+            rows[own, k] = self.words[start[own] + k]
+        _, lead, same = np.unique(rows.view([("", np.int32)] * self.window).ravel(), return_index=True, return_inverse=True)
+        pairs = np.unique(same.astype(np.int64) << 32 | owner)
+        self.owner = (pairs & 0xFFFFFFFF).astype(np.int32)
+        self.first = np.searchsorted(pairs >> 32, np.arange(len(lead) + 1)).astype(np.int32)
+        self.start, self.length = start[lead].astype(np.int32), length[lead].astype(np.int16)
+        return self
+
+    def last(self, which: np.ndarray, back: int) -> np.ndarray:
+        """The word `back` places before the end of each phrase, 0 where it is shorter."""
+        at = self.start[which].astype(np.int64) + self.length[which] - 1 - back
+        return np.where(self.length[which] > back, self.words[np.maximum(at, 0)], 0).astype(np.int64)
 
 
 class Bits:
@@ -144,12 +182,13 @@ class Index:
 
     def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
         """Phrase and position of each occurrence."""
-        n, window = phrases.symbols.shape
-        live, low, high = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        low[:], high[:] = self.start[phrases.symbols[:, -1]], self.start[phrases.symbols[:, -1] + 1]
-        for k in range(window - 2, -1, -1):
+        n = len(phrases.start)
+        live = np.arange(n)
+        end = phrases.last(live, 0)
+        low, high = self.start[end], self.start[end + 1]
+        for back in range(1, phrases.window):
             live = live[(low < high)[live]]
-            c = phrases.symbols[live, k]
+            c = phrases.last(live, back)
             more = live[c > 0]
             c = c[c > 0]
             if len(more):
@@ -193,18 +232,18 @@ def search_shard(texts: list[np.ndarray], phrases: Phrases) -> tuple[list[list[t
     symbols, of, where = np.concatenate(parts).astype(np.int64), np.concatenate(of), np.concatenate(where)
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[set[str]] = [set() for _ in texts]
-    if not symbols.any() or not len(phrases.length):
+    if not symbols.any() or not len(phrases.start):
         return spans, items
     phrase, at = Index(symbols, len(phrases.vocabulary)).search(phrases)
     change = np.zeros(len(symbols) + 1, np.int64)
     np.add.at(change, at, 1)
-    np.add.at(change, at + phrases.length[phrase], -1)
+    np.add.at(change, at + phrases.length[phrase].astype(np.int64), -1)
     hit = np.cumsum(change)[:-1] > 0
     edge = np.flatnonzero(np.diff(hit, prepend=False, append=False))
     for a, b in zip(edge[::2], edge[1::2], strict=True):
         spans[of[a]].append((int(where[a]), int(where[a]) + int(b - a)))
     for k, p in set(zip(of[at].tolist(), phrase.tolist(), strict=True)):
-        items[k] |= phrases.items[p]
+        items[k].update(name for o in phrases.owner[phrases.first[p] : phrases.first[p + 1]] if (name := phrases.names[o]) is not None)
     return spans, items
 
 
@@ -224,60 +263,118 @@ def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
-SCHEMA = "n_words long, n_hit long, words array<struct<a:int,b:int>>, spans array<struct<a:int,b:int>>, items array<string>"
+SPANS = "array<struct<a:int,b:int>>"
+SCHEMA = f"n_words long, n_hit long, words {SPANS}, spans {SPANS}, items array<string>"
 PAIRS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_mb: float = BLOCK_MB, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False) -> DataFrame:
+def as_pairs(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], PAIRS)
+
+
+def digest_of(text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest((text or "").encode())
+
+
+def searched(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard: int) -> Iterator[tuple[pa.RecordBatch, list[int], list, list]]:
+    """Each batch with its texts' numbers of words, hit spans and items, a shard at a time."""
+    waiting, texts, n = [], [], 0
+
+    def flush() -> Iterator[tuple]:
+        spans, items = search_shard(texts, phrases)
+        at = 0
+        for batch in waiting:
+            own = slice(at, at := at + batch.num_rows)
+            yield batch, [len(t) for t in texts[own]], spans[own], items[own]
+
+    for batch in batches:
+        own = [numbered(t, phrases) for t in batch.column("text").to_pylist()]
+        waiting.append(batch)
+        texts += own
+        n += sum(map(len, own))
+        if n >= shard:
+            yield from flush()
+            waiting, texts, n = [], [], 0
+    if waiting:
+        yield from flush()
+
+
+def result(batch: pa.RecordBatch, n_words: list[int], spans: list, items: list, more: list[str]) -> pa.RecordBatch:
+    texts = batch.column("text")
+    chars = [char_spans(texts[k].as_py(), s) if s else [] for k, s in enumerate(spans)]
+    made = [pa.array(n_words, pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), as_pairs(spans), as_pairs(chars), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, *made, *(batch.column(k) for k in more)], names=["doc_id", "text", "n_words", "n_hit", "words", "spans", "items", *more])
+
+
+def blocks_of(benchmark: DataFrame, window: int, block_mb: float) -> Iterator[Phrases]:
+    """benchmark: i (item), t (text). At least one block, each of block_mb or one item."""
+    block = Phrases(window)
+    for row in benchmark.toLocalIterator():
+        if block.size > block_mb * (1 << 20):
+            yield block.close()
+            block = Phrases(window)
+        block.add(row.i, row.t)
+    yield block.close()
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_mb: float = BLOCK_MB, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: bool = False, hits_mb: float = HITS_MB) -> DataFrame:
     """doc_id, text, n_words, n_hit, words and spans (merged removal spans, of words and of code points), items (found, as sorted strings), rest (if carried)."""
     spark = docs.sparkSession
     prepare(spark)
     plain = narrow(docs, id_col, text_col, carry)
     more = ["rest"] if carry else []
-    kind = plain.schema["doc_id"].dataType.simpleString()
-    none = "cast(array() as array<struct<a:int,b:int>>)"
-    state = plain.selectExpr("doc_id", "text", f"{none} words", "cast(array() as array<string>) items", *more)
-    block, size = [], 0
-
-    def passed(state: DataFrame, block: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(Phrases(block, window))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            waiting, texts, n = [], [], 0
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                spans, items = search_shard(texts, sent.value)
-                at = 0
-                for batch in waiting:
-                    size = batch.num_rows
-                    old_spans, old_items = batch.column("words").to_pylist(), batch.column("items").to_pylist()
-                    own = [merged([(x["a"], x["b"]) for x in o] + s) if o else s for o, s in zip(old_spans, spans[at : at + size], strict=True)]
-                    found = [sorted({*o, *i}) for o, i in zip(old_items, items[at : at + size], strict=True)]
-                    chars = [char_spans(batch.column("text")[k].as_py(), s) if s else [] for k, s in enumerate(own)]
-                    cast = lambda x: pa.array([[{"a": a, "b": b} for a, b in s] for s in x], PAIRS)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([len(t) for t in texts[at : at + size]], pa.int64()), pa.array([sum(b - a for a, b in s) for s in own], pa.int64()), cast(own), cast(chars), pa.array(found, pa.list_(pa.string())), *(batch.column(k) for k in more)], names=["doc_id", "text", "n_words", "n_hit", "words", "spans", "items", *more])
-                    at += size
-
-            for batch in batches:
-                own = [numbered(t, sent.value) for t in batch.column("text").to_pylist()]
-                waiting.append(batch)
-                texts += own
-                n += sum(map(len, own))
-                if n >= shard:
-                    yield from flush()
-                    waiting, texts, n = [], [], 0
-            if waiting:
-                yield from flush()
-
-        return state.select("doc_id", "text", "words", "items", *more).mapInArrow(returning(run), rows_of(f"doc_id {kind}, text string, {SCHEMA}", plain))
-
-    for row in benchmark.select(benchmark[item_col].alias("i"), benchmark[item_text_col].cast("string").alias("t")).toLocalIterator():
-        if size > block_mb * (1 << 20):
-            state, _ = settle(spark, passed(state, block), "decontaminate")
-            block, size = [], 0
-        block.append((row.i, row.t))
-        size += len(row.t or "")
-    return passed(state, block)
+    schema = rows_of(f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, text string, {SCHEMA}", plain)
+    blocks = blocks_of(benchmark.select(benchmark[item_col].alias("i"), benchmark[item_text_col].cast("string").alias("t")), window, block_mb)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        sent = spark.sparkContext.broadcast(first)
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, n_words, spans, items in searched(batches, sent.value, shard):
+                yield result(batch, n_words, spans, items, more)
+
+        return plain.mapInArrow(returning(whole), schema)
+
+    hits, paths = None, []
+    for block in itertools.chain([first, second], blocks):
+        own, path = settle(spark, block_hits(plain, block, shard), "hits")
+        hits = own if hits is None else hits.union(own)
+        paths.append(path)
+    hits = hits.groupBy("digest").agg(F.flatten(F.collect_set("words")).alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits, path = settle(spark, hits, "hits")
+    remove(spark, *paths)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            made = pa.array([len(words_of(t)) for t in texts], pa.int64()), pa.array([digest_of(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "n_words", "digest"])
+
+    counted = plain.mapInArrow(returning(keyed), T.StructType([*plain.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("digest", T.BinaryType())]))
+    few = size_of(spark, path) <= hits_mb * (1 << 20)
+    joined = counted.join(F.broadcast(hits) if few else hits, "digest", "left").select("doc_id", "text", "n_words", "words", "items", *more)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merged([(x["a"], x["b"]) for x in s or ()]) for s in batch.column("words").to_pylist()]
+            yield result(batch, batch.column("n_words").to_pylist(), spans, [i or () for i in batch.column("items").to_pylist()], more)
+
+    return joined.mapInArrow(returning(merge), schema)
+
+
+def block_hits(plain: DataFrame, block: Phrases, shard: int) -> DataFrame:
+    """(digest, words, items) of the texts that a block of phrases hits; a task gives equal texts once, mostly."""
+    sent = plain.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch, _, spans, items in searched(batches, sent.value, shard):
+            found = [(digest_of(batch.column("text")[k].as_py()), k) for k, s in enumerate(spans) if s]
+            own = [(d, k) for d, k in found if d not in seen and not seen.add(d)]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in own], pa.binary()), as_pairs([spans[k] for _, k in own]), pa.array([sorted(items[k]) for _, k in own], pa.list_(pa.string()))], names=["digest", "words", "items"])
+            seen = seen if len(seen) < 200_000 else set()
+
+    return plain.select("text").mapInArrow(returning(run), f"digest binary, words {SPANS}, items array<string>")
 
 
 def judged(found: DataFrame) -> DataFrame:
