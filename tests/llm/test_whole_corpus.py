@@ -73,3 +73,32 @@ def test_decontaminate_in_many_blocks(spark):
         assert got == sorted(((k, hit[n][0], hit[n][1], *want[n][2:4]) for n, (k, _) in enumerate(made)), key=str)
     carried = decontaminate.decontaminate(docs.selectExpr("*", "doc_id as words", "1 as n_words"), bench, block_mb=0.005, carry=True)
     assert carried.filter("rest.n_words = 1 and rest.words <=> doc_id").count() == len(made)
+
+
+def test_jaccard_join_cuts_large_blocks(spark, monkeypatch):
+    from test_corpus_operators import brute_components, near_copies, rows
+
+    monkeypatch.setattr(jaccard_join, "SETS", 6)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 3000)
+    r = random.Random(5)
+    base = prose(r, 80, 5000).split()
+    group = []
+    for k in range(60):  # one large group: most are linked, some only through others, some not at all
+        own = list(base)
+        for _ in range(k % 10):
+            own[r.randrange(80)] = f"y{r.randrange(9999)}"
+        group.append((k, " ".join(own)))
+    texts = group + near_copies(7) + [(5000 + k, group[k][1]) for k in range(8)]
+    got = {k: (x.n_shingles, x.component_id) for k, x in rows(jaccard_join.query(spark, spark.createDataFrame(texts, SCHEMA).repartition(5))).items()}
+    assert got == brute_components(texts)
+
+
+def test_lookup_of_frequent_keys(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import lookup
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"))
+    table = spark.range(0, 3000, 2).select(F.col("id").alias("key"), (F.col("id") * 10).alias("v"))
+    got = {r.id: r.v for r in lookup(rows, table, "key", often=100).collect()}
+    assert got == {k: (0 if k % 3 == 0 else k * 10 if k % 2 == 0 else None) for k in range(3000)}

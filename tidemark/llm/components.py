@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import remove, settle
 
 
+def starred(edges: DataFrame) -> bool:
+    """Is every component a star already: each node with one parent at most, and no parent with a parent?"""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("child")).union(edges.select("b", F.lit(0)))
+    seen = ends.groupBy("n").agg(F.sum("child").alias("parents"), F.min("child").alias("child"))
+    return seen.filter("parents > 1 or parents = 1 and child = 0").limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): root is the smallest node of its component; nodes without an edge to another are left out.
+    """(node, root): root is the smallest node of its component; nodes without an edge to another are left out. Settled.
 
     edges: (a, b) longs. Each round is two groupings with a join, written to the shared folder; rounds grow with the logarithm of the
-    longest path. A node with very many edges is a join key on one side only, which adaptive execution splits.
+    longest path, and end when all components are stars. A node with very many edges is a join key on one side only, which adaptive
+    execution splits.
     """
     spark = edges.sparkSession
     now, path = settle(spark, edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while True:
-        count, total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if (count, total) == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = count, total
+    while not starred(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -31,3 +34,4 @@ def components(edges: DataFrame) -> DataFrame:
         old = path
         now, path = settle(spark, small, "edges")
         remove(spark, old, large_path)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -259,8 +259,8 @@ def answered(chunks: DataFrame, folder: str, parts: int) -> DataFrame:
     return asked.mapInArrow(returning(answer), "chunk string, part int, levels binary")
 
 
-def candidate_edges(chunks: DataFrame, folder: str, parts: int) -> DataFrame:
-    """(a, b): edges between nodes whose components hold all links between different sets."""
+def candidate_edges(chunks: DataFrame, folder: str, parts: int) -> tuple[DataFrame, str]:
+    """(a, b): edges between nodes whose components hold all links between different sets; and the settled table that they are read from."""
     spark = chunks.sparkSession
     names = ["part", "x", "y", "z", "nodes"]
 
@@ -341,9 +341,7 @@ def candidate_edges(chunks: DataFrame, folder: str, parts: int) -> DataFrame:
     made, made_path = settle(spark, told.mapInArrow(returning(emit), "part int, x binary, y binary, z binary, nodes binary"), "prefixes")
     far = made.filter("part >= 0").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(returning(join), "a long, b long")
     near = made.filter("part = -1").select("x", "y").mapInArrow(returning(unpack), "a long, b long")
-    edges, _ = settle(spark, far.union(near), "candidates")
-    remove(spark, made_path)
-    return edges
+    return far.union(near), made_path
 
 
 # ---- signature trees ----
@@ -489,10 +487,9 @@ def with_digests(plain: DataFrame, once: bool = False) -> DataFrame:
     return plain.mapInArrow(returning(run), T.StructType([*plain.schema.fields, T.StructField("digest", T.BinaryType())]))
 
 
-def blocked(plain: DataFrame, least: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, list[str]] | None:
-    """Settled: (digest, block, carrier, n) of each set in a block; (block, carrier, n, hashes) of the same sets. None where two sets have one node."""
+def blocked(plain: DataFrame, least: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, list[str]] | None:
+    """roots: (node, root) of each node in a block but the roots themselves. Settled: (digest, block, carrier, n) of each set in a block; (block, carrier, n, hashes) of the same sets. None where two sets have one node."""
     spark = plain.sparkSession
-    roots = components(edges)
     blocks = roots.union(roots.select(F.col("root"), F.col("root")).distinct()).toDF("node", "block")
     sets, sets_path = settle(spark, blocks.join(least, "node").select("block", "digest", F.col("node").alias("carrier"), F.col("n_shingles").alias("n"), F.col("least").alias("place")), "sets")
     if sets.groupBy("carrier").count().filter("count > 1").limit(1).count():
@@ -571,10 +568,10 @@ def block_links(sets: DataFrame, held: DataFrame, parts: int) -> tuple[DataFrame
     large = chunked.filter("chunks > 1")
     second, path = searched(own(large, F.concat_ws(":", "block", at(2, F.col("chunks")))).withColumn("known", F.col("carrier")), parts)
     paths.append(path)
-    # what isn't in its block's largest component is compared with everything else there of near size
-    roots, path = settle(spark, components(first.union(second)), "roots")
+    # what isn't known to be in its block's largest component is compared with everything else there of near size
+    members = labelled(sets.join(chunks.filter("chunks > 1"), "block").select("block", "carrier", "n"), first, second)
+    members, path = settle(spark, members, "labelled")
     paths.append(path)
-    members = sets.join(chunks.filter("chunks > 1"), "block").join(roots, F.col("carrier") == F.col("node"), "left").select("block", "carrier", "n", F.coalesce("root", "carrier").alias("known"))
     main = members.groupBy("block", "known").count().groupBy("block").agg(F.max_by("known", F.struct("count", "known")).alias("main"))
     members = members.join(main, "block").select("block", "carrier", "n", "known", (F.col("known") != F.col("main")).cast("int").alias("apart"), size_class_of(F.col("n")).alias("cls"))
     units = cuts_of(members, "block", "apart", "cls")
@@ -591,6 +588,19 @@ def block_links(sets: DataFrame, held: DataFrame, parts: int) -> tuple[DataFrame
     return components(first.union(second).union(third)), paths
 
 
+def labelled(members: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """members with `known`: sets with one label are in one component; sets of one component may still have different labels.
+
+    A set's label is the least that reaches it by its root in the first search, that root's in the second, and the first's again.
+    """
+    x, y = (links.select(F.col("a").alias("carrier"), F.col("b").alias(name)) for links, name in ((first, "x"), (second, "y")))
+    rooted = members.join(x, "carrier", "left").join(y, "carrier", "left").select("block", "carrier", "n", F.coalesce("x", "carrier").alias("x"), F.coalesce("y", "carrier").alias("y"))
+    least_of_y = rooted.groupBy("y").agg(F.min("x").alias("low"))
+    lower = rooted.join(least_of_y, "y")
+    least_of_x = lower.groupBy("x").agg(F.min("low").alias("known"))
+    return lower.join(least_of_x, "x").select("block", "carrier", "n", "known")
+
+
 def size_class_of(n: Column) -> Column:
     return F.floor(F.ln(F.greatest(n, F.lit(1))) / STEP + 1e-9).cast("int")
 
@@ -608,10 +618,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         made, made_path = spelled(plain, folder, byte)
         info, chunks = made.filter("chunk is null").select("doc_id", "n_shingles", "digest", "node"), made.filter("chunk is not null").select("chunk", "n_shingles")
         total = chunks.agg(F.sum("n_shingles")).first()[0] or 0
-        edges = candidate_edges(chunks, folder, max(parts, -(-total // ASKED)))
-        remove(spark, folder)
+        edges, edges_path = candidate_edges(chunks, folder, max(parts, -(-total // ASKED)))
+        blocks = components(edges)
+        remove(spark, folder, edges_path)
         least, least_path = settle(spark, info.filter("n_shingles > 0").groupBy("digest", "n_shingles", "node").agg(F.min("doc_id").alias("least")), "least")
-        if (found := blocked(plain, least, edges)) is not None:
+        if (found := blocked(plain, least, blocks)) is not None:
             break
         remove(spark, made_path, least_path)
     else:
