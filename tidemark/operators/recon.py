@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 
 def business_days(spark: SparkSession, n: int, as_of: date) -> DataFrame:
     """(day, ordinal): the last n weekdays that end at as_of; ordinal 1 is the last."""
@@ -49,11 +52,57 @@ def match_outcomes(ledger: DataFrame, statement: DataFrame, key: str, amount: st
     return a.join(b, key, "full_outer").withColumn("outcome", outcome)
 
 
+@dataclass(frozen=True)
+class MatchRule:
+    """cardinality: 1:1, 1:N (one statement entry for several of the ledger) or N:M; tolerances: None is any."""
+
+    rule: str
+    cardinality: str
+    amount: float | None = 0.0
+    days: int | None = 0
+
+
+# The match rules.
+MATCH_RULES = (MatchRule("MR01", "1:1", 0.0, 0), MatchRule("MR02", "1:1", 1.0, 0), MatchRule("MR03", "1:1", 0.0, 2), MatchRule("MR04", "1:N", 0.0, 1), MatchRule("MR05", "N:M", None, None))
+
+
+def _within(rule: MatchRule, amount: Column, days: Column) -> Column:
+    ok = F.lit(True) if rule.amount is None else F.abs(amount) <= rule.amount
+    return ok if rule.days is None else ok & (days <= rule.days)
+
+
+def match_by_rules(ledger: DataFrame, statement: DataFrame, rules: tuple[MatchRule, ...] = MATCH_RULES) -> DataFrame:
+    """(rule, side, entry, ref): entries matched by the rules in turn, each on what the rules before left. Both tables: entry, ref, amount, day.
+
+    Entries meet only under one reference. 1:1 pairs the k-th entry of each side in order of amount, day and entry. 1:N and N:M compare what
+    is left of a reference as a whole: its sums, and the days between the first and last entries of both sides.
+    """
+    both = ledger.select(F.lit("ledger").alias("side"), "entry", "ref", "amount", "day").unionByName(statement.select(F.lit("statement").alias("side"), "entry", "ref", "amount", "day"))
+    left, found = both.filter("ref is not null"), None
+    mine = lambda value, side: F.when(F.col("side") == side, value)
+    for rule in rules:
+        pair = ["ref", "k"] if rule.cardinality == "1:1" else ["ref"]
+        order = Window.partitionBy("side", "ref").orderBy("amount", "day", "entry")
+        rows = left.withColumn("k", F.row_number().over(order)) if len(pair) == 2 else left
+        gap = F.datediff(F.max("day"), F.min("day"))
+        sums = rows.groupBy(*pair).agg(
+            F.count(mine(F.lit(1), "ledger")).alias("n"), F.count(mine(F.lit(1), "statement")).alias("m"),
+            (F.sum(mine(F.col("amount"), "ledger")) - F.sum(mine(F.col("amount"), "statement"))).alias("off"), gap.alias("gap"),
+        )
+        shape = {"1:1": "n = 1 and m = 1", "1:N": "n >= 1 and m = 1", "N:M": "n >= 1 and m >= 1"}[rule.cardinality]
+        good = sums.filter(shape).filter(_within(rule, F.col("off"), F.col("gap"))).select(*pair)
+        hit = cut(rows.join(good, pair, "left_semi").select(F.lit(rule.rule).alias("rule"), "side", "entry", "ref"))
+        left = cut(left.join(hit.select("side", "entry", "ref"), ["side", "entry", "ref"], "left_anti"))
+        found = hit if found is None else found.unionByName(hit)
+    return found
+
+
 def run_status(runs: DataFrame, day: str = "business_date", unmatched: str = "unmatched", open_days: int = 3) -> DataFrame:
     """The last day is in progress; unmatched items within the days before keep a run open; else it is signed off."""
-    ranks = runs.select(day).distinct().withColumn("day_rank", F.row_number().over(Window.orderBy(F.col(day).desc())))  # a row a day
-    status = F.when(F.col("day_rank") == 1, "in_progress").when((F.col("day_rank") <= open_days + 1) & (F.col(unmatched) > 0), "open").otherwise("signed_off")
-    return runs.join(ranks, day).withColumn("status", status).drop("day_rank")
+    last = runs.select(F.col(day).alias("_day")).filter(F.col("_day").isNotNull()).distinct().orderBy(F.col("_day").desc()).limit(open_days + 1)
+    span = last.agg(F.max("_day").alias("_last"), F.min("_day").alias("_first"))  # one row
+    status = F.when(F.col(day) == F.col("_last"), "in_progress").when((F.col(day) >= F.col("_first")) & (F.col(unmatched) > 0), "open").otherwise("signed_off")
+    return runs.crossJoin(F.broadcast(span)).withColumn("status", status).drop("_last", "_first")
 
 
 def age_days(opened: Column, closed: Column | None, as_of: date) -> Column:
@@ -102,6 +151,23 @@ def funnel(counted: DataFrame, key: str, stages: list[str]) -> DataFrame:
     return long.withColumn("share", F.try_divide(F.col("n").cast("double"), first.cast("double")))
 
 
+def recount_funnel(stages: DataFrame, suspects: DataFrame, days: int, approved_share: float = 0.8) -> DataFrame:
+    """(day, stage, n): inside the last `days` days of `stages` the funnel follows from the day's suspects; earlier days stay as they are.
+
+    stages: day, stage, n. suspects: a row each, with its day. Approved is what was valid, with a share of the suspects but on the last day,
+    and so is distributed.
+    """
+    recent = stages.select("day").distinct().orderBy(F.col("day").desc()).limit(days)
+    span = recent.agg(F.min("day").alias("first"), F.max("day").alias("last"))  # one row
+    counted = suspects.groupBy("day").agg(F.count(F.lit(1)).alias("suspects"))
+    whole = F.max(F.when(F.col("stage") == "acquired", F.col("n"))).over(Window.partitionBy("day"))
+    rows = stages.withColumn("whole", whole).join(counted, "day", "left").crossJoin(F.broadcast(span)).withColumn("suspects", F.coalesce("suspects", F.lit(0)))
+    valid = F.col("whole") - F.col("suspects")
+    approved = valid + F.when(F.col("day") < F.col("last"), F.floor(F.col("suspects") * approved_share)).otherwise(0)
+    new = F.when(F.col("stage") == "validated", valid).when(F.col("stage") == "suspect", F.col("suspects")).when(F.col("stage").isin("approved", "distributed"), approved).otherwise(F.col("n"))
+    return rows.select("day", "stage", F.when(F.col("day") >= F.col("first"), new).otherwise(F.col("n")).cast("long").alias("n"))
+
+
 def change_over(df: DataFrame, day: str, as_of: date, days: int, keys: list[str]) -> DataFrame:
     """Counts of the last `days` days and of as many before, and their relative change."""
     at = F.datediff(F.lit(as_of), F.to_date(day))
@@ -116,15 +182,14 @@ def overlay(base: DataFrame, owned: Column, changes: Mapping[str, Column], more:
 
 
 def continue_ids(base: DataFrame, more: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """New rows numbered on from the largest id; numbered without gathering rows in one task."""
+    """New rows numbered on from the largest id, without gathering rows in one task: rows are settled with their task's number, tasks count
+    theirs, and each row's number follows from its place in its task."""
     top = base.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]  # one number
-    first = [(r[0], r[1]) for r in more.groupBy(F.spark_partition_id().alias("p")).count().orderBy("p").collect()]  # a row a partition
-    before, total = {}, 0
-    for p, n in first:
-        before[p], total = total, total + n
-    start = F.create_map(*(x for p, n in before.items() for x in (F.lit(p), F.lit(n)))) if before else F.create_map(F.lit(-1), F.lit(0))
-    w = Window.partitionBy("_p").orderBy(*order)
-    return more.withColumn("_p", F.spark_partition_id()).withColumn(key, (F.lit(top) + F.try_element_at(start, F.col("_p")) + F.row_number().over(w)).cast("long")).drop("_p")
+    held = cut(more.withColumn("_p", F.spark_partition_id()))
+    counts = held.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.withColumn("_start", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))  # a row a task
+    numbered = held.join(F.broadcast(starts), "_p").withColumn(key, (F.lit(top) + F.coalesce("_start", F.lit(0)) + F.row_number().over(Window.partitionBy("_p").orderBy(*order))).cast("long"))
+    return numbered.drop("_p", "_n", "_start")
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
@@ -140,8 +205,10 @@ def price_walk(returns: DataFrame, keys: list[str], order: list[str], start: Col
 
 
 def table_digest(df: DataFrame) -> DataFrame:
-    """One row: count and an order-free digest of all columns, by partial sums."""
-    row = F.xxhash64(*(F.col(c).cast("string") for c in df.columns)).cast("decimal(38,0)")
+    """One row: count and a digest of all columns, whatever the order of rows, by partial sums. A row's text tells nulls from texts and where
+    each column ends; 60 bits of its MD5 are added up."""
+    column = lambda c: F.coalesce(F.concat(F.char_length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    row = F.conv(F.left(F.md5(F.concat_ws("|", *(column(c) for c in df.columns))), F.lit(15)), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("digest"))
 
 

@@ -37,17 +37,19 @@ def check_range(start: date | None, end: date | None) -> None:
         raise Refused("invalid_request", "the range ends before it starts")
 
 
-def listing(df: DataFrame, columns: list[str], filters: Mapping[str, object], order: list[str], limit: int | None = 100, offset: int = 0) -> DataFrame:
-    """A page in a stable order; limit None: all rows, in no order."""
+def listing(df: DataFrame, columns: list[str], filters: Mapping[str, object], order: list[str], limit: int | None = 100, offset: int = 0, extra: int = 0) -> DataFrame:
+    """A page in a stable order, and `extra` rows after it; limit None: all rows, in no order."""
     found = df.filter(conditions(filters)).select(*columns, *(F.col(c) for c in order if c not in columns))
     if limit is not None:
-        found = found.orderBy(*order).offset(offset).limit(min(limit, MAX_PAGE))
+        found = found.orderBy(*order).offset(offset).limit(min(limit, MAX_PAGE) + extra)
     return found.select(*columns)
 
 
 def page(df: DataFrame, limit: int, offset: int) -> dict:
-    items = [r.asDict() for r in df.collect()]
-    return {"items": items, "count": len(items), "limit": limit, "offset": offset}
+    """df has one row more than the page where there are more; they are told, not shown."""
+    rows = [r.asDict() for r in df.collect()]
+    items = rows[:limit]
+    return {"items": items, "count": len(items), "limit": limit, "offset": offset, "truncated": len(rows) > limit}
 
 
 def summary(df: DataFrame, by: list[str], limit: int | None = MAX_PAGE, open_if: str | None = None) -> DataFrame:
@@ -91,7 +93,12 @@ class Endpoint:
     groups: tuple[str, ...] = ()  # those that a caller may name
     open_if: str = ""
 
-    def run(self, df: DataFrame, asked: Mapping[str, object] | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    def page(self, df: DataFrame, asked: Mapping[str, object] | None = None, limit: int | None = None, offset: int = 0) -> dict:
+        """The page as an answer: items, and whether more were cut off. A summary is one page of MAX_PAGE groups."""
+        limit = MAX_PAGE if self.group else min(limit or 100, MAX_PAGE)
+        return page(self.run(df, asked, limit, offset, 1), limit, offset)
+
+    def run(self, df: DataFrame, asked: Mapping[str, object] | None = None, limit: int = 100, offset: int = 0, extra: int = 0) -> DataFrame:
         given = validate(self.params, asked or {})
         by: dict[str, dict] = {}
         for name, value in given.items():
@@ -103,8 +110,8 @@ class Endpoint:
             names = list(given.get("group_by") or self.group)
             if unknown := [n for n in names if n not in (self.groups or self.group)]:
                 raise Refused("invalid_request", f"group_by takes {sorted(self.groups or self.group)}, not {unknown}")
-            return summary(df.filter(conditions(by)), names, MAX_PAGE, self.open_if or None)
-        return listing(df, list(self.columns or df.columns), by, list(self.order), limit, offset)
+            return summary(df.filter(conditions(by)), names, MAX_PAGE + extra, self.open_if or None)
+        return listing(df, list(self.columns or df.columns), by, list(self.order), limit, offset, extra)
 
 
 def validate(params: Mapping[str, Param], asked: Mapping[str, object]) -> dict[str, object]:
