@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,27 +123,55 @@ def descend(edges: DataFrame, root: object, depth: int) -> DataFrame:
 # ---- retrieval ----
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def vector_top(items: DataFrame, questions: DataFrame, n: int, item_id: str, question_id: str, vector: str = "embedding", digits: int = 6, block: int = QUESTIONS, kind: str | None = None, tops: Mapping[str, int] = TOP) -> DataFrame:
+    """Exact top n items of every question, by cosine and then by id: question, item, score, rank. kind: a column of items; each kind has its own
+    top, `tops` of it (n where it has none there), and its own ranks.
 
-
-def vector_top(items: DataFrame, questions: DataFrame, n: int, item_id: str, question_id: str, vector: str = "embedding", digits: int = 6, block: int = QUESTIONS) -> DataFrame:
-    """Exact top n items of every question. Questions are broadcast in blocks of about half of `block`, dealt by a hash of the id; each block is
-    a pass over the items, its result cut, so that what is held at once is bounded."""
-    asked = questions.select(F.col(question_id), F.col(vector).alias("_q"))
-    count = asked.count()
+    Questions go out in blocks of `block` at most or so, dealt by a hash of the id; each block is a pass over the items, its result cut. Within
+    a batch the products are one matrix product, and only the best of each kind leave it. Vectors that are null or nothing but zeros have
+    no direction and are in no top.
+    """
+    asked = questions.filter(F.col(vector).isNotNull()).select(F.col(question_id).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    rows = items.filter(F.col(vector).isNotNull()).select(F.col(item_id).alias("i"), F.col(vector).cast("array<double>").alias("v"), F.col(kind).cast("string").alias("k") if kind else F.lit("").alias("k"))
+    count, spark = asked.count(), items.sparkSession
     blocks = 1 if count <= block else -(-2 * count // block)
-    out = None
-    for k in range(blocks):
-        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(question_id), F.lit(blocks)) == k)
-        pairs = items.select(F.col(item_id), F.col(vector).alias("_v")).join(F.broadcast(own), F.col(item_id) != F.col(question_id))
-        scored = pairs.select(question_id, item_id, F.round(cosine(F.col("_v"), F.col("_q")), digits).alias("score"))
-        w = Window.partitionBy(question_id).orderBy(F.col("score").desc(), item_id)
-        top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("long"))
+    schema = f"q {asked.schema['q'].dataType.simpleString()}, i {rows.schema['i'].dataType.simpleString()}, k string, score double"
+    most, out = {k: tops.get(k, n) for k in tops} if kind else {}, None
+
+    def unit(a: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return a / np.sqrt((a * a).sum(axis=1, keepdims=True))
+
+    for b in range(blocks):
+        own = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).collect()  # a bounded block
+        if not own:
+            continue
+        ids, sent = [r.q for r in own], spark.sparkContext.broadcast(unit(np.array([r.v for r in own], float)))
+
+        def run(batches, ids=ids, sent=sent):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                names, kinds = np.array(batch.column("i").to_pylist(), object), np.array(batch.column("k").to_pylist(), object)
+                order = np.argsort(names, kind="stable")
+                scores = np.round(sent.value @ unit(np.array(batch.column("v").to_pylist(), float)[order]).T, digits)
+                names, kinds, found = names[order], kinds[order], []
+                for k in {*kinds.tolist()}:
+                    at, top = np.flatnonzero(kinds == k), most.get(k, n)
+                    for j, row in enumerate(scores[:, at]):
+                        best = at[np.argsort(-row, kind="stable")[: top + 1]]  # one more, for the question itself
+                        found += [(ids[j], names[x], k, float(scores[j, x])) for x in best if names[x] != ids[j] and scores[j, x] == scores[j, x]]
+                made = list(zip(*found, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, [pa.infer_type(ids), batch.schema.field("i").type, pa.string(), pa.float64()], strict=True)], names=["q", "i", "k", "score"])
+
+        scored = rows.mapInArrow(run, schema)
+        w = Window.partitionBy("q", "k").orderBy(F.col("score").desc(), "i")
+        bound = F.coalesce(F.try_element_at(F.create_map(*(x for k, v in most.items() for x in (F.lit(k), F.lit(v)))), F.col("k")), F.lit(n)) if most else F.lit(n)
+        top = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= bound)
+        top = top.select(F.col("q").alias(question_id), F.col("i").alias(item_id), *([F.col("k").alias(kind)] if kind else []), "score", "rank")
         top = top if blocks == 1 else cut(top)
         out = top if out is None else out.union(top)
-    return out
+    return out if out is not None else spark.createDataFrame([], schema).select(F.col("q").alias(question_id), F.col("i").alias(item_id), *([F.col("k").alias(kind)] if kind else []), "score", F.lit(0).cast("long").alias("rank"))
 
 
 def words(text: Column) -> Column:
@@ -149,10 +179,10 @@ def words(text: Column) -> Column:
 
 
 def bm25(docs: DataFrame, terms: list[str], doc_id: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 of plain lower-case words (no stemming). Only asked terms leave the scan; statistics are over all documents."""
+    """Okapi BM25 of plain lower-case words (no stemming). One pass over the texts leaves each one's length and asked terms; statistics are over all."""
     asked = list(dict.fromkeys(t.lower() for t in terms))
-    w = words(F.col(text))
-    per = docs.select(doc_id, F.size(w).alias("len"), F.filter(w, lambda x: x.isin(*asked)).alias("hits"))
+    read = F.transform(F.array(words(F.col(text))), lambda w: F.struct(F.size(w).alias("len"), F.filter(w, lambda x: x.isin(*asked)).alias("hits")))[0]
+    per = cut(docs.select(F.col(doc_id), read.alias("r")).select(doc_id, "r.len", "r.hits"))
     totals = per.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
     tf = per.filter(F.size("hits") > 0).select(doc_id, "len", F.explode("hits").alias("term")).groupBy(doc_id, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

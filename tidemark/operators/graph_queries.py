@@ -11,12 +11,14 @@ from tidemark.registry import Tables, query
 _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
-@query(f"SELECT q AS question, item, score FROM (SELECT b.vec_id AS q, a.vec_id AS item, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND b.vec_id < 5) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, item) <= 10")
+@query(f"""SELECT q AS question, item, kind, score, k AS rank FROM (SELECT b.vec_id AS q, a.vec_id AS item, CASE a.vec_id % 3 WHEN 0 THEN 'Metric' WHEN 1 THEN 'Concept' ELSE 'Other' END AS kind, round({_COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND b.vec_id % 100 = 0)
+           QUALIFY row_number() OVER (PARTITION BY q, kind ORDER BY score DESC, item) AS k <= CASE kind WHEN 'Metric' THEN 5 WHEN 'Concept' THEN 2 ELSE 10 END""".replace("k AS rank", "row_number() OVER (PARTITION BY q, kind ORDER BY score DESC, item) AS rank").replace(" AS k <=", " <="))
 def g01_cosine_topk(t: Tables) -> DataFrame:
-    """Five stated questions against all vectors."""
-    items = t.embeddings.select(F.col("vec_id").alias("item"), "embedding")
-    asked = t.embeddings.filter("vec_id < 5").select(F.col("vec_id").alias("question"), "embedding")
-    return graph.vector_top(items, asked, 10, "item", "question").select("question", "item", "score")
+    """Every vector whose id is divisible by 100 asks all vectors for the best of each kind."""
+    kind = F.when(F.col("vec_id") % 3 == 0, "Metric").when(F.col("vec_id") % 3 == 1, "Concept").otherwise("Other")
+    items = t.embeddings.select(F.col("vec_id").alias("item"), "embedding", kind.alias("kind"))
+    asked = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question"), "embedding")
+    return graph.vector_top(items, asked, 10, "item", "question", kind="kind")
 
 
 _TERMS = ["the", "license", "und", "estion", "token"]
@@ -73,21 +75,22 @@ def g07_distill(t: Tables) -> DataFrame:
     return graph.distil(log, 4, 3, 20)
 
 
-@query("""WITH v AS (SELECT 'n' || n_nationkey AS uid FROM nation WHERE n_regionkey IN (1, 2)), u AS (SELECT 'q' || c_custkey % 100 AS by_, 'n' || c_nationkey AS thing FROM customer WHERE c_custkey < 150)
+@query("""WITH v AS (SELECT 'n' || n_nationkey AS uid FROM nation WHERE n_regionkey IN (1, 2)), u AS (SELECT 'q' || o_custkey AS by_, 'n' || s_nationkey AS thing FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2)
           SELECT uid FROM v UNION ALL SELECT by_ FROM u LEFT JOIN v ON thing = uid GROUP BY by_ HAVING count(*) = count(uid)""")
 def g08_gate_all_used(t: Tables) -> DataFrame:
+    """Each customer asks about the nations of all its suppliers."""
     kind = lambda df, id_, k, scope: df.select(id_.alias("uid"), F.lit(k).alias("kind"), F.array(scope).alias("scopes"), F.lit("").alias("text")).distinct()
-    few = t.customer.filter("c_custkey < 150")
-    asked = F.concat(F.lit("q"), F.col("c_custkey") % 100)
-    nodes = kind(t.nation, F.concat(F.lit("n"), "n_nationkey"), "Metric", F.concat(F.lit("r"), "n_regionkey")).union(kind(few, asked, "Question", F.lit("*")))
-    edges = few.select(asked.alias("src"), F.lit("USED").alias("type"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
+    bought = t.orders.join(t.lineitem, F.expr("l_orderkey = o_orderkey")).join(t.supplier, F.expr("s_suppkey = l_suppkey"))
+    edges = bought.select(F.concat(F.lit("q"), "o_custkey").alias("src"), F.lit("USED").alias("type"), F.concat(F.lit("n"), "s_nationkey").alias("dst")).distinct()
+    nodes = kind(t.nation, F.concat(F.lit("n"), "n_nationkey"), "Metric", F.concat(F.lit("r"), "n_regionkey")).union(kind(edges, F.col("src"), "Question", F.lit("*")))
     return graph.gate(nodes, edges, ["r1", "r2"]).select("uid")
 
 
-@query("SELECT 'n' || n_nationkey AS node, CAST(2 AS BIGINT) AS depth FROM nation WHERE n_regionkey IN (0, 1) UNION ALL SELECT 'r' || r_regionkey, 1 FROM region WHERE r_regionkey IN (0, 1) UNION ALL SELECT 'root', 0")
+@query("SELECT 's' || s_suppkey AS node, CAST(3 AS BIGINT) AS depth FROM supplier UNION ALL SELECT 'n' || n_nationkey, 2 FROM nation UNION ALL SELECT 'r' || r_regionkey, 1 FROM region UNION ALL SELECT 'root', 0")
 def g09_hierarchy(t: Tables) -> DataFrame:
-    top = t.region.filter("r_regionkey < 2").select(F.lit("root").alias("src"), F.concat(F.lit("r"), "r_regionkey").alias("dst"))
-    return graph.descend(top.union(t.nation.select(F.concat(F.lit("r"), "n_regionkey"), F.concat(F.lit("n"), "n_nationkey"))), "root", 2)
+    link = lambda df, a, ak, b, bk: df.select(F.concat(F.lit(a), F.col(ak)).alias("src"), F.concat(F.lit(b), F.col(bk)).alias("dst"))
+    top = t.region.select(F.lit("root").alias("src"), F.concat(F.lit("r"), "r_regionkey").alias("dst"))
+    return graph.descend(top.union(link(t.nation, "r", "n_regionkey", "n", "n_nationkey")).union(link(t.supplier, "n", "s_nationkey", "s", "s_suppkey")), "root", 3)
 
 
 @query("SELECT 'node' AS what, 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'node', 'region', count(*) FROM region UNION ALL SELECT 'edge', 'OF', count(*) FROM nation")
@@ -97,11 +100,13 @@ def g10_counts(t: Tables) -> DataFrame:
     return graph.counts(nodes, edges)
 
 
-@query("SELECT CASE WHEN n_nationkey < 3 THEN 'nation' ELSE 'gone' END || n_nationkey AS src FROM nation WHERE n_nationkey >= 3")
+@query("SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40)")
 def g11_dangling(t: Tables) -> DataFrame:
-    nodes = t.nation.filter("n_nationkey < 3").select(F.concat(F.lit("nation"), "n_nationkey").alias("uid"))
-    edges = t.nation.select(F.concat(F.when(F.col("n_nationkey") < 3, "nation").otherwise("gone"), "n_nationkey").alias("src"), F.lit("OF").alias("type"), F.concat(F.when(F.col("n_nationkey") < 3, "nation").otherwise("gone"), "n_nationkey").alias("dst"))
-    return graph.dangling(nodes, edges).select("src")
+    """Edges from every sold part to its supplier, where large parts are missing among the nodes."""
+    uid = lambda df, a, k: df.select(F.concat(F.lit(a), F.col(k)).alias("uid"))
+    nodes = uid(t.part.filter("p_size < 40"), "p", "p_partkey").union(uid(t.supplier, "s", "s_suppkey"))
+    edges = t.lineitem.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.lit("SOLD_BY").alias("type"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    return graph.dangling(nodes, edges).select("src", "dst")
 
 
 @query("""WITH v AS (SELECT 'n' || n_nationkey AS uid FROM nation WHERE n_regionkey IN (1, 2)), u AS (SELECT 'q' || c_custkey // 3 AS by_, 'n' || c_nationkey AS thing FROM customer)
@@ -121,3 +126,23 @@ def g13_cosine_topk_all(t: Tables) -> DataFrame:
     items = t.embeddings.select(F.col("vec_id").alias("item"), "embedding")
     asked = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question"), "embedding")
     return graph.vector_top(items, asked, 10, "item", "question").select("question", "item", "score")
+
+
+@query("""WITH m AS (SELECT 'p' || l_partkey AS metric, 's' || l_suppkey AS other, 'n' || s_nationkey AS source FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL), o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY metric, source ORDER BY other) = 1)
+          SELECT metric, other, source FROM o QUALIFY row_number() OVER (PARTITION BY metric ORDER BY source, other) <= 4""")
+def g14_linked(t: Tables) -> DataFrame:
+    """For each part, one supplier of each new nation, four at most."""
+    links = t.lineitem.join(t.supplier, F.expr("s_suppkey = l_suppkey")).select(F.concat(F.lit("p"), "l_partkey").alias("metric"), F.concat(F.lit("s"), "l_suppkey").alias("other"), F.concat(F.lit("n"), "s_nationkey").alias("source")).distinct()
+    return graph.linked(links).select("metric", "other", "source")
+
+
+_KEPT = "k AS (SELECT uid, kind FROM (SELECT 'r' || r_regionkey AS uid, 'Metric' AS kind FROM region UNION ALL SELECT 'n' || n_nationkey, 'Table' FROM nation UNION ALL SELECT 's' || s_suppkey, 'Column' FROM supplier) ORDER BY CASE kind WHEN 'Metric' THEN 0 WHEN 'Table' THEN 1 ELSE 2 END, uid LIMIT 40)"
+
+
+@query(f"WITH {_KEPT}, e AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier) SELECT src, dst FROM e WHERE src IN (SELECT uid FROM k) AND dst IN (SELECT uid FROM k)")
+def g15_keep_important(t: Tables) -> DataFrame:
+    """A picture of forty nodes at most, by kind and then id, with the edges between them."""
+    node = lambda df, a, k, kind: df.select(F.concat(F.lit(a), F.col(k)).alias("uid"), F.lit(kind).alias("kind"))
+    nodes = node(t.region, "r", "r_regionkey", "Metric").union(node(t.nation, "n", "n_nationkey", "Table")).union(node(t.supplier, "s", "s_suppkey", "Column"))
+    edges = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.lit("IN").alias("type"), F.concat(F.lit("r"), "n_regionkey").alias("dst")).union(t.supplier.select(F.concat(F.lit("s"), "s_suppkey"), F.lit("IN"), F.concat(F.lit("n"), "s_nationkey")))
+    return graph.keep_important(nodes, edges, {"Metric": 0, "Table": 1, "Column": 2}, 40)[1].select("src", "dst")
