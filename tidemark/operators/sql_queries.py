@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.combine import Handle
 from tidemark.registry import Tables, query
 
 # ---- joins ----
@@ -39,12 +40,12 @@ def q04_anti_exists(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, m.top AS top FROM customer c, LATERAL (SELECT max(o_totalprice) AS top FROM orders WHERE o_custkey = c.c_custkey) m")
 def q05_lateral_max(t: Tables) -> DataFrame:
-    return t.sql("select c_custkey, m.top from {customer} c, lateral (select max(o_totalprice) as top from {orders} where o_custkey = c.c_custkey) m", "customer", "orders")
+    return t.guarded("select c_custkey, m.top from customer c, lateral (select max(o_totalprice) as top from orders where o_custkey = c.c_custkey) m", "customer", "orders")
 
 
 @query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c.c_custkey) AS n, (SELECT max(o_orderdate) FROM orders) AS last FROM customer c")
 def q06_scalar_corr(t: Tables) -> DataFrame:
-    return t.sql("select c_custkey, (select count(*) from {orders} where o_custkey = c.c_custkey) as n, (select max(o_orderdate) from {orders}) as last from {customer} c", "customer", "orders")
+    return t.guarded("select c_custkey, (select count(*) from orders where o_custkey = c.c_custkey) as n, (select max(o_orderdate) from orders) as last from customer c", "customer", "orders")
 
 
 @query("SELECT r_name, n_name, c_name FROM region JOIN nation ON n_regionkey = r_regionkey AND n_nationkey > 5 JOIN customer ON c_nationkey = n_nationkey AND c_acctbal < n_nationkey * 100")
@@ -121,7 +122,7 @@ def q16_rollup(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
 def q17_grouping_sets(t: Tables) -> DataFrame:
-    return t.sql("select o_orderstatus, o_orderpriority, count(*) as n from {orders} group by grouping sets ((o_orderstatus), (o_orderpriority), ())", "orders")
+    return t.guarded("select o_orderstatus, o_orderpriority, count(*) as n from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())", "orders")
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
@@ -131,7 +132,7 @@ def q18_cube(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderpriority, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY o_totalprice), 4) AS p90, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice), 4) AS p50 FROM orders GROUP BY 1")
 def q19_percentile_cont(t: Tables) -> DataFrame:
-    return t.sql("select o_orderpriority, round(percentile_cont(0.9) within group (order by o_totalprice), 4) as p90, round(percentile_cont(0.5) within group (order by o_totalprice), 4) as p50 from {orders} group by 1", "orders")
+    return t.guarded("select o_orderpriority, round(percentile_cont(0.9) within group (order by o_totalprice), 4) as p90, round(percentile_cont(0.5) within group (order by o_totalprice), 4) as p50 from orders group by 1", "orders")
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12")
@@ -157,7 +158,7 @@ def q23_regexp(t: Tables) -> DataFrame:
 
 @query("WITH RECURSIVE r(n, total) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, total + n + 1 FROM r WHERE n < 40) SELECT n, total FROM r")
 def q24_recursive_cte(t: Tables) -> DataFrame:
-    return t.sql("with recursive r(n, total) as (select 1L, 1L union all select n + 1, total + n + 1 from r where n < 40) select n, total from r")
+    return t.guarded("with recursive r(n, total) as (select 1L, 1L union all select n + 1, total + n + 1 from r where n < 40) select n, total from r")
 
 
 @query("""SELECT p_partkey, abs(-p_size) AS a, round(p_retailprice / 7, 4) AS b, CAST(floor(p_retailprice) AS BIGINT) AS c, CAST(ceil(p_retailprice) AS BIGINT) AS d, CAST(sign(p_size - 25) AS DOUBLE) AS e, round(sqrt(p_size), 6) AS f,
@@ -184,12 +185,12 @@ def q26_scalar_string(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS closed, CAST(sum(CAST(o_totalprice AS DECIMAL(20,2))) FILTER (WHERE o_orderstatus = 'O') AS DOUBLE) AS open_sum FROM orders GROUP BY 1")
 def q27_filter_agg(t: Tables) -> DataFrame:
-    return t.sql("select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as closed, cast(sum(cast(o_totalprice as decimal(20,2))) filter (where o_orderstatus = 'O') as double) as open_sum from {orders} group by 1", "orders")
+    return t.guarded("select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as closed, cast(sum(cast(o_totalprice as decimal(20,2))) filter (where o_orderstatus = 'O') as double) as open_sum from orders group by 1", "orders")
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
 def q28_group_by_all(t: Tables) -> DataFrame:
-    return t.sql("select o_orderstatus, o_orderpriority, count(*) as n from {orders} group by all", "orders")
+    return t.guarded("select o_orderstatus, o_orderpriority, count(*) as n from orders group by all", "orders")
 
 
 @query("""SELECT s_nationkey, round(median(s_acctbal), 4) AS a, round(stddev_samp(s_acctbal), 4) AS b, round(stddev_pop(s_acctbal), 4) AS c, round(var_samp(s_acctbal), 2) AS d, round(var_pop(s_acctbal), 2) AS e, CAST(count_if(s_acctbal > 0) AS BIGINT) AS f, min(s_acctbal) AS g, max(s_acctbal) AS h, any_value(s_nationkey) AS i FROM supplier GROUP BY 1""")
@@ -207,12 +208,12 @@ def q30_json_extract(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, label FROM orders JOIN (VALUES ('F', 'closed'), ('O', 'open')) v(code, label) ON o_orderstatus = code")
 def q31_values_join(t: Tables) -> DataFrame:
-    return t.sql("select o_orderkey, label from {orders} join (values ('F', 'closed'), ('O', 'open')) v(code, label) on o_orderstatus = code", "orders")
+    return t.guarded("select o_orderkey, label from orders join (values ('F', 'closed'), ('O', 'open')) v(code, label) on o_orderstatus = code", "orders")
 
 
 @query("SELECT CAST(d AS DATE) AS day, x FROM generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY) g(d), unnest([1, 2, 3]) u(x)")
 def q32_series(t: Tables) -> DataFrame:
-    return t.sql("select day, x from (select explode(sequence(date'2024-01-01', date'2024-01-31')) as day), (select explode(array(1, 2, 3)) as x)")
+    return t.guarded("select day, x from (select explode(sequence(date'2024-01-01', date'2024-01-31')) as day), (select explode(array(1, 2, 3)) as x)")
 
 
 @query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
@@ -241,54 +242,78 @@ _A, _B = "(SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY
 @query(f"SELECT a.k, customers, suppliers FROM {_A} a JOIN {_B} b ON a.k = b.k")
 def c01_two_handles(t: Tables) -> DataFrame:
     a, b = _by_nation(t)
-    return a.join(b, "k")
+    return t.combined("select a.k, customers, suppliers from a join b on a.k = b.k", a=a, b=b)
 
 
 @query(f"SELECT n_name, coalesce(suppliers, 0) AS suppliers FROM nation LEFT JOIN (SELECT * FROM {_B} WHERE suppliers > 3) b ON n_nationkey = b.k")
 def c02_left_coalesce(t: Tables) -> DataFrame:
     b = _by_nation(t)[1].filter("suppliers > 3")
-    return t.nation.join(b, F.expr("n_nationkey = k"), "left").select("n_name", F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
+    return t.combined("select n_name, coalesce(suppliers, 0) as suppliers from n left join b on n_nationkey = b.k", n=t.nation, b=b)
 
 
 @query(f"""SELECT n_name, r_name, customers, coalesce(suppliers, 0) AS suppliers, coalesce(orders, 0) AS orders, coalesce(urgent, 0) AS urgent FROM nation JOIN region ON n_regionkey = r_regionkey JOIN {_A} a ON a.k = n_nationkey LEFT JOIN {_B} b ON b.k = n_nationkey
            LEFT JOIN (SELECT c_nationkey AS k, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) o ON o.k = n_nationkey
            LEFT JOIN (SELECT c_nationkey AS k, count(*) AS urgent FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1) u ON u.k = n_nationkey""")
 def c03_chain_six(t: Tables) -> DataFrame:
+    """Six results in one statement; both counts of orders come from one pass."""
     a, b = _by_nation(t)
     placed = t.orders.join(t.customer, F.expr("o_custkey = c_custkey")).groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
-    base = t.nation.join(t.region, F.expr("n_regionkey = r_regionkey")).withColumn("k", F.col("n_nationkey")).join(a, "k").join(b, "k", "left").join(placed, "k", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return base.select("n_name", "r_name", "customers", zero("suppliers"), zero("orders"), zero("urgent"))
+    return t.combined(
+        """select n_name, r_name, customers, coalesce(suppliers, 0) as suppliers, coalesce(orders, 0) as orders, coalesce(urgent, 0) as urgent
+           from n join r on n_regionkey = r_regionkey join a on a.k = n_nationkey left join b on b.k = n_nationkey left join o on o.k = n_nationkey left join u on u.k = n_nationkey""",
+        n=t.nation, r=t.region, a=a, b=b, o=placed.select("k", "orders"), u=placed.select("k", "urgent"),
+    )
 
 
 @query(f"SELECT k, customers, NULL::BIGINT AS suppliers FROM {_A} UNION ALL SELECT k, NULL, suppliers FROM {_B}")
 def c04_union_by_name(t: Tables) -> DataFrame:
     a, b = _by_nation(t)
-    return a.unionByName(b, allowMissingColumns=True)
+    return t.combined("select k, customers, cast(null as bigint) as suppliers from a union all select k, cast(null as bigint), suppliers from b", a=a, b=b)
 
 
 @query("""WITH v AS (SELECT c_mktsegment AS ccy, r_name AS region, sum(CAST(o_totalprice AS DECIMAL(20,2))) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)
           SELECT ccy, CAST(sum(value) AS DOUBLE) AS total, CAST(max(value) AS DOUBLE) AS top FROM v GROUP BY ccy""")
 def c05_genuine_ccy_chain(t: Tables) -> DataFrame:
-    """Amounts are added within one genuine currency, through the same guard that combine uses."""
-    from tidemark.plans.combine import Handle, combine_frames
-
+    """Amounts are added within one genuine currency."""
     value = t.orders.join(t.customer, F.expr("o_custkey = c_custkey")).join(t.nation, F.expr("c_nationkey = n_nationkey")).join(t.region, F.expr("n_regionkey = r_regionkey"))
     value = value.groupBy(F.col("c_mktsegment").alias("ccy"), F.col("r_name").alias("region")).agg(F.sum(F.col("o_totalprice").cast("decimal(20,2)")).alias("value"))
-    handle = Handle(value, amounts=frozenset({"value"}), ccy="ccy")
-    return combine_frames(t.spark, "with x as (select ccy, region, value from a) select ccy, cast(sum(value) as double) as total, cast(max(value) as double) as top from x group by ccy", {"a": handle}).frame
+    sql = "with x as (select ccy, region, value from a) select ccy, cast(sum(value) as double) as total, cast(max(value) as double) as top from x group by ccy"
+    return t.combined(sql, a=Handle(value, amounts=frozenset({"value"}), ccy="ccy"))
 
 
 @query(f"SELECT k, customers + suppliers AS both_sides FROM {_A} JOIN {_B} USING (k)")
 def c06_using(t: Tables) -> DataFrame:
     a, b = _by_nation(t)
-    return a.join(b, ["k"]).select("k", (F.col("customers") + F.col("suppliers")).alias("both_sides"))
+    return t.combined("select k, customers + suppliers as both_sides from a join b using (k)", a=a, b=b)
 
 
 @query(f"SELECT a.k AS x, b.k AS y FROM {_A} a JOIN {_B} b ON a.customers < b.suppliers * 12 AND a.k < b.k")
 def c07_theta(t: Tables) -> DataFrame:
     """A theta join of two small results (a row for each nation): both sides are grouped first, so the size is bounded."""
     a, b = _by_nation(t)
-    return a.alias("a").join(b.alias("b"), F.expr("a.customers < b.suppliers * 12 and a.k < b.k")).select(F.col("a.k").alias("x"), F.col("b.k").alias("y"))
+    return t.combined("select a.k as x, b.k as y from a join b on a.customers < b.suppliers * 12 and a.k < b.k", a=a, b=b)
+
+
+# ---- more of free SQL, through the guard ----
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def q37_any_of_subquery(t: Tables) -> DataFrame:
+    """What `= ANY (ARRAY (subquery))` asks elsewhere, as Spark writes it."""
+    return t.guarded("select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_acctbal < 0)", "orders", "customer")
+
+
+@query("""WITH top AS (SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(20,2))) AS spent FROM orders GROUP BY 1), ranked AS (SELECT c_nationkey, c_custkey, spent, row_number() OVER (PARTITION BY c_nationkey ORDER BY spent DESC, c_custkey) AS k FROM top JOIN customer ON c_custkey = o_custkey)
+          SELECT n_name, c_custkey, CAST(spent AS DOUBLE) AS spent, k FROM ranked JOIN nation ON n_nationkey = c_nationkey WHERE k <= 3 AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey)""")
+def q38_nested_ctes(t: Tables) -> DataFrame:
+    return t.guarded(
+        """with top as (select o_custkey, sum(cast(o_totalprice as decimal(20,2))) as spent from orders group by 1),
+           ranked as (select c_nationkey, c_custkey, spent, row_number() over (partition by c_nationkey order by spent desc, c_custkey) as k from top join customer on c_custkey = o_custkey)
+           select n_name, c_custkey, cast(spent as double) as spent, cast(k as bigint) as k from ranked join nation on n_nationkey = c_nationkey where k <= 3 and exists (select 1 from supplier where s_nationkey = c_nationkey)""",
+        "orders", "customer", "nation", "supplier",
+    )
 
 
+@query("SELECT event_type, user_id, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(20,6))) AS DOUBLE), 2) AS total FROM events WHERE event_type IN ('view', 'click') OR regexp_matches(event_type, '^p') GROUP BY 1, 2 HAVING count(*) > 1")
+def q39_filtered_groups(t: Tables) -> DataFrame:
+    return t.guarded("select event_type, user_id, count(*) as n, round(cast(sum(cast(value as decimal(20,6))) as double), 2) as total from events where event_type in ('view', 'click') or event_type rlike '^p' group by 1, 2 having count(*) > 1", "events")

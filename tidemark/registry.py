@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import guard
+from tidemark.plans.combine import Handle, combine_frames
 from tidemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +27,18 @@ class Tables:
         """Named tables become parameters of the statement; nothing is registered in the caller's session."""
         return self.spark.sql(text, args=args or None, **{n: getattr(self, n) for n in names})
 
+    def guarded(self, text: str, *names: str) -> DataFrame:
+        """The engine's own way for free SQL: checked against the named tables, run in a session that holds views of these and nothing else."""
+        session = self.spark.newSession()
+        for n in names:
+            guard.session_view(session, n, getattr(self, n))
+        return session.sql(guard.check(session, text, {*names}))
+
+    def combined(self, text: str, **results: DataFrame | Handle) -> DataFrame:
+        """The engine's own way to combine results: guarded, and checked for mixed currencies."""
+        held = {k: r if isinstance(r, Handle) else Handle(r) for k, r in results.items()}
+        return combine_frames(self.spark, text, held).frame
+
 
 def query(sql: str | None = None):
     """Register the decorated function of Tables under its name, with its oracle."""
