@@ -2,11 +2,13 @@
 
 A text's key is the SHA-256 of its normalised content; a tokenizer's version is the SHA-256 of its file. The cache is a Parquet table
 (version, digest, n_tokens). Texts whose key the cache lacks are reduced to one copy a digest (combined before the shuffle, so a text
-that a third of all rows share moves once a task), encoded, and appended; then every row joins its count by digest alone. An append is
-one atomic Spark write; should two runs append the same digest, both hold the same count and the reader keeps one.
+that a third of all rows share moves once a task), encoded, and appended; then every row looks its count up by digest, the digests of very
+many rows by broadcast. An append is one Spark write of new files. Where a store can't rename at once, a reader may see part of them: it then
+encodes again what it misses. Should two runs append the same digest, both hold the same count and the reader keeps one.
 
 Normalising may only drop what can't change a count: runs of ASCII white space become one space if the tokenizer's own normaliser does
-so; otherwise the content is taken as it is. Null counts as the empty text: 0 bytes, 0 tokens. Repeated ids give repeated rows.
+so; otherwise the content is taken as it is. Null counts as the empty text: 0 bytes, 0 tokens. Repeated ids give repeated rows. An empty
+table gives none. A very long text is encoded whole, by one task. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import narrow, prepare, returning, scratch_path
+from tidemark.llm.common import lookup, narrow, prepare, returning, scratch_path, settle
 
 #: Entries of a worker's memo of chunk counts before it starts anew, and the longest chunk that it keeps.
 MEMO, MEMO_BYTES = 500_000, 96
@@ -124,9 +126,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
 
     misses.mapInArrow(returning(run), schema).write.mode("append").parquet(cache)
     known = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    keyed = plain.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest(F.col("text"), collapse).alias("digest"))
-    # a text that a third of all rows have is split by a salt: its one count is copied to each part
-    salts = 8
-    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return keyed.join(known, ["digest", "salt"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # settled before the cache is read: a row a document, with the digest alone
+    keyed, _ = settle(spark, plain.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest(F.col("text"), collapse).alias("digest")), "digests")
+    return lookup(keyed, known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
