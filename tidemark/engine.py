@@ -1,4 +1,4 @@
-"""The engine's calls: describe, run_metric, query, combine, get_rows, lineage."""
+"""The engine's calls: describe, run_metric, query, combine, get_rows, lineage, context."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tidemark.errors import Refused
+from tidemark.functions.text import judged_question
+from tidemark.operators import context
 from tidemark.plans import guard
 from tidemark.plans.catalog import METRICS
 from tidemark.plans.combine import Handle, Store, jsonable, of_metric
@@ -17,16 +19,16 @@ from tidemark.plans.metrics import MAX_ROWS, Metric, compile_metric
 from tidemark.plans.policy import Policy
 from tidemark.plans.security import MASKED, ROW_SCOPES, Claims, secure, secured_views
 from tidemark.session import cut as settled
-from tidemark.streaming.admission import within
+from tidemark.streaming.admission import Admission, within
 
-SQL_ROWS, SQL_BYTES, SQL_SECONDS = 500, 1_000_000, 30
+SQL_ROWS, SQL_BYTES, SQL_SECONDS, CONTEXT_SECONDS = 500, 1_000_000, 30, 120
 
 
 class Engine:
     """read(source, table) gives a table's DataFrame or None; everything else goes through the caller's claims."""
 
-    def __init__(self, spark: SparkSession, read: Callable[[str, str], DataFrame | None], metrics: Mapping[str, Metric] | None = None, as_of: date | None = None):
-        self.spark, self.read, self.as_of = spark, read, as_of or date.today()
+    def __init__(self, spark: SparkSession, read: Callable[[str, str], DataFrame | None], metrics: Mapping[str, Metric] | None = None, as_of: date | None = None, graph: tuple[DataFrame, DataFrame] | None = None, admission: Admission | None = None):
+        self.spark, self.read, self.as_of, self.graph, self.admission = spark, read, as_of or date.today(), graph, admission or Admission(16, 3, 32)
         self.policy, self.store = Policy(METRICS if metrics is None else metrics), Store()
 
     def _secured(self, claims: Claims, source: str) -> Callable[[str], DataFrame]:
@@ -78,7 +80,8 @@ class Engine:
             return df, rows, False
 
         try:
-            df, rows, cut = within(session, SQL_SECONDS, fetch, claims.sub)
+            with self.admission.admitted(claims.sub):
+                df, rows, cut = within(session, SQL_SECONDS, fetch, claims.sub)
         except Refused:
             raise
         except Exception as e:  # noqa: BLE001  the engine's own errors, without its internals
@@ -94,12 +97,24 @@ class Engine:
         return settled(secure(df, claims, source, table, dimension))
 
     def combine(self, claims: Claims, sql: str, handles: Mapping[str, str]) -> dict:
-        name = within(self.spark, SQL_SECONDS, lambda: self.store.combine(claims.sub, sql, handles), claims.sub)
+        with self.admission.admitted(claims.sub):
+            name = within(self.spark, SQL_SECONDS, lambda: self.store.combine(claims.sub, sql, handles), claims.sub)
         return self.store.summary(claims.sub, name)
 
     def get_rows(self, claims: Claims, handle: str, offset: int = 0, limit: int = 200) -> dict:
         got = self.store.page(claims.sub, handle, offset, limit)
         return got | {"rows": [[jsonable(v) for v in r] for r in got["rows"]]}
 
+    def context(self, claims: Claims, question: str, vectors: DataFrame | None = None, asked: DataFrame | None = None) -> dict[str, list]:
+        """What this caller should know to answer a question; see operators.context. vectors: uid, embedding; asked: the question's own."""
+        if self.graph is None:
+            raise Refused("no_graph", "this engine has no context graph")
+        text, why = judged_question(question)
+        if text is None:
+            raise Refused("invalid_request", f"the question can't be used: {why}")
+        nodes, edges = self.graph
+        with self.admission.admitted(claims.sub):
+            return within(self.spark, CONTEXT_SECONDS, lambda: context.pack(nodes, edges, context.scopes_of(claims), text, claims.metrics_only, vectors, asked), claims.sub)
+
     def lineage(self, claims: Claims, handle: str) -> list[str]:
         return self.store.lineage(claims.sub, handle)
