@@ -102,3 +102,21 @@ def test_lookup_of_frequent_keys(spark):
     table = spark.range(0, 3000, 2).select(F.col("id").alias("key"), (F.col("id") * 10).alias("v"))
     got = {r.id: r.v for r in lookup(rows, table, "key", often=100).collect()}
     assert got == {k: (0 if k % 3 == 0 else k * 10 if k % 2 == 0 else None) for k in range(3000)}
+
+
+def test_next_documents_where_one_id_fills_many_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import fingerprints
+
+    r = random.Random(2)
+    made = [(5 if k % 3 else 5 + k, prose(r, 3, 50)) for k in range(240)] + [(5, "w1 w1 w1")] * 3
+    df = spark.createDataFrame(made, "key long, text string").repartition(4)
+    tie = {x.text: x.t for x in df.select("text", F.xxhash64("text").alias("t")).collect()}
+    order = sorted((k, tie[t], t) for k, t in made)
+    want = sorted((a[0], a[2], b[2]) for a, b in zip(order, [*order[1:], order[0]], strict=True))
+    for ranges in (1, 4, 9):
+        found = fingerprints.with_next(df, ["text"], ranges=ranges)
+        assert sorted(map(tuple, found.select("key", "text", "next_text").collect())) == want
+    whole = fingerprints.query(spark, df.select(F.when(F.col("key") > 5, F.col("key")).alias("doc_id"), "text"))
+    assert whole.count() == len(made) and whole.filter("near_next between 0 and 1").count() == len(made)

@@ -8,7 +8,8 @@ the result equal to merging in rank order. Pieces repeat, so each worker keeps a
 
 Decoding. One byte string holds every token's bytes; a table has each id's offset and length; a text is one gather.
 
-Nulls and empty texts give no tokens. Any length of text is processed whole; repeated rows give repeated results.
+Nulls and empty texts give no tokens. Any length of text is processed whole; repeated rows give repeated results, whatever their ids. An
+empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations

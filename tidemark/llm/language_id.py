@@ -4,9 +4,11 @@ Features are hashed byte trigrams of the whole text (A-Z folded, other ASCII tha
 First one linear support vector machine for each language family picks the family; then linear machines for each pair of its languages vote,
 ties broken by the sum of margins. The score is the product of the two decisions' logistic confidences.
 
-Fitting takes a bounded, documented sample: at most SAMPLE rows of each label, chosen by a hash of the id over the whole table, never more
-than ROWS in all. Their features are counted on the executors. Every row is predicted, from its whole text. Labels outside FAMILIES are a
-family each. Null text and text without a letter are `und` with score 0; so is everything where no label could be learned.
+Fitting takes a bounded, documented sample: at most SAMPLE rows of each label, chosen by a hash of id and text over the whole table, never
+more than ROWS in all; of more than ROWS labels the most frequent are learned. Equal rows count once. Features are counted on the executors.
+Every row is predicted, from its whole text, each repeated row alike, whatever its id. Labels outside FAMILIES are a family each. Null text
+and text without a letter are `und` with score 0; so is everything where no label could be learned. An empty table gives none; other columns
+don't meddle.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import narrow, prepare, returning, rows_of
@@ -111,15 +113,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from text and label of rows outside the fold, at most `sample` of a label."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
-    counts.pop("und", None)
+    space = 1 << 30
+    rows = rows.filter("lang <> 'und'").withColumn("pick", F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(space)))
+    labels = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("pick").alias("different")).orderBy(F.col("n").desc(), "lang").limit(ROWS)
+    counts = {r.lang: max(1, int(r.different * 0.8)) for r in labels.collect()}  # the estimate is off by a few hundredths
     if not counts:
         return None
     per = max(1, min(sample, ROWS // len(counts)))
-    space = 1 << 30
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(space))
     most = F.create_map([x for c, n in sorted(counts.items()) for x in (F.lit(c), F.lit(min(space, int(space * (per + 4 * per**0.5 + 8) / n) + 1)))])
-    picked = rows.withColumn("pick", chosen).filter(F.col("pick") < F.try_element_at(most, F.col("lang")))
+    picked = rows.filter(F.col("pick") < F.try_element_at(most, F.col("lang"))).groupBy("lang", "pick").agg(F.first("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("pick"))
+    picked = picked.withColumn("k", first).filter(F.col("k") <= per).drop("k")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

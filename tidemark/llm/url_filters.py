@@ -6,8 +6,11 @@ every range that its interval meets, which for n ranges is one place for each ru
 URLs are sorted together by Spark and swept once as a stream: a stack holds the nested rule hosts that are open, the innermost on top, and a
 URL is judged by those alone. A key that fills several ranges (one URL in a third of all rows) is dealt over all of them by row.
 
-Rule choice: of the open rules whose path is a prefix of the URL's path, the longest host and path together, then the longest host.
-Null URLs and those without `://` have an empty host and path and fit no rule. Repeated rows are each judged. No rule: the default verdict.
+Rule choice: of the open rules whose path is a prefix of the URL's path, the longest host and path together, then the longest host. A host's
+paths are kept by length, so that a URL asks once for each length, however many rules the host has. Rule hosts are read with A-Z lowered; of
+rules with one host and path the greatest verdict counts (block before allow); rules with a null in any column are none. Null URLs and
+those without `://` have an empty host and path and fit no rule. Repeated rows are each judged. No rule: the default verdict. An empty table
+gives none; a very long URL is judged whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,14 +48,29 @@ def flip(host: str) -> str:
     return ".".join(reversed(host.split("."))) + "."
 
 
-def judge(stack: list[tuple[str, list[tuple[str, str, str]]]], path: str) -> tuple[str, str] | None:
-    """The rule that wins: (rule as host and path, verdict)."""
-    best = None
-    for host, rules in stack:
-        for p, name, verdict in rules:
-            if path.startswith(p) and (best is None or (len(name), len(host)) > best[0]):
-                best = (len(name), len(host)), name, verdict
-    return best and best[1:]
+class Open:
+    """The rules of one host: verdicts by path, and the lengths that paths have, longest first."""
+
+    def __init__(self, key: str):
+        self.key, self.verdicts, self.lengths = key, {}, []
+
+    def add(self, path: str, name: str, verdict: str) -> None:
+        self.verdicts[path] = name, verdict
+        if -len(path) not in self.lengths[(at := bisect.bisect_left(self.lengths, -len(path))) : at + 1]:
+            self.lengths.insert(at, -len(path))
+
+    def best(self, path: str) -> tuple[str, str] | None:
+        return next((found for n in self.lengths if (found := self.verdicts.get(path[:-n])) is not None and -n <= len(path)), None)
+
+
+def judge(stack: list[Open], path: str) -> tuple[str, str] | None:
+    """The rule that wins: (rule as host and path, verdict). Hosts further up the stack are longer."""
+    won = None
+    for open_ in stack:
+        found = open_.best(path)
+        if found is not None and (won is None or len(found[0]) >= len(won[0])):
+            won = found
+    return won
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, default: str = "allow", ranges: int | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -65,7 +83,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame =
     urls = urls.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     urls = urls.withColumn("key", F.concat(reversed_host(F.col("host")), F.lit(MARK), F.col("path")))
     held = spark.createDataFrame(rules, "verdict string, host string, path string") if isinstance(rules, list) else rules.select("verdict", "host", "path")
-    held = held.withColumn("low", reversed_host(ascii_lower(F.col("host")))).dropDuplicates(["host", "path"])
+    held = held.dropna().withColumn("host", ascii_lower(F.col("host"))).groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("low", reversed_host(F.col("host")))
 
     n = urls.count()
     part = min(1.0, SAMPLED * ranges / max(1, n))
@@ -95,19 +113,19 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame =
     both = left.unionByName(right).repartition(ranges, "range").sortWithinPartitions("range", "key", "side")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[tuple[str, list[tuple[str, str, str]]]] = []
+        stack: list[Open] = []
         now = None
         for batch in batches:
             rows, rule, verdict = [], [], []
             for k, (range_, key, side, host, path, says) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("range", "key", "side", "host", "path", "verdict")), strict=True)):
                 if range_ != now:
                     stack, now = [], range_
-                while stack and not key.startswith(stack[-1][0]):
+                while stack and not key.startswith(stack[-1].key):
                     stack.pop()
                 if side == 0:
-                    if not stack or stack[-1][0] != key:
-                        stack.append((key, []))
-                    stack[-1][1].append((path, host + path, says))
+                    if not stack or stack[-1].key != key:
+                        stack.append(Open(key))
+                    stack[-1].add(path, host + path, says)
                 else:
                     won = judge(stack, path)
                     rows.append(k)

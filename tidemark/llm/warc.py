@@ -10,7 +10,9 @@ chains are followed at once, so that a candidate's successor is the first offset
 from each archive's start until nothing new is reached: log2(blocks) joins over narrow rows. Only records on a reached chain are parsed.
 
 Null payloads are empty ones. Rows whose id is the smallest of their payload are responses, repeated rows too. Payloads under `least` bytes
-are always responses. An archive that breaks off gives the records before the break.
+are always responses. An archive that breaks off gives the records before the break. A row without an id is a record under `null`, and a
+revisit if a row with an id has its payload. A very long payload is one record, in memory once a task. An empty table gives no archive and no record; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import opened, prepare, scratch_path
+from tidemark.llm.common import lookup, opened, prepare, scratch_path, settle
 
 #: Bytes of an archive before the next begins, and of a block that one row of the reader's task list covers.
 ARCHIVE_MB, BLOCK_MB = 64, 4
@@ -58,9 +60,10 @@ def parsed(data: bytes) -> tuple | None:
 def choose(pages: DataFrame, least: int) -> DataFrame:
     """page_id, uri, html, size, digest, holder (null: this row is a response). Only ids and digests are grouped; payloads move once."""
     size, digest = F.octet_length("html").cast("long"), F.sha2("html", 256)
-    narrow = pages.select("page_id", digest.alias("digest"), size.alias("size")).filter(F.col("size") >= least)
+    narrow, _ = settle(pages.sparkSession, pages.select("page_id", digest.alias("digest"), size.alias("size")).filter(F.col("size") >= least).drop("size"), "digests")
     holders = narrow.groupBy("digest").agg(F.min("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("digest", "holder")
-    later = narrow.join(holders, "digest").filter(~F.col("page_id").eqNullSafe(F.col("holder"))).select(F.col("page_id").alias("later_id"), F.col("digest").alias("later_digest"), "holder").dropDuplicates(["later_id", "later_digest"])
+    holders = holders.withColumn("held", F.lit(True))
+    later = lookup(narrow, holders, "digest").filter(F.col("held") & ~F.col("page_id").eqNullSafe(F.col("holder"))).select(F.col("page_id").alias("later_id"), F.col("digest").alias("later_digest"), "holder").dropDuplicates(["later_id", "later_digest"])
     full = pages.select("page_id", "uri", "html", size.alias("size"), digest.alias("digest"))
     return full.join(later, F.col("page_id").eqNullSafe(F.col("later_id")) & (F.col("digest") == F.col("later_digest")), "left").select("page_id", "uri", "html", "size", "digest", "holder")
 
