@@ -27,7 +27,8 @@ SQL_ROWS, SQL_BYTES, SQL_SECONDS, CONTEXT_SECONDS = 500, 1_000_000, 30, 120
 class Engine:
     """read(source, table) gives a table's DataFrame or None; everything else goes through the caller's claims."""
 
-    def __init__(self, spark: SparkSession, read: Callable[[str, str], DataFrame | None], metrics: Mapping[str, Metric] | None = None, as_of: date | None = None, graph: tuple[DataFrame, DataFrame] | None = None, admission: Admission | None = None):
+    def __init__(self, spark: SparkSession, read: Callable[[str, str], DataFrame | None], metrics: Mapping[str, Metric] | None = None, as_of: date | None = None, graph: tuple[DataFrame, DataFrame] | None = None, admission: Admission | None = None, sql_seconds: float = SQL_SECONDS):
+        self.sql_seconds = sql_seconds
         self.spark, self.read, self.as_of, self.graph, self.admission = spark, read, as_of or date.today(), graph, admission or Admission(16, 3, 32)
         self.policy, self.store = Policy(METRICS if metrics is None else metrics), Store()
 
@@ -81,7 +82,7 @@ class Engine:
 
         try:
             with self.admission.admitted(claims.sub):
-                df, rows, cut = within(session, SQL_SECONDS, fetch, claims.sub)
+                df, rows, cut = within(session, self.sql_seconds, fetch, claims.sub)
         except Refused:
             raise
         except Exception as e:  # noqa: BLE001  the engine's own errors, without its internals
@@ -98,7 +99,7 @@ class Engine:
 
     def combine(self, claims: Claims, sql: str, handles: Mapping[str, str]) -> dict:
         with self.admission.admitted(claims.sub):
-            name = within(self.spark, SQL_SECONDS, lambda: self.store.combine(claims.sub, sql, handles), claims.sub)
+            name = within(self.spark, self.sql_seconds, lambda: self.store.combine(claims.sub, sql, handles), claims.sub)
         return self.store.summary(claims.sub, name)
 
     def get_rows(self, claims: Claims, handle: str, offset: int = 0, limit: int = 200) -> dict:

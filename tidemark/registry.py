@@ -52,4 +52,4 @@ def query(sql: str | None = None):
     return register
 
 
-from tidemark.operators import dataflow_queries, graph_queries, metric_queries, sql_queries  # noqa: E402, F401  they register themselves
+from tidemark.operators import dataflow_queries, engine_queries, graph_queries, metric_queries, sql_queries  # noqa: E402, F401  they register themselves
