@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, line dedup, n-gram Jaccard join, benchmark decontamination, BPE encoding and decoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; each result is written as Parquet and read again as the
-next one's docs. Every stage but the last returns the columns of documents.
+next one's docs. Every stage but the last returns the columns of documents. Texts that are null or have no letter go in the first stage. Rows
+without an id take part as rows; repeated rows of one id and text count as copies. Empty tables pass through; other columns, whatever their
+names, are carried along.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup
-from tidemark.llm.common import narrow, settle, table, unpacked
+from tidemark.llm.common import narrow, remove, settle, table, unpacked
 from tidemark.llm.queries import tokenizer
 
 #: Ids to broadcast, 8 bytes each; more are joined by a shuffle.
@@ -69,8 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is settled in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result but the last is settled in the shared folder, until the next one is."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = settle(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made, new = settle(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if path is not None:
+            remove(spark, path)
+        docs, path = made, new
     return STAGES[-1][1](spark, docs, sf_dir)
