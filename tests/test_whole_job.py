@@ -1,13 +1,16 @@
 """Operators do the whole job: no subset of ids, no cut."""
 
 import os
+from datetime import date
+from decimal import Decimal
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import registry
-from tidemark.operators import graph, recon
+from tidemark.operators import graph, recon, shape
+from tidemark.sources import endpoints
 
 FOLDER = os.environ.get("TIDEMARK_TEST_SF", "/root/testdata/sf0.001")
 tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -46,3 +49,43 @@ def test_run_status_keeps_every_day(spark):
     runs = spark.range(days).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("business_date"), F.lit(1).alias("unmatched"))
     got = {r.status: r["count"] for r in recon.run_status(runs).groupBy("status").count().collect()}
     assert got == {"in_progress": 1, "open": 3, "signed_off": days - 4}
+
+
+def test_cut_pages_are_told(spark):
+    df = spark.range(1203).select(F.concat(F.lit("r"), F.col("id") % 601).alias("rule_id"), F.lit("d").alias("domain"), F.lit("open").alias("status"), F.lit("equity").alias("asset_class"), F.lit("x").alias("record_ref"), F.current_timestamp().alias("opened_at"))
+    s = endpoints.REFMASTER["/exceptions/summary"]
+    cut = s.page(df, {"group_by": ["rule_id"]})
+    assert cut["truncated"] and cut["count"] == endpoints.MAX_PAGE
+    whole = s.page(df, {"group_by": ["domain"]})
+    assert not whole["truncated"] and whole["items"][0]["total"] == 1203
+    rows = spark.range(7).select(F.concat(F.lit("S"), "id").alias("security_id"), *(F.lit("x").alias(c) for c in ("asset_class", "ccy", "country", "status", "name")))
+    e = endpoints.REFMASTER["/securities"]
+    assert [e.page(rows, {}, limit, offset)["truncated"] for limit, offset in ((3, 0), (3, 4), (7, 0), (6, 0))] == [True, False, False, True]
+
+
+def test_table_digest_tells_nulls_and_columns(spark):
+    digest = lambda *rows: recon.table_digest(spark.createDataFrame([*rows], "a string, b string")).first().digest
+    assert len({digest(("x", None)), digest((None, "x")), digest(("x", "")), digest(("x", "-")), digest(("x|1:y", "z")), digest(("x", "y|1:z")), digest((None, None))}) == 7
+    assert digest(("a", "b"), ("c", None)) == digest(("c", None), ("a", "b"))
+
+
+def test_ids_go_on_whatever_the_tasks(spark):
+    base = spark.createDataFrame([(41,)], "id long")
+    for parts in (1, 7):
+        more = spark.range(50).selectExpr("id as v").repartition(parts).sample(0.9, seed=3)
+        got = recon.continue_ids(base, more, "id", ["v"]).collect()
+        assert sorted(r.id for r in got) == list(range(42, 42 + len(got))) and len({r.v for r in got}) == len(got)
+
+
+def test_models_without_a_price_stay(spark):
+    df = spark.createDataFrame([("m", 10.0), ("n", 5.0)], "model string, tokens double")
+    assert {r.model: r.cost for r in shape.cost(df, "model", "tokens", {"m": 2.0}).collect()} == {"m": 20.0, "n": None}
+
+
+def test_match_rules_in_turn(spark):
+    row = "entry long, ref string, amount decimal(10,2), day date"
+    side = lambda rows: spark.createDataFrame([(k, ref, Decimal(a), date(2026, 1, d)) for k, ref, a, d in rows], row)
+    ledger = side([(1, "exact", "5.00", 1), (2, "near", "7.00", 1), (3, "late", "9.00", 1), (4, "split", "1.00", 1), (5, "split", "2.00", 2), (6, "many", "4.00", 1), (7, "many", "6.00", 9), (8, "gone", "1.00", 1)])
+    statement = side([(11, "exact", "5.00", 1), (12, "near", "7.80", 1), (13, "late", "9.00", 3), (14, "split", "3.00", 1), (15, "many", "2.50", 1), (16, "many", "7.50", 5), (17, "lost", "1.00", 1)])
+    got = {(r.rule, r.side, r.entry) for r in recon.match_by_rules(ledger, statement).collect()}
+    assert got == {("MR01", "ledger", 1), ("MR01", "statement", 11), ("MR02", "ledger", 2), ("MR02", "statement", 12), ("MR03", "ledger", 3), ("MR03", "statement", 13), ("MR04", "ledger", 4), ("MR04", "ledger", 5), ("MR04", "statement", 14)} | {("MR05", "ledger", k) for k in (6, 7)} | {("MR05", "statement", k) for k in (15, 16)}

@@ -73,8 +73,10 @@ def source_usage(df: DataFrame, source: str, access: str) -> DataFrame:
 
 
 def cost(df: DataFrame, model: str, tokens: str, prices: Mapping[str, float]) -> DataFrame:
+    """Cost by model; null, not left out, where a model has no price."""
     price = F.create_map(*(x for k, v in prices.items() for x in (F.lit(k), F.lit(v))))
-    return df.withColumn("_p", F.try_element_at(price, F.col(model))).filter("_p is not null").groupBy(model).agg(F.sum((F.col(tokens) * F.col("_p")).cast("decimal(20,4)")).cast("double").alias("cost"))
+    spent = (F.col(tokens) * F.try_element_at(price, F.col(model))).cast("decimal(20,4)")
+    return df.groupBy(model).agg(F.sum(spent).cast("double").alias("cost"))
 
 
 # ---- replay ----
