@@ -513,28 +513,29 @@ def blocked(plain: DataFrame, least: DataFrame, roots: DataFrame) -> tuple[DataF
     return sets, held, [sets_path, held_path]
 
 
-def searched(tasks: DataFrame, parts: int) -> DataFrame:
-    """Settled (a, b): the links of a spanning forest of each task. tasks: u, v (the two chunks), side (0 or 1), carrier, known, hashes; a task
-    of one chunk compares all its sets, another only sets of different chunks."""
+def searched(tasks: DataFrame, parts: int) -> tuple[DataFrame, str]:
+    """Settled (turn, a, b): the links of a spanning forest of each task. tasks: turn, u, v (the two chunks), side (0 or 1), carrier, known,
+    hashes; a task of one chunk compares all its sets, another only sets of different chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets, sides, known = None, [], [], [], []
 
         def links() -> Iterator[pa.RecordBatch]:
-            whole = now[0] == now[1]
+            turn, u, v = now
+            whole = u == v
             if len(sets) < 2 or not whole and sides[0] == sides[-1]:
                 return
             comp = traverse(sets, None if whole else sides.index(1), known)
             ids, own = np.array(nodes), np.flatnonzero(comp != np.arange(len(comp)))
             if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own], pa.int64()), pa.array(ids[comp[own]], pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([turn] * len(own), pa.int32()), pa.array(ids[own], pa.int64()), pa.array(ids[comp[own]], pa.int64())], names=["turn", "a", "b"])
 
         for batch in batches:
-            for u, v, side, carrier, root, hashes in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "side", "carrier", "known", "hashes")), strict=True):
-                if (u, v) != now:
+            for turn, u, v, side, carrier, root, hashes in zip(*(batch.column(c).to_pylist() for c in ("turn", "u", "v", "side", "carrier", "known", "hashes")), strict=True):
+                if (turn, u, v) != now:
                     if now:
                         yield from links()
-                    now, nodes, sets, sides, known = (u, v), [], [], [], []
+                    now, nodes, sets, sides, known = (turn, u, v), [], [], [], []
                 if nodes and nodes[-1] == carrier and sides[-1] == side:  # a repeated row
                     continue
                 nodes.append(carrier)
@@ -544,8 +545,8 @@ def searched(tasks: DataFrame, parts: int) -> DataFrame:
         if now:
             yield from links()
 
-    dealt = tasks.select("u", "v", "side", "carrier", "known", "hashes").repartition(parts, "u", "v").sortWithinPartitions("u", "v", "side", "carrier")
-    return settle(tasks.sparkSession, dealt.mapInArrow(returning(run), "a long, b long"), "links")
+    dealt = tasks.select("turn", "u", "v", "side", "carrier", "known", "hashes").repartition(parts, "turn", "u", "v").sortWithinPartitions("turn", "u", "v", "side", "carrier")
+    return settle(tasks.sparkSession, dealt.mapInArrow(returning(run), "turn int, a long, b long"), "links")
 
 
 def cuts_of(sets: DataFrame, *by: str) -> DataFrame:
@@ -558,16 +559,15 @@ def block_links(sets: DataFrame, held: DataFrame, parts: int) -> tuple[DataFrame
     spark = held.sparkSession
     chunks, path = settle(spark, cuts_of(sets, "block"), "chunks")
     paths = [path]
-    at = lambda salt, n: F.pmod(F.xxhash64("carrier", F.lit(salt)), n).cast("string")
-    own = lambda rows, unit: rows.withColumns({"u": unit, "v": unit, "side": F.lit(0)})
-    chunked = held.join(chunks, "block")
-    first, path = searched(own(chunked, F.concat_ws(":", "block", at(1, F.col("chunks")))).withColumn("known", F.col("carrier")), parts)
+    at = lambda salt, n: F.pmod(F.xxhash64("carrier", salt), n).cast("string")
+    # a block of one chunk has one turn, a larger one two, by different salts
+    turns = F.explode(F.when(F.col("chunks") > 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    tasks = held.join(chunks, "block").withColumn("turn", turns).withColumn("u", F.concat_ws(":", "block", at(F.col("turn"), F.col("chunks"))))
+    links, path = searched(tasks.withColumns({"v": F.col("u"), "side": F.lit(0), "known": F.col("carrier")}), parts)
     paths.append(path)
+    first, second = (links.filter(F.col("turn") == k).select("a", "b") for k in (1, 2))
     if not chunks.filter("chunks > 1").limit(1).count():
         return first.toDF("node", "root"), paths
-    large = chunked.filter("chunks > 1")
-    second, path = searched(own(large, F.concat_ws(":", "block", at(2, F.col("chunks")))).withColumn("known", F.col("carrier")), parts)
-    paths.append(path)
     # what isn't known to be in its block's largest component is compared with everything else there of near size
     members = labelled(sets.join(chunks.filter("chunks > 1"), "block").select("block", "carrier", "n"), first, second)
     members, path = settle(spark, members, "labelled")
@@ -575,17 +575,17 @@ def block_links(sets: DataFrame, held: DataFrame, parts: int) -> tuple[DataFrame
     main = members.groupBy("block", "known").count().groupBy("block").agg(F.max_by("known", F.struct("count", "known")).alias("main"))
     members = members.join(main, "block").select("block", "carrier", "n", "known", (F.col("known") != F.col("main")).cast("int").alias("apart"), size_class_of(F.col("n")).alias("cls"))
     units = cuts_of(members, "block", "apart", "cls")
-    named = F.concat_ws(":", "block", "apart", "cls", at(3, F.col("chunks"))).alias("unit")
+    named = F.concat_ws(":", "block", "apart", "cls", at(F.lit(3), F.col("chunks"))).alias("unit")
     members, path = settle(spark, members.join(units, ["block", "apart", "cls"]).select("block", "carrier", "known", "apart", "cls", named), "members")
     paths.append(path)
     units = members.select("block", "apart", "cls", "unit").distinct()
     a, b = units.filter("apart = 1").select("block", F.col("cls").alias("cls_u"), F.col("unit").alias("u")), units.select("block", "apart", F.col("cls").alias("cls_v"), F.col("unit").alias("v"))
     meet = a.join(b, "block").filter("abs(cls_u - cls_v) <= 2 and (apart = 0 or u <= v)").select("u", "v")
     sides = meet.select("u", "v", F.lit(0).alias("side"), F.col("u").alias("unit")).union(meet.filter("u <> v").select("u", "v", F.lit(1), F.col("v")))
-    tasks = sides.join(members, "unit").select("u", "v", "side", "carrier", "known").join(held.select("carrier", "hashes"), "carrier")
+    tasks = sides.join(members, "unit").select(F.lit(3).alias("turn"), "u", "v", "side", "carrier", "known").join(held.select("carrier", "hashes"), "carrier")
     third, path = searched(tasks, parts)
     paths.append(path)
-    return components(first.union(second).union(third)), paths
+    return components(links.select("a", "b").union(third.select("a", "b"))), paths
 
 
 def labelled(members: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
@@ -628,7 +628,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         raise ValueError("digests of different sets share eight bytes in both halves")
     sets, held, paths = found
-    roots, more = block_links(sets, held, parts * 2)
+    roots, more = block_links(sets, held, parts)
     # a component of sets is known by its smallest carrier; sets without a link are components of their own
     root_of = sets.join(roots.withColumnRenamed("node", "carrier"), "carrier", "left").select("digest", F.coalesce("root", "carrier").alias("root"))
     least = least.join(root_of, "digest", "left")
