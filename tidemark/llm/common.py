@@ -164,8 +164,9 @@ def give_back() -> None:
         pass
 
 
-#: Bytes that a task may leave a worker larger by before it gives them back.
+#: Bytes that a worker may grow by, over all its tasks, before it gives back what is free.
 LEFT = 32 << 20
+_LEAST: list[int] = []
 
 
 def resident() -> int:
@@ -178,14 +179,14 @@ def resident() -> int:
 
 
 def returning(run):
-    """An Arrow map that gives its memory back at a task's end, unless it took little."""
+    """An Arrow map that gives its memory back at a task's end, unless the worker is about as small as it ever was."""
 
     def wrapped(batches):
-        before = resident()
+        _LEAST[:] = [min(resident(), *_LEAST)] if _LEAST else [resident()]
         try:
             yield from run(batches)
         finally:
-            if not before or resident() > before + LEFT:
+            if not _LEAST[0] or resident() > _LEAST[0] + LEFT:
                 give_back()
 
     return wrapped
