@@ -126,17 +126,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     picked = picked.withColumn("k", first).filter(F.col("k") <= per).drop("k")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts as the features that a text has and how often: a few KB a row go to the driver."""
         for batch in batches:
-            packed = [features(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("pick"), pa.array(packed, pa.binary())], names=["lang", "pick", "packed"])
+            counts = [features(t) for t in batch.column("text").to_pylist()]
+            at = [np.flatnonzero(c).astype(np.uint16) for c in counts]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("pick"), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([c[a].tobytes() for c, a in zip(counts, at, strict=True)], pa.binary())], names=["lang", "pick", "at", "n"])
 
     took: dict[str, list] = {}
-    for r in picked.mapInArrow(returning(count), "lang string, pick long, packed binary").toLocalIterator():
-        took.setdefault(r.lang, []).append((r.pick, bytes(r.packed)))
+    for r in picked.mapInArrow(returning(count), "lang string, pick long, at binary, n binary").toLocalIterator():
+        own = np.zeros(1 << BITS, np.float32)
+        own[np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.n, np.float32)
+        took.setdefault(r.lang, []).append((r.pick, own))
     x, labels = [], []
     for code in sorted(took):
-        own = sorted(took[code])[:per]
-        x += [np.frombuffer(p, np.float32) for _, p in own]
+        own = sorted(took[code], key=lambda p: p[0])[:per]
+        x += [c for _, c in own]
         labels += [code] * len(own)
     return Model(shares(np.array(x)), labels) if x else None
 
