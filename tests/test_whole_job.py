@@ -1,6 +1,7 @@
 """Operators do the whole job: no subset of ids, no cut."""
 
 import os
+import random
 from datetime import date
 from decimal import Decimal
 
@@ -89,3 +90,47 @@ def test_match_rules_in_turn(spark):
     statement = side([(11, "exact", "5.00", 1), (12, "near", "7.80", 1), (13, "late", "9.00", 3), (14, "split", "3.00", 1), (15, "many", "2.50", 1), (16, "many", "7.50", 5), (17, "lost", "1.00", 1)])
     got = {(r.rule, r.side, r.entry) for r in recon.match_by_rules(ledger, statement).collect()}
     assert got == {("MR01", "ledger", 1), ("MR01", "statement", 11), ("MR02", "ledger", 2), ("MR02", "statement", 12), ("MR03", "ledger", 3), ("MR03", "statement", 13), ("MR04", "ledger", 4), ("MR04", "ledger", 5), ("MR04", "statement", 14)} | {("MR05", "ledger", k) for k in (6, 7)} | {("MR05", "statement", k) for k in (15, 16)}
+
+
+def match_in_turn(entries, rules):
+    """match_by_rules, plainly. entries: side, entry, ref, amount, day."""
+    left, found = [e for e in entries if e[2] is not None], []
+    low = lambda v: (v is not None, v)
+    for rule in rules:
+        groups, places = {}, {}
+        for e in sorted(left, key=lambda e: [low(v) for v in (*e[3:], e[1])]):
+            k = places[e[0], e[2]] = places.get((e[0], e[2]), 0) + 1
+            groups.setdefault((e[2], k if rule.cardinality == "1:1" else 0), []).append(e)
+        hit = []
+        for g in groups.values():
+            a, b = ([e for e in g if e[0] == side] for side in ("ledger", "statement"))
+            known = [[e[3] for e in s if e[3] is not None] for s in (a, b)]
+            days = [e[4] for e in g if e[4] is not None]
+            shape = {"1:1": len(a) == len(b) == 1, "1:N": bool(a) and len(b) == 1, "N:M": bool(a) and bool(b)}[rule.cardinality]
+            amount = rule.amount is None or all(known) and abs(sum(known[0]) - sum(known[1])) <= rule.amount
+            if shape and amount and (rule.days is None or days and (max(days) - min(days)).days <= rule.days):
+                hit += g
+        found += [(rule.rule, *e[:3]) for e in hit]
+        taken = {e[:3] for e in hit if e[1] is not None}
+        left = [e for e in left if e[:3] not in taken]
+    return sorted(found, key=repr)
+
+
+def test_match_rules_deal_rows_once(spark):
+    pick = random.Random(6).choice
+    rows = [(pick(("ledger", "ledger", "statement")), pick((None, *range(5))), pick((None, *"abcdefghijklmnopqrstuvwxyz")), pick((None, *(Decimal(x) / 2 for x in range(-2, 6)))), pick((None, *(date(2026, 1, d) for d in range(1, 5))))) for _ in range(240)]
+    both = spark.createDataFrame(rows, "side string, entry long, ref string, amount decimal(10,2), day date")
+    for rules in (recon.MATCH_RULES, (recon.MatchRule("a", "N:M", 0.5, 3), recon.MatchRule("b", "1:1", None, 1), recon.MatchRule("c", "1:1", 1.0, None), recon.MatchRule("d", "1:N", None, None))):
+        got = recon.match_by_rules(*(both.filter(F.col("side") == s).drop("side") for s in ("ledger", "statement")), rules)
+        assert sorted(map(tuple, got.select("rule", "side", "entry", "ref").collect()), key=repr) == match_in_turn(rows, rules)
+        assert exchanges(got) == 1
+
+
+def exchanges(df):
+    """Times that rows are dealt anew, of a whole job in one plan; where a part is settled before, its exchanges aren't in it."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning")
+
+
+@tables
+def test_match_query_deals_lines_once(spark):
+    assert exchanges(registry.QUERIES["d06_match_rules"](spark, FOLDER)) == 1

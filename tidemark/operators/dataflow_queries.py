@@ -160,13 +160,19 @@ _ENTRIES = f"""l AS (SELECT 'ledger' AS side, l_orderkey * 100 + row_number() OV
           p3 AS (SELECT ref FROM e2 GROUP BY 1 HAVING count_if(side = 'statement') >= 1 AND count_if(side = 'ledger') >= 1 AND sum(CASE side WHEN 'ledger' THEN amount ELSE -amount END) = 0), m3 AS (SELECT 'MR05' AS rule, side, entry, ref FROM e2 SEMI JOIN p3 USING (ref))
           SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3""")
 def d06_match_rules(t: Tables) -> DataFrame:
-    """Rules in turn: one to one, one to many within days, many to many by sums."""
+    """Rules in turn: one to one, one to many within days, many to many by sums. Lines are dealt once, by order: an order's first line of a flag
+    carries the statement entry of that flag."""
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
-    money = F.col("l_extendedprice").cast("decimal(20,2)")
-    ledger = t.lineitem.select((F.col("l_orderkey") * 100 + number).alias("entry"), F.col("l_orderkey").alias("ref"), money.alias("amount"), F.to_date("l_shipdate").alias("day"))
-    kept = t.lineitem.filter("l_quantity < 48").groupBy("l_orderkey", "l_returnflag").agg(F.sum(money).alias("amount"), F.to_date(F.min("l_shipdate")).alias("day"))
-    statement = kept.select((F.col("l_orderkey") * 100 + F.ascii("l_returnflag")).alias("entry"), F.col("l_orderkey").alias("ref"), "amount", "day")
-    return recon.match_by_rules(ledger, statement, (recon.MatchRule("MR01", "1:1"), recon.MatchRule("MR04", "1:N", 0.0, 400), recon.MatchRule("MR05", "N:M", 0.0, None)))
+    lines = t.lineitem.filter("l_orderkey is not null").withColumn("number", number)
+    money, counts, flag = F.col("l_extendedprice").cast("decimal(20,2)"), F.col("l_quantity") < 48, Window.partitionBy("l_orderkey", "l_returnflag")
+    lines = lines.withColumns({
+        "total": F.sum(F.when(counts, money)).over(flag), "first": F.min(F.when(counts, F.col("l_shipdate"))).over(flag),
+        "some": F.max(F.coalesce(counts, F.lit(False))).over(flag), "top": F.min("number").over(flag) == F.col("number"),
+    })
+    entry = lambda side, plus, amount, day: F.struct(F.lit(side).alias("side"), (F.col("l_orderkey") * 100 + plus).alias("entry"), amount.cast("decimal(30,2)").alias("amount"), F.to_date(day).alias("day"))
+    ledger, statement = entry("ledger", F.col("number"), money, "l_shipdate"), entry("statement", F.ascii("l_returnflag"), F.col("total"), "first")
+    entries = lines.select(F.col("l_orderkey").alias("ref"), F.inline(F.when(F.col("some") & F.col("top"), F.array(ledger, statement)).otherwise(F.array(ledger))))
+    return recon.match_entries(entries, (recon.MatchRule("MR01", "1:1"), recon.MatchRule("MR04", "1:N", 0.0, 400), recon.MatchRule("MR05", "N:M", 0.0, None)))
 
 
 _STAGES = ["acquired", "validated", "suspect", "approved", "distributed"]

@@ -77,24 +77,40 @@ def match_by_rules(ledger: DataFrame, statement: DataFrame, rules: tuple[MatchRu
     Entries meet only under one reference. 1:1 pairs the k-th entry of each side in order of amount, day and entry. 1:N and N:M compare what
     is left of a reference as a whole: its sums, and the days between the first and last entries of both sides.
     """
-    both = ledger.select(F.lit("ledger").alias("side"), "entry", "ref", "amount", "day").unionByName(statement.select(F.lit("statement").alias("side"), "entry", "ref", "amount", "day"))
-    left, found = both.filter("ref is not null"), None
-    mine = lambda value, side: F.when(F.col("side") == side, value)
-    for rule in rules:
-        pair = ["ref", "k"] if rule.cardinality == "1:1" else ["ref"]
-        order = Window.partitionBy("side", "ref").orderBy("amount", "day", "entry")
-        rows = left.withColumn("k", F.row_number().over(order)) if len(pair) == 2 else left
-        gap = F.datediff(F.max("day"), F.min("day"))
-        sums = rows.groupBy(*pair).agg(
-            F.count(mine(F.lit(1), "ledger")).alias("n"), F.count(mine(F.lit(1), "statement")).alias("m"),
-            (F.sum(mine(F.col("amount"), "ledger")) - F.sum(mine(F.col("amount"), "statement"))).alias("off"), gap.alias("gap"),
-        )
+    side = lambda df, name: df.select(F.lit(name).alias("side"), "entry", "ref", "amount", "day")
+    return match_entries(side(ledger, "ledger").unionByName(side(statement, "statement")), rules)
+
+
+def match_entries(entries: DataFrame, rules: tuple[MatchRule, ...] = MATCH_RULES) -> DataFrame:
+    """match_by_rules over both sides in one table: side (ledger or statement), entry, ref, amount, day.
+
+    Rows are dealt once, by reference, and not at all if they lie so: the first window is over ref alone, and all others fit what it asks for.
+    A rule marks rows instead of taking them out, so that nothing is joined or written between rules. What is taken is known by side, entry and
+    ref, so rows alike in these go together, and rows without an entry stay for the rules after.
+    """
+    rows = entries.filter("ref is not null").select("side", "entry", "ref", "amount", "day", F.lit(True).alias("left"))
+    whole, hits = Window.partitionBy("ref"), []
+    mine = lambda value, side: F.when(F.col("left") & (F.col("side") == side), value)
+    for i, rule in enumerate(rules):
+        single, group = rule.cardinality == "1:1", whole
+        if single:
+            place = F.row_number().over(whole.orderBy(F.col("left").desc(), "side", "amount", "day", "entry"))  # the ledger's, then the statement's
+            rows = rows.withColumns({"k": place, "before": F.count(mine(F.lit(1), "ledger")).over(whole)})
+            rows = rows.withColumn("k", F.when(F.col("side") == "ledger", F.col("k")).otherwise(F.col("k") - F.col("before")))
+            group = Window.partitionBy("ref", "k")
+        rows = rows.withColumns({
+            "n": F.count(mine(F.lit(1), "ledger")).over(group), "m": F.count(mine(F.lit(1), "statement")).over(group),
+            "off": F.sum(mine(F.col("amount"), "ledger")).over(group) - F.sum(mine(F.col("amount"), "statement")).over(group),
+            "gap": F.datediff(F.max(F.when(F.col("left"), F.col("day"))).over(group), F.min(F.when(F.col("left"), F.col("day"))).over(group)),
+        })
         shape = {"1:1": "n = 1 and m = 1", "1:N": "n >= 1 and m = 1", "N:M": "n >= 1 and m >= 1"}[rule.cardinality]
-        good = sums.filter(shape).filter(_within(rule, F.col("off"), F.col("gap"))).select(*pair)
-        hit = cut(rows.join(good, pair, "left_semi").select(F.lit(rule.rule).alias("rule"), "side", "entry", "ref"))
-        left = cut(left.join(hit.select("side", "entry", "ref"), ["side", "entry", "ref"], "left_anti"))
-        found = hit if found is None else found.unionByName(hit)
-    return found
+        good = F.coalesce(F.expr(shape) & _within(rule, F.col("off"), F.col("gap")), F.lit(False))
+        rows = rows.withColumn(f"hit{i}", F.col("left") & good)
+        # a whole reference goes together anyway
+        taken = F.max(f"hit{i}").over(Window.partitionBy("ref", "side", "entry")) if single else F.col(f"hit{i}")
+        rows = rows.withColumn("left", F.col("left") & ~(taken & F.col("entry").isNotNull()))
+        hits.append(F.when(F.col(f"hit{i}"), rule.rule))
+    return rows.select(F.explode(F.array_compact(F.array(*hits))).alias("rule"), "side", "entry", "ref")
 
 
 def run_status(runs: DataFrame, day: str = "business_date", unmatched: str = "unmatched", open_days: int = 3) -> DataFrame:
