@@ -88,29 +88,34 @@ def match_entries(entries: DataFrame, rules: tuple[MatchRule, ...] = MATCH_RULES
     A rule marks rows instead of taking them out, so that nothing is joined or written between rules. What is taken is known by side, entry and
     ref, so rows alike in these go together, and rows without an entry stay for the rules after.
     """
-    rows = entries.filter("ref is not null").select("side", "entry", "ref", "amount", "day", F.lit(True).alias("left"))
+    own = F.col("side") == "ledger"
+    rows = entries.filter("ref is not null").select(own.alias("own"), "entry", "ref", "amount", "day", F.lit(True).alias("left"))
     whole, hits = Window.partitionBy("ref"), []
-    mine = lambda value, side: F.when(F.col("left") & (F.col("side") == side), value)
+    mine = lambda value, own: F.when(F.col("left") & (F.col("own") == own), value)
+    gap = lambda group: F.datediff(F.max("day").over(group), F.min("day").over(group))
     for i, rule in enumerate(rules):
-        single, group = rule.cardinality == "1:1", whole
-        if single:
-            place = F.row_number().over(whole.orderBy(F.col("left").desc(), "side", "amount", "day", "entry"))  # the ledger's, then the statement's
-            rows = rows.withColumns({"k": place, "before": F.count(mine(F.lit(1), "ledger")).over(whole)})
-            rows = rows.withColumn("k", F.when(F.col("side") == "ledger", F.col("k")).otherwise(F.col("k") - F.col("before")))
-            group = Window.partitionBy("ref", "k")
-        rows = rows.withColumns({
-            "n": F.count(mine(F.lit(1), "ledger")).over(group), "m": F.count(mine(F.lit(1), "statement")).over(group),
-            "off": F.sum(mine(F.col("amount"), "ledger")).over(group) - F.sum(mine(F.col("amount"), "statement")).over(group),
-            "gap": F.datediff(F.max(F.when(F.col("left"), F.col("day"))).over(group), F.min(F.when(F.col("left"), F.col("day"))).over(group)),
-        })
-        shape = {"1:1": "n = 1 and m = 1", "1:N": "n >= 1 and m = 1", "N:M": "n >= 1 and m >= 1"}[rule.cardinality]
+        if rule.cardinality == "1:1":
+            place = F.row_number().over(whole.orderBy(F.col("left").desc(), F.col("own").desc(), "amount", "day", "entry"))  # the ledger's, then the statement's
+            rows = rows.withColumns({"k": place, "before": F.count(mine(F.lit(1), True)).over(whole)})
+            rows = rows.withColumn("k", F.when(F.col("left"), F.when(F.col("own"), F.col("k")).otherwise(F.col("k") - F.col("before"))))
+            # two of one place are one of each side; no column is made for these sums, which would be sorted along
+            pair = Window.partitionBy("ref", "k")
+            off = F.when(F.count("amount").over(pair) == 2, F.max("amount").over(pair) - F.min("amount").over(pair))
+            rows = rows.withColumns({"n": F.count(F.lit(1)).over(pair), "off": off, "gap": gap(pair)})
+            shape = "n = 2"
+        else:
+            off = F.sum(mine(F.col("amount"), True)).over(whole) - F.sum(mine(F.col("amount"), False)).over(whole)
+            rows = rows.withColumns({"n": F.count(mine(F.lit(1), True)).over(whole), "m": F.count(mine(F.lit(1), False)).over(whole), "off": off, "gap": gap(whole)})
+            shape = {"1:N": "n >= 1 and m = 1", "N:M": "n >= 1 and m >= 1"}[rule.cardinality]
         good = F.coalesce(F.expr(shape) & _within(rule, F.col("off"), F.col("gap")), F.lit(False))
         rows = rows.withColumn(f"hit{i}", F.col("left") & good)
-        # a whole reference goes together anyway
-        taken = F.max(f"hit{i}").over(Window.partitionBy("ref", "side", "entry")) if single else F.col(f"hit{i}")
+        # by the other rules a whole reference goes together anyway
+        taken = F.max(f"hit{i}").over(Window.partitionBy("ref", "own", "entry")) if rule.cardinality == "1:1" else F.col(f"hit{i}")
         rows = rows.withColumn("left", F.col("left") & ~(taken & F.col("entry").isNotNull()))
+        rows = rows.withColumns({c: F.when(F.col("left"), F.col(c)) for c in ("amount", "day")})
         hits.append(F.when(F.col(f"hit{i}"), rule.rule))
-    return rows.select(F.explode(F.array_compact(F.array(*hits))).alias("rule"), "side", "entry", "ref")
+    side = F.when(F.col("own"), "ledger").otherwise("statement").alias("side")
+    return rows.select(F.explode(F.array_compact(F.array(*hits))).alias("rule"), side, "entry", "ref")
 
 
 def run_status(runs: DataFrame, day: str = "business_date", unmatched: str = "unmatched", open_days: int = 3) -> DataFrame:
